@@ -37,7 +37,9 @@ def base_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     n = F.size("__words")
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
     out = docs.withColumn("__words", _words(t)).withColumn("__lines", lines)
-    out = out.withColumn("__h", F.when(n >= WINDOW, F.transform(F.sequence(F.lit(1), n - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("__words", i, WINDOW)))).otherwise(F.array().cast("array<bigint>")))
+    out = out.withColumn("__hash", F.transform("__words", lambda x: F.xxhash64(x)))
+    window = F.transform(F.sequence(F.lit(0), n - WINDOW), lambda i: F.xxhash64(*(F.get("__hash", i + k) for k in range(WINDOW))))
+    out = out.withColumn("__h", F.when(n >= WINDOW, window).otherwise(F.array().cast("array<bigint>")))
     ordered = F.array_sort(F.transform("__h", lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
     out = out.withColumn("__at", F.when(F.size(F.array_distinct("__h")) < F.size("__h"), ordered))
     twins = F.zip_with("__at", F.slice("__at", 2, F.size("__at")), lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"])))
