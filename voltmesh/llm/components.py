@@ -20,10 +20,10 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     both = scratch.save(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
     labels = scratch.save(both.groupBy(F.col("a").alias("id")).agg(F.min(F.least("a", "b")).alias("label")), "labels")
     while True:
-        heard = both.join(labels, both.a == labels.id).groupBy(F.col("b").alias("to")).agg(F.min("label").alias("low"))
-        hooked = scratch.save(labels.join(heard, labels.id == heard.to, "left").select("id", F.col("label").alias("was"), F.least("label", "low").alias("label")), "hooked")
+        heard = both.join(labels, F.col("a") == F.col("id")).groupBy(F.col("b").alias("to")).agg(F.min("label").alias("low"))
+        hooked = scratch.save(labels.join(heard, F.col("id") == F.col("to"), "left").select("id", F.col("label").alias("was"), F.least("label", "low").alias("label")), "hooked")
         up = hooked.select(F.col("id").alias("at"), F.col("label").alias("top"))
-        after = scratch.save(hooked.join(up, hooked.label == up.at, "left").select("id", "was", F.least("label", "top").alias("label")), "labels")
+        after = scratch.save(hooked.join(up, F.col("label") == F.col("at"), "left").select("id", "was", F.least("label", "top").alias("label")), "labels")
         scratch.drop(hooked)
         scratch.drop(labels)
         done = after.where("label <> was").isEmpty()
