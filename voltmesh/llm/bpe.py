@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
 
 import numpy as np
@@ -103,6 +104,7 @@ class WordSplitter:
 
 def word_encoder(path: str):
     """words -> array<int> column of their ids; a word is one pre-token as it stands."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks use the cores
     plain = json.loads(open(path).read())
     special = {f" {x['content']}": [x["id"]] for x in plain["added_tokens"]}
     plain |= {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}}
@@ -140,6 +142,16 @@ def _spread(codes: np.ndarray, ends: np.ndarray, values: pa.ListArray, rest: lis
     return ids, reach[ends]
 
 
+def _planes(codes: np.ndarray) -> bytes:
+    """Codes (-1 up to 2^24 - 2) as three planes of bytes, which compress better than whole integers."""
+    return np.ascontiguousarray((codes + 1).astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].T).tobytes()
+
+
+def _codes(planes: bytes) -> np.ndarray:
+    low, mid, high = np.frombuffer(planes, np.uint8).reshape(3, -1).astype(np.int32)
+    return (low | mid << 8 | high << 16) - 1
+
+
 def _encode(docs: DataFrame, path: str, text: str, hot: int, finish, schema: str) -> DataFrame:
     """docs' columns but the text, and what ``finish(ids, ends) -> arrays`` makes of the ids."""
     scratch = Scratch(docs.sparkSession, "bpe")
@@ -148,12 +160,11 @@ def _encode(docs: DataFrame, path: str, text: str, hot: int, finish, schema: str
     source = docs.select("*", F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns if docs.schema[c].dataType.typeName() not in ("map", "variant")]).alias("__key"))
 
     def emit(codes, ends, values):
-        raw = codes.tobytes()
-        press = zstandard.ZstdCompressor(level=1).compress
-        return [pa.array([press(raw[4 * a : 4 * b]) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())]
+        press = zstandard.ZstdCompressor(level=3).compress
+        return [pa.array([press(_planes(codes[a:b])) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())]
 
     coded = words.coded(source, emit, "codes binary")
-    rest = words.rest(coded, "__key").groupBy("__key").agg(F.sort_array(F.collect_set(F.struct("pos", "value"))).alias("far"))
+    rest = words.far(source, "__key").repartition("__key").groupBy("__key").agg(F.sort_array(F.collect_set(F.struct("pos", "value"))).alias("far"))
     joined = coded.drop("rest").join(rest.withColumnRenamed("__key", "__far"), F.col("__key") == F.col("__far"), "left")
     joined = joined.withColumn("far", F.transform("far", lambda x: x["value"])).drop("__key", "__far")
     kept = [f for f in docs.schema.fields if f.name != text]
@@ -168,7 +179,7 @@ def _encode(docs: DataFrame, path: str, text: str, hot: int, finish, schema: str
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
-                lists = [np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.int32) if x else np.zeros(0, np.int32) for x in part.column("codes").to_pylist()]
+                lists = [_codes(zstandard.ZstdDecompressor().decompress(x)) for x in part.column("codes").to_pylist()]
                 codes = np.concatenate(lists)
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in lists])])
                 ids, ends = _spread(codes, ends, values, [x or [] for x in part.column("far").to_pylist()])

@@ -1,8 +1,9 @@
 """Classes of near-equal items from keys that near items share: candidates, verification, components.
 
 No step lists all pairs of a bucket. First each member of a bucket is verified against the bucket's smallest and largest
-id; then only members of one bucket that are still in different classes meet each other. So every candidate pair is
-either verified or already joined by verified links, and a bucket of n alike items costs about 2n checks.
+id. Members of buckets that are then still in several classes get narrower keys, which near items are bound to share
+too, and meet in these: again the ends first, then all that are still in different classes. So every near pair is either
+verified or already joined by verified links, and a bucket of n alike items costs about 2n checks.
 """
 
 from __future__ import annotations
@@ -50,35 +51,55 @@ def shared_buckets(rows: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.save(seen.where("salt > 0 or __low <> __high").select("key", "id").distinct(), "buckets")
 
 
-def classes(buckets: DataFrame, payload: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame], DataFrame], scratch: Scratch) -> DataFrame:
+def _star(groups: DataFrame, scratch: Scratch) -> DataFrame:
+    """(a, b): each id with the smallest and the largest id of its key."""
+    ends = scratch.save(groups.groupBy(F.col("key").alias("k")).agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high"), "ends")
+    pairs = groups.join(ends, F.col("key") == F.col("k")).select("id", F.explode(F.array("low", "high")).alias("end")).where("id <> end")
+    return pairs.select(F.least("id", "end").alias("a"), F.greatest("id", "end").alias("b")).distinct()
+
+
+def _open(groups: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame:
+    """(key, id, class) of the keys whose ids are in two or more classes."""
+    named = groups.join(found.withColumnRenamed("id", "of"), F.col("id") == F.col("of"), "left").select("key", "id", F.coalesce("component", "id").alias("class"))
+    named = scratch.save(named, "classes")
+    several = named.groupBy(F.col("key").alias("k")).agg(F.min("class").alias("c"), F.max("class").alias("d")).where("c <> d").select("k")
+    return scratch.save(named.join(scratch.save(several, "several"), F.col("key") == F.col("k"), "left_semi"), "open")
+
+
+def classes(buckets: DataFrame, payload: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame], DataFrame], signs: Callable[[DataFrame], DataFrame], scratch: Scratch) -> DataFrame:
     """(id, component) of items with a verified link.
 
-    payload(ids) gives (id, payload) of the ids in ``id``; verify(pairs) keeps (a, b) of (a, b, pa, pb) that are near.
+    payload(ids) gives (id, payload) of the ids in ``id``; verify(pairs) keeps (a, b) of (a, b, pa, pb) that are near;
+    signs(items) gives (key, id) of (id, payload) such that near items share a key, and hardly any others do: with these the
+    items of buckets that the first round leaves in several classes meet again.
     """
     held = scratch.save(payload(buckets.select("id").distinct()), "payload")
 
-    def checked(pairs: DataFrame, name: str) -> DataFrame:
+    def checked(pairs: DataFrame) -> DataFrame:
         left = held.select(F.col("id").alias("ia"), F.col("payload").alias("pa"))
         right = held.select(F.col("id").alias("ib"), F.col("payload").alias("pb"))
         full = pairs.join(left, F.col("a") == F.col("ia")).join(right, F.col("b") == F.col("ib")).select("a", "b", "pa", "pb")
-        return scratch.save(verify(full), name)
-
-    ends = scratch.save(buckets.groupBy(F.col("key").alias("k")).agg(F.min("id").alias("low"), F.max("id").alias("high")), "ends")
-    star = buckets.join(ends, F.col("key") == F.col("k")).select("id", F.explode(F.array("low", "high")).alias("end")).where("id <> end")
-    tried = scratch.save(star.select(F.least("id", "end").alias("a"), F.greatest("id", "end").alias("b")).distinct(), "tried")
-    first = checked(tried, "links")
-    found = components(first, scratch)
-    named = scratch.save(buckets.join(found.withColumnRenamed("id", "of"), F.col("id") == F.col("of"), "left").select("key", "id", F.coalesce("component", "id").alias("class")), "classes")
-    open_ = named.groupBy(F.col("key").alias("k")).agg(F.min("class").alias("c"), F.max("class").alias("d")).where("c <> d").select("k")
-    open_ = scratch.save(open_, "open")
-    rest = scratch.save(named.join(open_, F.col("key") == F.col("k"), "left_semi"), "rest")
-    other = rest.select(F.col("key").alias("key2"), F.col("id").alias("id2"), F.col("class").alias("class2"))
-    pairs = rest.join(other, (F.col("key") == F.col("key2")) & (F.col("class") < F.col("class2")))
-    pairs = pairs.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    if rest.isEmpty():
+        return scratch.save(verify(full), "links")
+
+    tried = scratch.save(_star(buckets, scratch), "tried")
+    links = checked(tried)
+    found = components(links, scratch)
+    left = _open(buckets, found, scratch)
+    if left.isEmpty():
+        return found
+    wanted = scratch.save(left.select(F.col("id").alias("wanted")).distinct(), "wanted")
+    groups = scratch.save(signs(held.join(wanted, F.col("id") == F.col("wanted"), "left_semi")), "signs")
+    again = scratch.save(_star(_open(groups, found, scratch), scratch).join(tried, ["a", "b"], "left_anti"), "again")
+    links = links.union(checked(again))
+    found = components(links, scratch)
+    left = _open(groups, found, scratch)
+    if left.isEmpty():
         return found
-    more = checked(scratch.save(pairs, "left"), "more")
-    return found if more.isEmpty() else components(first.union(more), scratch)
+    other = left.select(F.col("key").alias("key2"), F.col("id").alias("id2"), F.col("class").alias("class2"))
+    pairs = left.join(other, (F.col("key") == F.col("key2")) & (F.col("class") < F.col("class2")))
+    pairs = pairs.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
+    more = checked(scratch.save(pairs.join(tried, ["a", "b"], "left_anti").join(again, ["a", "b"], "left_anti"), "rest"))
+    return found if more.isEmpty() else components(links.union(more), scratch)
 
 
 #: Ids that may be broadcast (8 bytes each); more of them are joined by a shuffle.

@@ -124,6 +124,6 @@ def count_tokens(docs: DataFrame, path: str, text: str = "text", hot: int = HOT)
 
     coded = words.coded(source, emit, "n_pretokens long, known long")
     # repeated rows share a key: their other words count once for each of them
-    rest = words.rest(coded, "__key").groupBy(F.col("__key").alias("__far")).agg((F.sum("value") / F.count_if(F.col("pos") == 0)).cast("long").alias("far"))
+    rest = words.far(source, "__key").groupBy(F.col("__key").alias("__far")).agg((F.sum("value") / F.count_if(F.col("pos") == 0)).cast("long").alias("far"))
     joined = coded.drop("rest").join(rest, F.col("__key") == F.col("__far"), "left")
     return joined.withColumn("n_tokens", F.col("known") + F.coalesce("far", F.lit(0))).drop("known", "far", "__key", "__far")

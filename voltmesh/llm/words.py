@@ -1,10 +1,10 @@
 """A distinct-word table joined back to documents: frequent words in each task, the others through a shuffle.
 
 ``WordTable`` counts the words that a splitter finds in all texts, lets an encoder see each distinct word once, and
-keeps (word, n, value) as a table. A word is frequent if it holds at least 1/HOT of all occurrences, so at most HOT
-words are; these go to every task as one Arrow table of bounded size. All other words are exploded with the document's key and
-their place, joined to the table by word and collected by document. By construction no word that is shuffled holds more
-than 1/HOT of the rows.
+keeps (word, n, value) as a table. The at most HOT most frequent words go to every task as one Arrow table of bounded
+size. All other words are exploded with the document's key and their place, joined to the table by word and collected
+by document. More than HOT words are more frequent than a word that is shuffled, so none holds over 1/HOT of all
+occurrences.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .scratch import Scratch, slices
 
 #: At most so many words are frequent. Words longer than LONG bytes never are, which bounds the broadcast.
-HOT, LONG = 1 << 18, 64
+HOT, LONG = 1 << 19, 64
 
 #: splitter(text column of a batch) -> parts (row numbers, words of these rows behind each other, words per row)
 Split = Callable[[pa.Array], Iterator[tuple[np.ndarray, pa.Array, np.ndarray]]]
@@ -52,7 +52,7 @@ class WordTable:
 
         def found(batches):
             cut = split()
-            for batch in slices(batches, text, 16 << 20):
+            for batch in slices(batches, text, 4 << 20):
                 for _, words, _ in cut(batch.column(text)):
                     seen = words.value_counts()
                     yield pa.RecordBatch.from_arrays([seen.field("values").cast(pa.string()), seen.field("counts").cast(pa.int64())], ["word", "n"])
@@ -64,14 +64,29 @@ class WordTable:
 
         counts = docs.select(text).mapInArrow(found, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
         table = scratch.save(counts.mapInArrow(encoded, f"word string, n long, value {value_type}"), "words")
-        total = table.agg(F.sum("n")).first()[0] or 0
-        frequent = (F.col("n") * hot >= total) & (F.octet_length("word") <= LONG)
+        frequent = (F.col("n") >= self._edge(table, hot)) & (F.octet_length("word") <= LONG)
         self.rare = table.where(~frequent).select("word", "value")
         self.table = table
-        got = table.where(frequent).select("word", "value").toArrow()
-        self.name = scratch.root
+        # the most frequent first: small codes are the most common ones
+        got = table.where(frequent).select("word", "value", "n").toArrow().sort_by([("n", "descending"), ("word", "ascending")]).drop_columns(["n"])
+        self.name, self.scratch = scratch.root, scratch
+        del counts
+        scratch.release()
         self.shared = spark.sparkContext.broadcast(_ipc(got))
 
+    @staticmethod
+    def _edge(table: DataFrame, hot: int) -> float:
+        """A count that at most ``hot`` words reach: from the sizes of classes of counts, sixteen to a doubling."""
+        step = F.floor(F.log2(F.col("n")) * 16)
+        left = hot
+        edge = float("inf")
+        for k, low, words in sorted(table.groupBy(step.alias("k")).agg(F.min("n"), F.count("*")).collect(), reverse=True):
+            left -= words
+            if left < 0:
+                break
+            edge = low
+        return float(edge)
+
     def coded(self, docs: DataFrame, emit: Callable, schema: str) -> DataFrame:
         """docs with ``schema`` columns added: emit(batch, rows, codes, counts, values) gives their arrays.
 
@@ -85,7 +100,7 @@ class WordTable:
             known = _table(shared, name)
             words_of, values = known.column("word").cast(pa.large_string()), known.column("value")
             words_of, values = (x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in (words_of, values))
-            for batch in slices(batches, text):
+            for batch in slices(batches, text, 4 << 20):
                 for rows, words, counts in cut(batch.column(text)):
                     seen = words.dictionary_encode()
                     place = pc.index_in(seen.dictionary, value_set=words_of).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int32)
@@ -97,11 +112,15 @@ class WordTable:
                     own = batch.take(pa.array(rows)).drop_columns([text])
                     yield pa.RecordBatch.from_arrays([*own.columns, *emit(codes, ends, values), rest], [*own.schema.names, *out_names, "rest"])
 
-        kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != text)
-        out_names = [x.split()[0] for x in schema.split(",")]
-        return docs.mapInArrow(run, f"{kept}, {schema}, rest array<string>")
+        out = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != text] + ([schema] if schema else [])
+        out_names = [x.split()[0] for x in schema.split(",") if x]
+        return docs.mapInArrow(run, ", ".join([*out, "rest array<string>"]))
 
-    def rest(self, coded: DataFrame, key: str) -> DataFrame:
+    def far(self, docs: DataFrame, key: str) -> DataFrame:
         """(key, pos, value) of the words that are not frequent."""
+        coded = self.coded(docs.select(key, self.text), lambda codes, ends, values: [], "")
         far = coded.select(key, F.posexplode("rest").alias("pos", "word"))
-        return far.join(self.rare, "word").select(key, "pos", "value")
+        met = self.scratch.save(far.join(self.rare, "word").select(key, "pos", "value"), "rest")
+        del far
+        self.scratch.release()
+        return met
