@@ -189,7 +189,7 @@ def expected_lines(rows):
     name = brute.closure(where, lambda a, b: len(a) >= line_dedup.SHORT and len(b) >= line_dedup.SHORT and brute.edits(a, b, 2) <= 2)
     first = {}
     for s, c in name.items():
-        first[c] = min([first[c]] * (c in first) + list(where[s]))
+        first[c] = min(where[s] | ({first[c]} if c in first else set()))
     for d, x in rows:
         gone = {no for no, s in line_dedup.lines_of(x) if first[name[s]] != place(d, no)}
         yield d, len(line_dedup.lines_of(x)), len(gone), None if x is None else "\n".join(y for k, y in enumerate(x.split("\n")) if k not in gone)
