@@ -93,7 +93,10 @@ def quality(docs: DataFrame, text: str = "text", host: str = "source", key: str
     base = base.withColumn("removed", F.coalesce(F.transform("__gone", lambda x: x["i"]), F.array().cast("array<int>")))
     base = base.withColumn("kept_words", F.col("n_words") - F.coalesce(lost, F.lit(0)))
     base = base.withColumn("kept", ~F.col("base_failed") & (F.col("kept_words") >= left * F.col("n_words")))
-    return base.drop("__frequent", "__own", "__gone")
+    base = base.drop("__frequent", "__own", "__gone")
+    # a fence: a filter on the verdict would else be pushed below the projections, and each array in it
+    # computed again for every element of the next
+    return base.select(F.inline(F.array(F.struct(*(F.col(f"`{c}`") for c in base.columns)))))
 
 
 def without_lines(text: Column, removed: Column) -> Column:
