@@ -2,8 +2,8 @@
 
 No step lists all pairs of a bucket. First each member of a bucket is verified against the bucket's smallest and largest
 id. Members of buckets that are then still in several classes get narrower keys, which near items are bound to share
-too, and meet in these: again the ends first, then all that are still in different classes. So every near pair is either
-verified or already joined by verified links, and a bucket of n alike items costs about 2n checks.
+too, and meet in these inside each bucket: again the ends first, then all that are still in different classes. So every
+near pair is either verified or already joined by verified links, and a bucket of n alike items costs about 2n checks.
 """
 
 from __future__ import annotations
@@ -70,8 +70,9 @@ def classes(buckets: DataFrame, payload: Callable[[DataFrame], DataFrame], verif
     """(id, component) of items with a verified link.
 
     payload(ids) gives (id, payload) of the ids in ``id``; verify(pairs) keeps (a, b) of (a, b, pa, pb) that are near;
-    signs(items) gives (key, id) of (id, payload) such that near items share a key, and hardly any others do: with these the
-    items of buckets that the first round leaves in several classes meet again.
+    signs(items) gives (key, id) of (id, payload) such that near items share a key: with these the items of buckets that the
+    first round leaves in several classes meet again, each inside its buckets, so a key that many items of the corpus share
+    (that of characters which a line lacks) gathers no more than a bucket.
     """
     held = scratch.save(payload(buckets.select("id").distinct()), "payload")
 
@@ -88,7 +89,9 @@ def classes(buckets: DataFrame, payload: Callable[[DataFrame], DataFrame], verif
     if left.isEmpty():
         return found
     wanted = scratch.save(left.select(F.col("id").alias("wanted")).distinct(), "wanted")
-    groups = scratch.save(signs(held.join(wanted, F.col("id") == F.col("wanted"), "left_semi")), "signs")
+    signed = scratch.save(signs(held.join(wanted, F.col("id") == F.col("wanted"), "left_semi")), "signs")
+    inside = left.select(F.col("key").alias("bucket"), F.col("id").alias("of"))
+    groups = scratch.save(signed.join(inside, F.col("id") == F.col("of")).select(F.xxhash64("bucket", "key").alias("key"), "id"), "groups")
     again = scratch.save(_star(_open(groups, found, scratch), scratch).join(tried, ["a", "b"], "left_anti"), "again")
     links = links.union(checked(again))
     found = components(links, scratch)
