@@ -195,6 +195,21 @@ def expected_lines(rows):
         yield d, len(line_dedup.lines_of(x)), len(gone), None if x is None else "\n".join(y for k, y in enumerate(x.split("\n")) if k not in gone)
 
 
+def test_lines_of_one_template_meet_by_what_they_differ_in(spark):
+    rng = random.Random(8)
+    words = "this line stands in many documents with one or two of its words put in anew each time".split()
+    rows = []
+    for k in range(90):
+        own = list(words)
+        for i in rng.sample(range(6, len(own)), 2):
+            own[i] = rng.choice(["re", "the", "ten", "there", "eat", "tea", "on", "no", "into"])
+        rows.append((k, " ".join(own)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r.doc_id, r.n_lines, r.n_removed, r.text) for r in line_dedup.dedup_lines(df).collect())
+    assert got == Counter(expected_lines(rows))
+    assert 0 < sum(n * k for (_, _, n, _), k in got.items()) < 89
+
+
 def test_line_dedup(spark):
     random.seed(5)
     base = ["".join(random.choice("abcdefghijklmnop ") for _ in range(60)).strip() + "x" for _ in range(8)]

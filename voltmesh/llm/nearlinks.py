@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -66,13 +66,14 @@ def _open(groups: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.save(named.join(scratch.save(several, "several"), F.col("key") == F.col("k"), "left_semi"), "open")
 
 
-def classes(buckets: DataFrame, payload: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame], DataFrame], signs: Callable[[DataFrame], DataFrame], scratch: Scratch) -> DataFrame:
+def classes(buckets: DataFrame, payload: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame], DataFrame], signs: Callable[[DataFrame], DataFrame], scratch: Scratch, sketch: Callable[[Column], Column] | None = None, maybe: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """(id, component) of items with a verified link.
 
     payload(ids) gives (id, payload) of the ids in ``id``; verify(pairs) keeps (a, b) of (a, b, pa, pb) that are near;
     signs(items) gives (key, id) of (id, payload) such that near items share a key: with these the items of buckets that the
     first round leaves in several classes meet again, each inside its buckets, so a key that many items of the corpus share
-    (that of characters which a line lacks) gathers no more than a bucket.
+    (that of characters which a line lacks) gathers no more than a bucket. sketch(payload) and maybe(sketch, sketch), if given, tell which pairs cannot be near;
+    the last join does not give these out.
     """
     held = scratch.save(payload(buckets.select("id").distinct()), "payload")
 
@@ -98,8 +99,12 @@ def classes(buckets: DataFrame, payload: Callable[[DataFrame], DataFrame], verif
     left = _open(groups, found, scratch)
     if left.isEmpty():
         return found
-    other = left.select(F.col("key").alias("key2"), F.col("id").alias("id2"), F.col("class").alias("class2"))
-    pairs = left.join(other, (F.col("key") == F.col("key2")) & (F.col("class") < F.col("class2")))
+    met = (F.col("key") == F.col("key2")) & (F.col("class") < F.col("class2"))
+    if sketch and maybe:
+        known = held.join(wanted, F.col("id") == F.col("wanted"), "left_semi").select(F.col("id").alias("of"), sketch(F.col("payload")).alias("sketch"))
+        left = scratch.save(left.join(known, F.col("id") == F.col("of")).drop("of"), "sketched")
+        met &= maybe(F.col("sketch"), F.col("sketch2"))
+    pairs = left.join(left.select(*(F.col(c).alias(f"{c}2") for c in left.columns)), met)
     pairs = pairs.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
     more = checked(scratch.save(pairs.join(tried, ["a", "b"], "left_anti").join(again, ["a", "b"], "left_anti"), "rest"))
     return found if more.isEmpty() else components(links.union(more), scratch)
