@@ -1,9 +1,10 @@
 """Classes of near-equal items from keys that near items share: candidates, verification, components.
 
-No step lists all pairs of a bucket. First each member of a bucket is verified against the bucket's smallest and largest
+The first steps do not list all pairs of a bucket. First each member of a bucket is verified against the bucket's smallest and largest
 id. Members of buckets that are then still in several classes get narrower keys, which near items are bound to share
 too, and meet in these inside each bucket: again the ends first, then all that are still in different classes. So every
 near pair is either verified or already joined by verified links, and a bucket of n alike items costs about 2n checks.
+Only items that stay apart under a narrower key meet in pairs: up to n^2 of a group of n that are alike and not near.
 """
 
 from __future__ import annotations
