@@ -94,6 +94,52 @@ def test_every_long_passage_is_found(spark):
     assert all(k // 2 * 2 in v for k, v in got.items())
 
 
+def test_paragraphs_with_a_changed_word_are_near(spark):
+    rng = random.Random(17)
+    text = lambda n: [f"w{rng.randrange(3000)}" for _ in range(n)]
+    rows, spans = [], {}
+    for k in range(60):
+        n, edits = (50, 1) if k < 40 else (200, 4)
+        passage = text(n)
+        other = list(passage)
+        for i in range(edits):
+            other[(2 * i + 1) * n // (2 * edits) + rng.randint(-3, 3)] = "changed"
+        for side, body in enumerate((passage, other)):
+            before = text(60)
+            rows.append((2 * k + side, "\n".join(" ".join(x) for x in (before, body, text(60)))))
+            spans[2 * k + side] = (60, 60 + n)
+    got = {r.doc_id: r for r in substring_dedup.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    whole = lambda d, found: any(s.start <= spans[d][0] and s.end >= spans[d][1] for s in found)
+    assert sum(d in got and whole(d, got[d].repeated) for d in spans) >= 117
+    assert sum(d in got and whole(d, got[d].removed) for d in spans if d % 2) >= 58
+    assert not any(got[d].removed for d in spans if d in got and d % 2 == 0)
+
+
+def test_occurrences_reach_as_far_as_they_are_alike(spark):
+    rng = random.Random(23)
+    text = lambda n: [f"w{rng.randrange(1 << 40)}" for _ in range(n)]
+    rows, want = [], {}
+    for k in range(30):
+        passage = text(rng.choice([51, 60, 90, 300]))
+        for side in range(2):
+            before = text(rng.randint(0, 80))
+            rows.append((2 * k + side, " ".join(before + passage + text(rng.randint(0, 80)))))
+            want[2 * k + side] = [(len(before), len(before) + len(passage))]
+    passage, gap = text(70), text(40)
+    rows.append((1000, " ".join(passage + gap + passage)))
+    want[1000] = [(0, 70), (110, 180)]
+    rows.append((1001, " ".join(text(300))))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in substring_dedup.repeats(df).collect()}
+    whole = lambda found, spans: all(any(s.start <= a and b <= s.end for s in found) for a, b in spans)
+    assert set(got) == set(want)
+    assert all(whole(got[d].repeated, v) for d, v in want.items())
+    assert all(whole(got[d].removed, v[1:] if d == 1000 else v) for d, v in want.items() if d % 2 or d == 1000)
+    assert not any(r.removed for d, r in got.items() if d % 2 == 0 and d < 1000)
+    kept = {r.doc_id: r.text for r in substring_dedup.remove_repeats(df).collect()}
+    assert kept[1000] == " ".join(passage + gap)
+
+
 def test_near_paragraphs_by_brute_force():
     assert substring_dedup.bands_for(0.8, 2, 0.99) == substring_dedup.BANDS
     rng = np.random.default_rng(1)
