@@ -135,6 +135,18 @@ def test_upstream_survives_cycles(spark):
     assert sorted(r.hid for r in hydro.upstream(basins, targets).collect()) == [1, 2, 3, 4]
 
 
+def test_upstream_has_no_depth_limit(spark):
+    basins = spark.createDataFrame([(k, k - 1) for k in range(1, 9)], "hid long, next_down long")
+    targets = spark.createDataFrame([(1,)], "hid long")
+    basins.createOrReplaceTempView("long_river")
+    targets.createOrReplaceTempView("mouth")
+    assert hydro.upstream(basins, targets).count() == 8
+    assert spark.sql(hydro.upstream_sql("long_river", "mouth", 8)).count() == 8
+    with pytest.raises(Exception, match="raise depth"):
+        spark.sql(hydro.upstream_sql("long_river", "mouth", 4)).collect()
+    assert "depth" not in hydro.upstream.__code__.co_varnames
+
+
 def test_unknown_panel_and_orientation():
     with pytest.raises(ValueError):
         solar.panel_power(F.lit(1.0), F.lit(1.0), {"model": "x"})

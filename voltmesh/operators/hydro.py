@@ -49,7 +49,7 @@ def find_basins(plants: DataFrame, basins: DataFrame) -> DataFrame:
     return pairs.where(point_in_ring(F.col("lon"), F.col("lat"), F.col("pts"))).groupBy("plant").agg(F.min("hid").alias("hid"))
 
 
-def upstream(basins: DataFrame, targets: DataFrame, depth: int = 1000) -> DataFrame:
+def upstream(basins: DataFrame, targets: DataFrame) -> DataFrame:
     """(root, hid): each target basin and all that flow into it, by steps up the river until nothing is new.
 
     basins: hid, next_down. A cycle adds nothing new and so ends. Each step is a join and an anti join with what is known.
@@ -57,23 +57,23 @@ def upstream(basins: DataFrame, targets: DataFrame, depth: int = 1000) -> DataFr
     edges = basins.select(F.col("hid").alias("up"), "next_down").where("up <> next_down")
     found = targets.select(F.col("hid").alias("root"), "hid").distinct()
     front = found
-    for _ in range(depth):
+    while True:
         more = front.join(edges, F.col("hid") == F.col("next_down")).select("root", F.col("up").alias("hid")).distinct()
         front = more.join(found, ["root", "hid"], "left_anti").checkpoint(eager=True)
         if front.isEmpty():
-            break
-        found = found.unionByName(front)
-    return found
+            return found
+        # written, so that the plan does not grow with the length of the river
+        found = found.unionByName(front).checkpoint(eager=True)
 
 
 def upstream_sql(basins: str = "basins", targets: str = "targets", depth: int = 100) -> str:
-    """The same as one recursive query with a path that stops at cycles."""
+    """The same as one recursive query with a path that stops at cycles; it raises an error where a river has ``depth`` steps or more."""
     return f"""with recursive up(root, hid, path, depth) as (
         select hid, hid, array(hid), 0 from {targets}
         union all
         select u.root, b.hid, concat(u.path, array(b.hid)), u.depth + 1 from up u join {basins} b
         on b.next_down = u.hid and not array_contains(u.path, b.hid) where u.depth < {depth})
-        select distinct root, hid from up"""
+        select distinct root, hid from up where if(depth < {depth}, true, raise_error('a river has {depth} steps or more: raise depth or use upstream()'))"""
 
 
 def shifted_inflow(members: DataFrame, runoff_rows: DataFrame, flowspeed: float = 1.0) -> DataFrame:
