@@ -147,6 +147,17 @@ def test_upstream_has_no_depth_limit(spark):
     assert "depth" not in hydro.upstream.__code__.co_varnames
 
 
+def test_buffered_geometry_reaches_into_the_shape(spark):
+    box = lambda x0, y0, x1, y1: [{"x": x, "y": y} for x, y in [(x0, y0), (x1, y0), (x1, y1), (x0, y1)]]
+    kind = "shape_id string, pts array<struct<x:double,y:double>>"
+    shape = spark.createDataFrame([("s", box(0.0, 0.0, 4.0, 4.0))], kind)
+    beside = spark.createDataFrame([("p", box(-2.0, 0.0, 0.0, 4.0))], kind)
+    for invert in (False, True):
+        container = raster.ExclusionContainer(4326, 1.0).add_geometry(beside, buffer=1.0, invert=invert)
+        free = {r.px for r in raster.shape_availability(shape, container).collect()}
+        assert free == ({0} if invert else {1, 2, 3})
+
+
 def test_unknown_panel_and_orientation():
     with pytest.raises(ValueError):
         solar.panel_power(F.lit(1.0), F.lit(1.0), {"model": "x"})

@@ -57,17 +57,32 @@ def dilate(pixels: DataFrame, n: int, by: list[str]) -> DataFrame:
     return tall.select(*by, "px", (F.col("py") + F.col("dy")).alias("py")).distinct()
 
 
-def shape_pixels(shapes: DataFrame, res: float) -> DataFrame:
-    """(shape_id, px, py): pixels whose centre lies in the shape; pixel p spans [p * res, (p + 1) * res)."""
+def _beside(x: Column, y: Column, pts: Column, reach: float) -> Column:
+    """Whether the point is at most ``reach`` away from an edge of the ring."""
+
+    def near(a: Column, b: Column) -> Column:
+        dx, dy = b["x"] - a["x"], b["y"] - a["y"]
+        t = F.coalesce(F.try_divide((x - a["x"]) * dx + (y - a["y"]) * dy, dx * dx + dy * dy), num(0))
+        t = F.least(F.greatest(t, num(0)), num(1))
+        return F.hypot(x - a["x"] - t * dx, y - a["y"] - t * dy) <= num(reach)
+
+    ends = F.concat(F.slice(pts, 2, F.size(pts)), F.slice(pts, 1, 1))
+    return F.exists(F.zip_with(pts, ends, near), lambda hit: hit)
+
+
+def shape_pixels(shapes: DataFrame, res: float, buffer: float = 0.0) -> DataFrame:
+    """(shape_id, px, py): pixels whose centre lies in the shape or at most ``buffer`` beside it; pixel p spans [p * res, (p + 1) * res)."""
     xs, ys = F.transform("pts", lambda p: p["x"]), F.transform("pts", lambda p: p["y"])
     at = lambda c: F.floor(c / num(res)).cast("int")
-    rows = shapes.withColumn("px", F.explode(F.sequence(at(F.array_min(xs)), at(F.array_max(xs))))).withColumn("py", F.explode(F.sequence(at(F.array_min(ys)), at(F.array_max(ys)))))
+    rows = shapes.withColumn("px", F.explode(F.sequence(at(F.array_min(xs) - num(buffer)), at(F.array_max(xs) + num(buffer))))).withColumn("py", F.explode(F.sequence(at(F.array_min(ys) - num(buffer)), at(F.array_max(ys) + num(buffer)))))
     centre = lambda c: (F.col(c) + num(0.5)) * num(res)
-    return rows.where(point_in_ring(centre("px"), centre("py"), F.col("pts"))).select("shape_id", "px", "py")
+    inside = point_in_ring(centre("px"), centre("py"), F.col("pts"))
+    return rows.where(inside | _beside(centre("px"), centre("py"), F.col("pts"), buffer) if buffer else inside).select("shape_id", "px", "py")
 
 
 def excluded_pixels(pixels: DataFrame, container: ExclusionContainer) -> DataFrame:
-    """(shape_id, px, py) of shape pixels that any exclusion takes; buffers grow within the shape's pixels."""
+    """(shape_id, px, py) of shape pixels that any exclusion takes. The buffer of a raster grows within the shape's pixels; that of a
+    geometry grows in the whole plane, before it is inverted, so a geometry beside a shape can reach in."""
     out = pixels.limit(0)
     for spec in container.specs:
         if spec.kind == "raster":
@@ -76,11 +91,11 @@ def excluded_pixels(pixels: DataFrame, container: ExclusionContainer) -> DataFra
             own = pixels.join(spec.data.select("px", "py", "code"), ["px", "py"], "left")
             hit = masked(F.coalesce("code", F.lit(spec.nodata)), spec.codes)
         else:
-            inside = shape_pixels(spec.data, container.res).select("px", "py").distinct().withColumn("in", F.lit(True))
+            inside = shape_pixels(spec.data, container.res, spec.buffer).select("px", "py").distinct().withColumn("in", F.lit(True))
             own = pixels.join(inside, ["px", "py"], "left")
             hit = F.coalesce("in", F.lit(False))
         taken = own.where(~hit if spec.invert else hit).select("shape_id", "px", "py")
-        if spec.buffer:
+        if spec.buffer and spec.kind == "raster":
             taken = dilate(taken, int(spec.buffer / container.res) + 1, ["shape_id"]).join(pixels, ["shape_id", "px", "py"], "left_semi")
         out = out.unionByName(taken)
     return out.distinct()
