@@ -31,10 +31,11 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one whose doc_id names the group."""
-    marked = simhash.near_duplicates(docs.select("doc_id", "text"))
-    kept = marked.where("doc_id <=> component_id").select("doc_id").distinct()
-    return _documents(docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    """One row of each group of near-duplicates: the one with the smallest doc_id (null ones last), then the smallest text."""
+    marked = simhash.near_duplicates(docs, group="group_id")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), "text", "lang", "source")
+    kept = marked.groupBy("group_id").agg(F.min_by(F.struct("doc_id", "text", "lang", "source"), order).alias("kept"))
+    return _documents(kept.select("kept.*"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -71,6 +71,16 @@ def test_simhash_stage(stages):
     assert {r.doc_id for r in after} == set(low.values()) and len(after) == len(low)
 
 
+def test_simhash_stage_keeps_a_row_of_each_group(spark):
+    rng = random.Random(3)
+    text = lambda: " ".join(f"w{rng.randrange(5000)}" for _ in range(60))
+    a, b, c, d, e = (text() for _ in range(5))
+    rows = [(None, a), (None, b), (1, c), (1, d), (2, e), (None, e), (2, e), (3, None)]
+    docs = spark.createDataFrame([(k, x, "en", "s", len(x or "")) for k, x in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = Counter((r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, docs, "").collect())
+    assert got == Counter([(None, a), (None, b), (1, c), (1, d), (2, e), (3, None)])
+
+
 def test_decontamination_stage(stages):
     _, before, after, _ = stages[0][3]
 

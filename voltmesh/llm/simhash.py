@@ -103,9 +103,9 @@ def fingerprints_of(texts: list[bytes]) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs without the text, with ``fp`` (the fingerprint as a signed long); a text without words has 0."""
-    kept = [f for f in docs.schema.fields if f.name != text]
+def fingerprints(docs: DataFrame, text: str = "text", keep: bool = False) -> DataFrame:
+    """docs without the text (unless ``keep``), with ``fp`` (the fingerprint as a signed long); a text without words has 0."""
+    kept = [f for f in docs.schema.fields if keep or f.name != text]
 
     def run(batches):
         for batch in slices(batches, text, 4 << 20):
@@ -137,18 +137,20 @@ def links(fps: DataFrame, most: int = 2) -> DataFrame:
     return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", most: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", most: int = 2, group: str | None = None) -> DataFrame:
     """docs without the text, with ``fp``, ``links`` (other fingerprints it links to) and ``component_id``: the smallest
     key reachable by links.
 
     Equal fingerprints are one node, so copies are never expanded. Null and empty texts have fingerprint 0 and link like any
     other; repeated rows share a component; null keys are never the smallest (a group of only null keys has null); an
     empty table gives an empty one; other columns stay (``fp``, ``links`` and ``component_id`` must not be among them).
+    ``group`` names a column to add that tells groups apart also where their smallest keys are equal or null (the
+    smallest fingerprint reachable); the text then stays.
     """
-    if both := {"fp", "links", "component_id"} & set(docs.columns):
+    if both := {"fp", "links", "component_id", group} & set(docs.columns):
         raise ValueError(f"rename these input columns first: {sorted(both)}")
     scratch = Scratch(docs.sparkSession, "simhash")
-    marked = scratch.save(fingerprints(docs, text), "fingerprints")
+    marked = scratch.save(fingerprints(docs, text, keep=group is not None), "fingerprints")
     nodes = scratch.save(marked.groupBy("fp").agg(F.min(key).alias("low")), "nodes")
     edges = scratch.save(links(nodes, most), "edges")
     found = components(edges, scratch)
@@ -156,7 +158,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", mo
     labelled = nodes.join(found, F.col("fp") == F.col("id"), "left").select("fp", "low", F.coalesce("component", "fp").alias("component"))
     lows = labelled.groupBy(F.col("component").alias("of")).agg(F.min("low").alias("component_id"))
     classes = labelled.join(lows, F.col("component") == F.col("of")).join(ends, F.col("fp") == F.col("end"), "left")
-    classes = scratch.save(classes.select(F.col("fp").alias("__fp"), F.coalesce("links", F.lit(0)).alias("links"), "component_id"), "classes")
+    classes = scratch.save(classes.select(F.col("fp").alias("__fp"), F.coalesce("links", F.lit(0)).alias("links"), "component_id", *([F.col("component").alias(group)] if group else [])), "classes")
     return marked.join(classes, F.col("fp") == F.col("__fp")).drop("__fp")
 
 
