@@ -275,6 +275,24 @@ def test_line_dedup(spark):
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
 
 
+def test_short_lines_meet_by_edits(spark):
+    rng = random.Random(31)
+    near = lambda a, b: brute.edits(a, b, 2) <= (2 if min(len(a), len(b)) >= 24 else 1 if min(len(a), len(b)) >= 12 else 0)
+    rows = [(0, "The anhely eran."), (1, "The, anhely eran."), (2, "All rights reserved"), (3, "All rights reserved."), (4, "Page 10"), (5, "Page 11")]
+    for k in range(100):
+        line = "".join(rng.choice("abcdefgh") for _ in range(rng.randint(8, 50)))
+        other = list(line)
+        for _ in range(rng.randint(1, 3)):
+            i = rng.randrange(len(other))
+            other[i : i + 1] = rng.choice([[], ["z"], [other[i], "y"]])
+        rows += [(10 + 2 * k, line), (11 + 2 * k, "".join(other))]
+    first = brute.closure([(d, s) for d, s in rows], lambda a, b: a[1] == b[1] or near(a[1], b[1]))
+    want = {d for d, s in rows if first[d, s] != (d, s)}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in line_dedup.dedup_lines(df).collect() if r.n_removed} == want
+    assert {1, 3} <= want and 5 not in want
+
+
 def test_warc_round_trip(spark):
     big = "x" * 3000
     rows = [(1, "http://a/\n", big), (2, None, big), (7, "u", big), (3, "u", "y" * 900), (4, "u", "y" * 900), (5, "u", None), (6, "u", ""), (7, "u", big), (None, "u", big), (8, "u", "é\r\n\r\nWARC/1.1\r\n" * 300), (9, "u", "z" * 2_000_000)]

@@ -17,8 +17,9 @@ from .nearlinks import bucket_rows, classes, mix, only, shared_buckets
 from .scratch import Scratch, slices
 
 THRESHOLD = 2
-#: Shorter lines (in characters) are only compared whole: a segment of them says too little.
-SHORT = 48
+#: Shorter lines (in characters) are linked within half the edits only, those under half as long if equal: beyond that
+#: lines that say different things (numbers, single words) would be near.
+SHORT = 24
 #: Letters by how common they are; dealt to kinds in turn, so that no kind is left without common ones.
 _COMMON = " etaoinshrdlucmfwypvbgkjqxz"
 _BASE = 0xD1342543DE82EF95
@@ -124,7 +125,25 @@ def within(left: list[str], right: list[str], threshold: int = THRESHOLD) -> np.
     return near & (result >= 0) & (result <= threshold)
 
 
-def _verify(pairs: DataFrame, threshold: int) -> DataFrame:
+def _least(threshold: int, short: int) -> int:
+    """The least length of a line that can be near another one."""
+    return (short + 1) // 2 if threshold > 1 else short
+
+
+def _line_keys(lines: list[str], threshold: int, short: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and keys of lines by which pairs within ``threshold`` edits meet, or within half of that if the shorter line is under ``short``."""
+    few, size = threshold // 2, np.array([len(x) for x in lines], np.int64)
+    rows, keys = [], []
+    for own, edits in ((size >= short, threshold), ((size >= _least(threshold, short)) & (size < short + few), few)):
+        own = np.flatnonzero(own)
+        if len(own) and edits:
+            row, key = segment_keys([lines[k] for k in own], edits)
+            rows.append(own[row])
+            keys.append(key)
+    return (np.concatenate(rows), np.concatenate(keys)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+
+
+def _verify(pairs: DataFrame, threshold: int, short: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             left, right = batch.column("pa").to_pylist(), batch.column("pb").to_pylist()
@@ -135,11 +154,16 @@ def _verify(pairs: DataFrame, threshold: int) -> DataFrame:
                 end = start + 1
                 while end < len(order) and end - start < 2048 and (end - start) * len(right[order[end]]) < 1 << 20:
                     end += 1
-                part = order[start:end]
-                ok[part] = within([left[k] for k in part], [right[k] for k in part], threshold)
+                for edits, part in zip((threshold // 2, threshold), split(order[start:end], left, right), strict=True):
+                    if len(part):
+                        ok[part] = within([left[k] for k in part], [right[k] for k in part], edits)
                 start = end
             yield batch.select(["a", "b"]).filter(pa.array(ok))
 
+    def split(part, left, right):
+        tight = np.array([min(len(left[k]), len(right[k])) < short for k in part], bool)
+        return part[tight], part[~tight]
+
     return pairs.mapInArrow(run, "a long, b long")
 
 
@@ -203,21 +227,21 @@ def _occurrences(docs: DataFrame, text: str) -> DataFrame:
 def _buckets(docs: DataFrame, text: str, threshold: int, short: int) -> DataFrame:
     def run(batches):
         for batch in slices(batches, text, 4 << 20):
-            seen = {line_id(s): s for x in batch.column(text).to_pylist() for _, s in lines_of(x) if len(s) >= short}
+            seen = {line_id(s): s for x in batch.column(text).to_pylist() for _, s in lines_of(x) if len(s) >= _least(threshold, short)}
             if not seen:
                 continue
             ids = np.fromiter(seen, np.uint64, len(seen))
-            rows, keys = segment_keys(list(seen.values()), threshold)
+            rows, keys = _line_keys(list(seen.values()), threshold, short)
             keys, ids, salt = bucket_rows(keys, ids[rows])
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(ids.view(np.int64)), pa.array(salt)], ["key", "id", "salt"])
 
     return docs.select(text).mapInArrow(run, "key long, id long, salt int")
 
 
-def _texts(docs: DataFrame, text: str, short: int) -> DataFrame:
+def _texts(docs: DataFrame, text: str, least: int) -> DataFrame:
     def run(batches):
         for batch in slices(batches, text, 4 << 20):
-            seen = {line_id(s): s for x in batch.column(text).to_pylist() for _, s in lines_of(x) if len(s) >= short}
+            seen = {line_id(s): s for x in batch.column(text).to_pylist() for _, s in lines_of(x) if len(s) >= least}
             yield pa.RecordBatch.from_arrays([pa.array(np.fromiter(seen, np.uint64, len(seen)).view(np.int64)), pa.array(list(seen.values()), pa.string())], ["id", "payload"])
 
     return docs.select(text).mapInArrow(run, "id long, payload string")
@@ -227,7 +251,8 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", thresh
     """docs with each line kept once in its class of near-equal lines; adds n_lines and n_removed.
 
     Lines are compared without white space at their ends; lines of white space only stay and are not counted. Lines of at
-    least ``short`` characters are linked within ``threshold`` edits, shorter ones if equal; classes are closed under links. The first line of a class, by key
+    least ``short`` characters are linked within ``threshold`` edits, a line of at least half as many with another one within half the
+    edits, still shorter ones if equal; classes are closed under links. The first line of a class, by key
     and line number (null keys first), stays. Equal rows (key and text) count as one document and lose the same lines. Null texts stay null; a text
     that loses all lines is empty; an empty table gives an empty one; an input column named n_lines or n_removed raises ValueError.
     Lines are named by 64-bit hashes: among n distinct lines two share a name with a chance of about n^2 / 2^65.
@@ -237,7 +262,7 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", thresh
     scratch = Scratch(docs.sparkSession, "lines")
     slim = docs.select(F.xxhash64(key, text).alias("key"), F.col(key).alias("doc"), F.col(text).alias("text"))
     buckets = shared_buckets(_buckets(slim, "text", threshold, short), scratch)
-    near = classes(buckets, lambda ids: only(_texts(slim, "text", short), ids, scratch).dropDuplicates(["id"]), lambda pairs: _verify(pairs, threshold), lambda items: _signs(items, threshold), scratch, _counts, _near_counts(threshold))
+    near = classes(buckets, lambda ids: only(_texts(slim, "text", _least(threshold, short)), ids, scratch).dropDuplicates(["id"]), lambda pairs: _verify(pairs, threshold, short), lambda items: _signs(items, threshold), scratch, _counts, _near_counts(threshold))
     found = scratch.save(_occurrences(slim, "text"), "occurrences")
     named = found.join(near.withColumnRenamed("id", "of"), F.col("id") == F.col("of"), "left").select("key", "doc", "no", F.coalesce("component", "id").alias("class"))
     place = F.struct("doc", "no", "key")
