@@ -140,14 +140,83 @@ def test_occurrences_reach_as_far_as_they_are_alike(spark):
     assert kept[1000] == " ".join(passage + gap)
 
 
-def test_near_paragraphs_by_brute_force():
-    assert substring_dedup.bands_for(0.8, 2, 0.99) == substring_dedup.BANDS
-    rng = np.random.default_rng(1)
-    grams = rng.integers(0, 1 << 63, (400, 21)).astype(np.uint64)
-    other = grams.copy()
-    other[:, :2] = rng.integers(0, 1 << 63, (400, 2)).astype(np.uint64)
-    same = (substring_dedup.band_keys(grams) == substring_dedup.band_keys(other)).any(axis=1)
-    assert same.mean() > 0.98
+def test_recall_of_short_and_changed_passages(spark):
+    """Share of planted pairs of which any part is found, by words of the passage and words replaced in it."""
+    rng = random.Random(29)
+    text = lambda n: [f"w{rng.randrange(1 << 40)}" for _ in range(n)]
+    rows, cases = [], []
+    for n in (25, 30, 40, 51, 60):
+        for changed in (0, 1, 2):
+            for _ in range(60):
+                passage = text(n)
+                other = list(passage)
+                for i in rng.sample(range(n), changed):
+                    other[i] = "changed"
+                k = len(rows)
+                rows += [(k + side, " ".join(text(rng.randint(0, 60)) + body + text(rng.randint(0, 60)))) for side, body in enumerate((passage, other))]
+                cases.append((n, changed, k + 1, k))
+    got = {r.doc_id: r.firsts for r in substring_dedup.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    hits = defaultdict(list)
+    for n, changed, later, first in cases:
+        hits[n, changed].append(first in got.get(later, []))
+    recall = {k: sum(v) / len(v) for k, v in hits.items()}
+    print(recall)
+    assert all(v == 1 for (_, changed), v in recall.items() if not changed)
+    assert all(v >= 0.9 for (n, changed), v in recall.items() if n >= (0, 40, 51)[changed]), recall
+    found = [v for (n, changed), xs in hits.items() if changed for v in xs]
+    assert sum(found) / len(found) > 0.75
+
+
+def test_repeats_by_brute_force(spark):
+    """On a whole small corpus: every exact passage of 25 words is found, and whatever is removed stands in an earlier place."""
+    rng = random.Random(37)
+    words = [f"v{k}" for k in range(60)]
+    phrase = [[rng.choice(words) for _ in range(rng.choice([8, 14, 26, 40, 70]))] for _ in range(25)]
+    texts = []
+    for _ in range(150):
+        body = []
+        for _ in range(rng.randint(1, 5)):
+            part = list(rng.choice(phrase))
+            if rng.random() < 0.3:
+                part[rng.randrange(len(part))] = rng.choice(words)
+            body += part if rng.random() < 0.7 else [rng.choice(words) for _ in range(rng.randint(1, 30))]
+        texts.append(" ".join(body))
+    rows = [(k, x) for k, x in enumerate(texts)] + [(500, texts[3]), (500, texts[3]), (501, texts[4].upper()), (None, texts[5]), (502, None), (503, ""), (504, "a " * 24)]
+    got = {(r.doc_id, r.row_key): r for r in substring_dedup.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(got) == len({d for d, _ in got}), "one row for each document"
+    got = {d: r for (d, _), r in got.items()}
+    bodies = {d: (x or "").lower().split() for d, x in rows}
+    order = sorted(bodies, key=lambda d: (d is None, d or 0))
+    inside = lambda found, i: any(s.start <= i < s.end for s in found)
+    seen, missed, total = {}, 0, 0
+    for d in order:
+        w = bodies[d]
+        for i in range(len(w) - 24):
+            at = seen.setdefault(tuple(w[i : i + 25]), (d, i))
+            if at[0] != d or i - at[1] >= 25:
+                total += 25
+                assert d in got
+                missed += sum(not inside(got[d].removed, i + k) for k in range(25))
+                assert all(inside(got[at[0]].repeated, at[1] + k) for k in range(25)) or missed < total / 50
+    assert total > 20_000 and missed <= total / 100, (missed, total)
+    # precision: a removed span lies word by word on earlier places, at most a fifth of its words differ
+    for r in got.values():
+        w = bodies[r.doc_id]
+        for s in r.removed:
+            assert s.end - s.start >= 25
+            same = np.zeros(s.end - s.start, bool)
+            for e in order[: order.index(r.doc_id) + 1]:
+                v = bodies[e]
+                for shift in range(-len(v), len(w)):
+                    if e == r.doc_id and shift < 25:
+                        continue
+                    eq = np.array([0 <= i - shift < len(v) and w[i] == v[i - shift] for i in range(s.start, s.end)])
+                    runs = np.flatnonzero(np.convolve(eq, np.ones(12), "valid") == 12)
+                    for k in runs:
+                        same[k : k + 12] = True
+            assert same.mean() >= 0.6, (r.doc_id, s)
+    assert not {502, 503, 504} & set(got)
+    assert got[500].removed[0].end == len(bodies[500]) and 3 in got[500].firsts and got[501].removed
 
 
 def test_decontamination(spark):
