@@ -385,30 +385,68 @@ def test_warc_chunks(spark):
     assert rows[1].payload_digest == hashlib.sha1((b"abc" * 100_000)[:128_000]).hexdigest()
 
 
+def viterbi(word, score, byte):
+    """(tokens, pieces) of one pre-token, all ends against all starts."""
+    s = word.replace(" ", "\u2581")
+    best = [(0.0, 0, [])]
+    for end in range(1, len(s) + 1):
+        found = [(best[a][0] + score[s[a:end]], -best[a][1] - 1, a) for a in range(max(0, end - 40), end) if s[a:end] in score]
+        if s[end - 1] not in score:
+            n = len(s[end - 1].encode())
+            found.append((best[end - 1][0] + n * byte, -best[end - 1][1] - n, end - 1))
+        total, n, a = max(found)
+        best.append((total, -n, best[a][2] + [s[a:end]] if len(s) < 200 else []))
+    return best[-1][1:]
+
+
+def pretokens(text, alone):
+    s, out = f" {text}" if text else "", []
+    for i, c in enumerate(s):
+        if not i or c == " " and s[i - 1] != " " or ord(c) in alone or ord(s[i - 1]) in alone:
+            out.append("")
+        out[-1] += c
+    return out
+
+
 def test_token_counts(spark):
-    model = token_counts.Unigram(PIECES)
+    import math
 
-    def brute(text):
-        """Forward scores over the whole text."""
-        if not text:
-            return 0
-        s = ("\u2581" + text.replace(" ", "\u2581"))
-        best = [(0.0, 0)]
-        for end in range(1, len(s) + 1):
-            found = [(best[a][0] + model.score[s[a:end]], -best[a][1] - 1) for a in range(max(0, end - model.longest), end) if s[a:end] in model.score]
-            if s[end - 1] not in model.score:
-                n = len(s[end - 1].encode())
-                found.append((best[end - 1][0] + n * model.byte, -best[end - 1][1] - n))
-            score, n = max(found)
-            best.append((score, -n))
-        return best[-1][1]
-
-    docs = spark.createDataFrame([(k, x if x is None else x[:400]) for k, x in enumerate(TEXTS)] + [(0, "The quick brown fox")] * 2 + [(99, "  two  spaces\n\nand lines ")], "doc_id long, text string").withColumn("word", F.lit(1))
+    model = token_counts.Unigram(PIECES)
+    texts = [x for x in TEXTS if x is None or len(x) != 5000] + ["x" * 150, "The quick brown fox", "The quick brown fox", "  two  spaces\n\nand lines "]
+    rows = [pretokens(x, model.alone) for x in texts]
+    words = Counter(w for r in rows for w in r)
+    score, byte = model.score, model.byte
+    for _ in range(token_counts.ROUNDS):
+        counts = Counter()
+        for w, n in words.items():
+            for p in viterbi(w, score, byte)[1]:
+                counts[p] += n * (p in score)
+        total = math.log(sum(counts.values()) + len(score))
+        score = {p: math.log(counts[p] + 1) - total for p in score}
+        byte = min(score.values()) - 10
+    want = [(sum(viterbi(w, score, byte)[0] for w in r), len(r)) for r in rows]
+    docs = spark.createDataFrame([(k, x) for k, x in enumerate(texts)] + [(1, texts[1])], "doc_id long, text string").withColumn("word", F.lit(1))
     for hot in (3, 1 << 19):
-        rows = token_counts.count_tokens(docs, PIECES, hot=hot).collect()
-        got = Counter((r.doc_id, r.n_tokens) for r in rows)
-        assert got == Counter((r.doc_id, brute(r.text)) for r in docs.collect())
+        counts = token_counts.count_tokens(docs.where("not (doc_id = 1 and text is null)").dropDuplicates(["doc_id"]), PIECES, hot=hot).collect()
+        assert {r.doc_id: (r.n_tokens, r.n_pretokens) for r in counts} == dict(enumerate(want))
+    again = token_counts.count_tokens(docs, PIECES, hot=3).collect()
+    assert len(again) == len(texts) + 1 and len({r.n_tokens for r in again if r.doc_id == 1}) == 1
+    long = spark.createDataFrame([(0, "x" * 5000 + " " + "word " * 5000)], "doc_id long, text string")
+    assert token_counts.count_tokens(long, PIECES).first().n_pretokens == 5002
     assert token_counts.count_tokens(docs.limit(0), PIECES).count() == 0
+    with pytest.raises(ValueError):
+        token_counts.count_tokens(docs.withColumn("n_tokens", F.lit(1)), PIECES)
+
+
+def test_shared_prefixes_are_computed_once():
+    rng = random.Random(12)
+    words = sorted({"".join(rng.choice("abc ") for _ in range(rng.randint(1, 12))) for _ in range(3000)}, key=lambda w: w.encode())
+    model = token_counts.Unigram(PIECES)
+    walk = token_counts.Walk(model)
+    got = [walk.to(w) for w in words]
+    assert walk.computed == len({w[:k] for w in words for k in range(1, len(w) + 1)})
+    assert got == [viterbi(w, model.score, model.byte)[0] for w in words]
+    assert got == [token_counts.Walk(model).to(w) for w in words]
 
 
 def test_golay_code_meets_near_vectors():

@@ -1,7 +1,8 @@
 """BPE encoding and decoding over a distinct-word table (operator 2).
 
 Words are split in Spark tasks over whole Arrow buffers, each distinct word is encoded once, ids are joined back by
-position, and decoding joins ids to the pieces of the vocabulary (a table as long as the vocabulary).
+position. Decoding joins ids to the pieces of the vocabulary; the id-to-piece table is as long as the vocabulary (49,408 rows, whatever
+the corpus), so each task holds it and the join is a lookup by id, without a shuffle of ids.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .scratch import Scratch, flat, strings
-from .words import HOT, WordTable
+from .words import HOT, WordTable, row_key
 
 # Byte classes of the pre-tokeniser: 0 white space, 1 letter, 2 digit, 3 other. Bytes from 0x80 count as letters in
 # the fast path, which only sees texts whose other characters are U+00C0 to U+00FF without the two signs among them.
@@ -157,7 +158,7 @@ def _encode(docs: DataFrame, path: str, text: str, hot: int, finish, schema: str
     scratch = Scratch(docs.sparkSession, "bpe")
     words = WordTable(docs, text, lambda: WordSplitter(path), lambda: word_encoder(path), "array<int>", scratch, hot)
     # the key names equal rows; repeated rows share a key and so the lists of their other words
-    source = docs.select("*", F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns if docs.schema[c].dataType.typeName() not in ("map", "variant")]).alias("__key"))
+    source = docs.select("*", row_key(docs).alias("__key"))
 
     def emit(codes, ends, values):
         press = zstandard.ZstdCompressor(level=3).compress
@@ -225,7 +226,10 @@ def decode(coded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
 
 def digests(docs: DataFrame, path: str, text: str = "text", hot: int = HOT) -> DataFrame:
     """docs without the text, with n_tokens, ids_sha256 (of the ids as little-endian unsigned 32-bit integers) and
-    decoded_sha256 (of the decoded text): encode and decode in one pass over the ids, for audits of whole corpora."""
+    decoded_sha256 (of the decoded text): encode and decode in one pass over the ids, for audits of whole corpora.
+
+    Null and empty texts have no ids and decode to an empty text; repeated rows stay; an empty table gives an empty one; an input
+    column named like an added one (or ``codes``, ``rest``, ``far``) raises ValueError."""
     _clash(docs, {"n_tokens", "ids_sha256", "decoded_sha256", "codes", "rest", "far"})
 
     def finish():

@@ -14,12 +14,13 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import Scratch, slices
 
-#: At most so many words are frequent. Words longer than LONG bytes never are, which bounds the broadcast.
+#: At most so many words are frequent. Words longer than LONG bytes are only if among the HOT / 128 most frequent, those over 64 * LONG
+#: bytes never, which bounds the broadcast.
 HOT, LONG = 1 << 19, 64
 
 #: splitter(text column of a batch) -> parts (row numbers, words of these rows behind each other, words per row)
@@ -43,28 +44,42 @@ def _table(shared, name: str) -> pa.Table:
     return _loaded[name]
 
 
+def word_counts(docs: DataFrame, text: str, split: Callable[[], Split]) -> DataFrame:
+    """(word, n): how often each word stands in the texts."""
+
+    def found(batches):
+        cut = split()
+        for batch in slices(batches, text, 4 << 20):
+            for _, words, _ in cut(batch.column(text)):
+                seen = words.value_counts()
+                yield pa.RecordBatch.from_arrays([seen.field("values").cast(pa.string()), seen.field("counts").cast(pa.int64())], ["word", "n"])
+
+    return docs.select(text).mapInArrow(found, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def row_key(docs: DataFrame) -> Column:
+    """128 bits that name equal rows."""
+    columns = [F.col(f"`{c}`") for c in docs.columns if docs.schema[c].dataType.typeName() not in ("map", "variant")]
+    return F.struct(F.xxhash64(*columns).alias("a"), F.xxhash64(F.lit("second"), *columns).alias("b"))
+
+
 class WordTable:
-    """value_type: Spark type of what ``encode(words) -> Arrow array`` gives for each word."""
+    """value_type: Spark type of what ``encode(words) -> Arrow array`` gives for each word. counts: those of ``word_counts``, if known."""
 
-    def __init__(self, docs: DataFrame, text: str, split: Callable[[], Split], encode: Callable[[], Callable[[list[str]], pa.Array]], value_type: str, scratch: Scratch, hot: int = HOT):
+    def __init__(self, docs: DataFrame, text: str, split: Callable[[], Split], encode: Callable[[], Callable[[list[str]], pa.Array]], value_type: str, scratch: Scratch, hot: int = HOT, counts: DataFrame | None = None):
         spark = docs.sparkSession
         self.text, self.split = text, split
 
-        def found(batches):
-            cut = split()
-            for batch in slices(batches, text, 4 << 20):
-                for _, words, _ in cut(batch.column(text)):
-                    seen = words.value_counts()
-                    yield pa.RecordBatch.from_arrays([seen.field("values").cast(pa.string()), seen.field("counts").cast(pa.int64())], ["word", "n"])
-
         def encoded(batches):
             one = encode()
             for batch in batches:
                 yield pa.RecordBatch.from_arrays([*batch.columns, one(batch.column("word").to_pylist())], ["word", "n", "value"])
 
-        counts = docs.select(text).mapInArrow(found, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+        counts = word_counts(docs, text, split) if counts is None else counts
         table = scratch.save(counts.mapInArrow(encoded, f"word string, n long, value {value_type}"), "words")
-        frequent = (F.col("n") >= self._edge(table, hot)) & (F.octet_length("word") <= LONG)
+        bytes_of = F.octet_length("word")
+        edge, high = self._edges(table, hot, hot // 128)
+        frequent = (F.col("n") >= edge) & (bytes_of <= LONG) | (F.col("n") >= high) & (bytes_of <= 64 * LONG)
         self.rare = table.where(~frequent).select("word", "value")
         self.table = table
         # the most frequent first: small codes are the most common ones
@@ -75,17 +90,20 @@ class WordTable:
         self.shared = spark.sparkContext.broadcast(_ipc(got))
 
     @staticmethod
-    def _edge(table: DataFrame, hot: int) -> float:
-        """A count that at most ``hot`` words reach: from the sizes of classes of counts, sixteen to a doubling."""
+    def _edges(table: DataFrame, *most: int) -> list[float]:
+        """Counts that at most so many words reach: from the sizes of classes of counts, sixteen to a doubling."""
         step = F.floor(F.log2(F.col("n")) * 16)
-        left = hot
-        edge = float("inf")
-        for k, low, words in sorted(table.groupBy(step.alias("k")).agg(F.min("n"), F.count("*")).collect(), reverse=True):
-            left -= words
-            if left < 0:
-                break
-            edge = low
-        return float(edge)
+        classes = sorted(table.groupBy(step.alias("k")).agg(F.min("n"), F.count("*")).collect(), reverse=True)
+        out = []
+        for left in most:
+            edge = float("inf")
+            for _, low, words in classes:
+                left -= words
+                if left < 0:
+                    break
+                edge = float(low)
+            out.append(edge)
+        return out
 
     def coded(self, docs: DataFrame, emit: Callable, schema: str) -> DataFrame:
         """docs with ``schema`` columns added: emit(batch, rows, codes, counts, values) gives their arrays.
