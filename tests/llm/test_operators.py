@@ -230,8 +230,26 @@ def test_decontamination(spark):
             assert (r.n_words, r.n_hit, r.items) == (n, hit, [i for i in found if i is not None] if None not in found else [])
             if r.doc_id == 0:
                 assert texts[0][r.spans[0].start : r.spans[0].end] == "ALPHA, beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi"
+    named = decontaminate.decontaminate(docs, bench.withColumn("item_id", F.concat(F.lit("q"), "item_id"))).where("doc_id = 1").first()
+    assert named["items"] == ["q2"]
     assert decontaminate.decontaminate(docs, bench.limit(0)).agg(F.sum("n_hit")).first()[0] == 0
     assert decontaminate.decontaminate(docs.limit(0), bench).count() == 0
+    with pytest.raises(ValueError):
+        decontaminate.decontaminate(docs.withColumn("spans", F.lit(1)), bench)
+
+
+def test_a_benchmark_of_several_blocks(spark):
+    rng = random.Random(6)
+    words = [f"b{k}" for k in range(40)]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    items = [(k, text(rng.randint(1, 40))) for k in range(30)]
+    docs = [(k, text(rng.randint(0, 60)) + " " + rng.choice(items)[1][:60] + " " + text(rng.randint(0, 60))) for k in range(40)] + [(7, "again and again"), (7, "again and again")]
+    bench, frame = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string")
+    small = 2000
+    assert decontaminate.window_table(bench, "item_id", "text", Scratch(spark, "t"), small)[1] > 5
+    rows = decontaminate.decontaminate(frame, bench, block=small).collect()
+    assert Counter((r.doc_id, r.text, r.n_words, r.n_hit, tuple(r.items)) for r in rows) == Counter((d, x, n, hit, tuple(found)) for d, x in docs for n, hit, found in [brute.contamination(x, items)])
+    assert sorted(map(str, rows)) == sorted(map(str, decontaminate.decontaminate(frame, bench).collect()))
 
 
 def test_url_filter(spark):
@@ -490,7 +508,7 @@ def test_simhash(spark):
 
 def test_quality(spark):
     docs = brute.documents(spark)
-    rows = quality.quality(docs, least=1, share=0.1).collect()
+    rows = quality.quality(docs, least=1).collect()
     assert len(rows) == docs.count()
     for r in rows:
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == brute.quality(r.text)
@@ -500,6 +518,27 @@ def test_quality(spark):
         quality.quality(docs.withColumn("kept", F.lit(1)))
 
 
+def test_clashing_columns_raise(spark):
+    docs = brute.documents(spark, extra=False)
+    cases = [
+        lambda: sharding.assign(docs.withColumn("shard", F.lit(1)), 4), lambda: bpe.digests(docs.withColumn("n_tokens", F.lit(1)), BPE), lambda: substring_dedup.repeats(docs.withColumnRenamed("doc_id", "class_id"), key="class_id"),
+        lambda: urls.judge(docs.select("doc_id", F.lit("u").alias("url"), F.lit(1).alias("rule")), []), lambda: line_dedup.dedup_lines(docs.withColumn("n_lines", F.lit(1))), lambda: simhash.near_duplicates(docs.withColumn("fp", F.lit(1))),
+    ]
+    for case in cases:
+        with pytest.raises(ValueError):
+            case()
+
+
+def test_lines_of_a_hot_host_count_by_documents_alone(spark):
+    """A line of few of a large host's documents goes too: the limit is a count, whatever the size of the host."""
+    rows = [(k, f"A line that a few documents of the host have in common.\nOwn text {k} " + "of many words " * 3 + f"{k} {k}" if k < 30 else f"Nothing shared here but {k} and some words of padding {k} {k} {k}", "h") for k in range(600)]
+    got = {r.doc_id: r for r in quality.quality(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert {d for d, r in got.items() if r.removed} == set(range(1, 30)) and len(got) == 600
+    assert all(got[k].kept_words == got[k].n_words - 12 for k in range(1, 30))
+    twice = spark.createDataFrame(rows[:30] + rows[:30], "doc_id long, text string, source string")
+    assert sorted((r.doc_id, r.kept_words) for r in quality.quality(twice).collect()) == sorted((k, got[k].kept_words) for k in [*range(30)] * 2)
+
+
 def test_frequent_lines_go_but_for_the_first(spark):
     common = "This very line stands in each document of the host and is above its limits."
     rows = [(k, f"{common}\nOwn words number {k} follow here and they are more than ten in all, surely {k}.", "h") for k in range(30)]

@@ -40,9 +40,8 @@ lw as (select * from ls where nw > 0),
 dup as (select doc_id, sum(c - 1)::bigint as n from (select doc_id, l, count(*) as c from lw group by 1, 2) group by 1),
 win as (select doc_id, i, array_to_string(w[i:i + 4], ' ') as x from (select doc_id, w, unnest(range(1, len(w) - 3)) as i from d where len(w) >= 5)),
 rep as (select doc_id, count(distinct p) as n from (select doc_id, unnest(range(i, i + 5)) as p from (select *, count(*) over (partition by doc_id, x) as c from win) where c > 1) group by 1),
-hosts as (select source, count(distinct text) as docs from documents where text is not null group by 1),
 freq as (select source, k, count(distinct text) as n, min(doc_id) as first from lw group by 1, 2),
-bad as (select source, k, first from freq join hosts using (source) where n > 20 and n > 0.1*docs),
+bad as (select source, k, first from freq where n > 20),
 lost as (select doc_id, sum(nw)::bigint as n from lw join bad using (source, k) where doc_id <> first group by 1),
 b as (select d.doc_id, len(w)::bigint as n_words, len(array_to_string(w, ''))::bigint as word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::bigint as n_symbols,
  coalesce(dup.n, 0)::bigint as n_dup_lines, coalesce(rep.n, 0)::bigint as n_repeat_words, (len(w) - coalesce(lost.n, 0))::bigint as kept_words

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .scratch import Scratch
 
 # White space that ends a word, signs that count as symbols.
-SPACE = "[\\x20\\x09-\\x0D]+"
+SPACE, WORD = "[\\x20\\x09-\\x0D]+", "[^\\x20\\x09-\\x0D]+"
 SYMBOLS = "[#*$%&|<>]"
 WINDOW = 5
 
@@ -19,7 +19,7 @@ def _words(text: Column) -> Column:
 
 def line_key(line: Column) -> Column:
     """Hash of a line in lower case, trimmed, runs of white space as one space; null for a line without a word."""
-    return F.when(line.rlike("[^\\x20\\x09-\\x0D]"), F.xxhash64(F.lower(F.trim(F.regexp_replace(line, SPACE, " ")))))
+    return F.when(line.rlike(WORD), F.xxhash64(F.lower(F.trim(F.regexp_replace(line, SPACE, " ")))))
 
 
 def _repeated(places: Column) -> Column:
@@ -55,48 +55,58 @@ def base_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     return out.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
 
 
-def frequent_lines(docs: DataFrame, text: str = "text", host: str = "source", key: str = "doc_id", least: int = 20, share: float = 0.1) -> DataFrame:
-    """(host, line, first): normalised lines that more than ``least`` documents and more than ``share`` of the host's
-    documents have. Equal texts count as one document, so groups of copies do not make their lines frequent. ``first``
-    is the smallest key of a document that has the line. A host has at most (lines per document / share) such lines.
+def line_table(docs: DataFrame, text: str = "text", host: str = "source", key: str = "doc_id") -> DataFrame:
+    """(row, host, key, no, line, n): the lines with a word of each document, by number, hash of the normalised line and words.
+
+    row: 128 bits that name equal rows; its first half is a hash of the text alone.
     """
     t = F.col(text)
-    each = docs.where(t.isNotNull()).select(F.col(host).alias("host"), F.col(key).alias("key"), F.xxhash64(t).alias("doc"), F.explode(F.array_distinct(F.transform(F.split(t, "\n"), line_key))).alias("line"))
-    lines = each.where("line is not null").groupBy("host", "line").agg(F.count_distinct("doc").alias("n"), F.min("key").alias("first"))
-    hosts = docs.where(t.isNotNull()).groupBy(F.col(host).alias("of")).agg(F.count_distinct(F.xxhash64(t)).alias("docs"))
-    found = lines.where(F.col("n") > least).join(hosts, F.col("host").eqNullSafe(F.col("of")))
-    return found.where(F.col("n") > share * F.col("docs")).select("host", "line", "first")
+    each = docs.where(t.isNotNull()).select(_row(text, host, key).alias("row"), F.col(host).alias("host"), F.col(key).alias("key"), F.posexplode(F.split(t, "\n")).alias("no", "text"))
+    return each.select("row", "host", "key", "no", line_key(F.col("text")).alias("line"), F.regexp_count("text", F.lit(WORD)).alias("n")).where("line is not null")
+
+
+def _row(text: str, host: str, key: str) -> Column:
+    return F.struct(F.xxhash64(text).alias("a"), F.xxhash64(key, host, text).alias("b"))
 
 
-def quality(docs: DataFrame, text: str = "text", host: str = "source", key: str = "doc_id", least: int = 20, share: float = 0.1, left: float = 0.2) -> DataFrame:
-    """docs with the base counts, ``removed`` (numbers of the lines above the limits), ``kept_words`` and ``kept``.
+def frequent_lines(lines: DataFrame, least: int = 20) -> DataFrame:
+    """(host, line, first): normalised lines of ``line_table`` that more than ``least`` documents of a host have.
+
+    Equal texts count as one document: a group of copies, which near-dedup reduces to one, does not make all its lines
+    frequent. ``first`` is the smallest key of a document that has the line.
+    """
+    found = lines.groupBy("host", "line").agg(F.count_distinct("row.a").alias("n"), F.min("key").alias("first"))
+    return found.where(F.col("n") > least).select(F.col("host").alias("of"), F.col("line").alias("common"), "first")
+
+
+def quality(docs: DataFrame, text: str = "text", host: str = "source", key: str = "doc_id", least: int = 20, left: float = 0.2) -> DataFrame:
+    """docs with the base counts, ``removed`` (numbers of the lines above the limit), ``kept_words`` and ``kept``.
 
     A line that ``frequent_lines`` names goes from every document of its host but the first one that has it. A document
     is rejected if it fails the base rules or keeps under ``left`` of its words. Null texts have no words and fail; a
     null host is a host of its own; repeated rows are one document; an empty table gives an empty one; other columns
     stay (a column named like an added one raises ValueError).
+
+    Lines meet the frequent ones in a join by host and line, so neither side need be small, and what goes meets the documents by the rows' hash;
+    the counts are made before that join, so a text that is not asked for is not shuffled.
     """
     added = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "removed", "kept_words", "kept"}
     if both := added & set(docs.columns):
         raise ValueError(f"rename these input columns first: {sorted(both)}")
     scratch = Scratch(docs.sparkSession, "quality")
-    found = scratch.save(frequent_lines(docs, text, host, key, least, share), "lines")
-    by_host = scratch.save(found.groupBy("host").agg(F.collect_list(F.struct("line", "first")).alias("__frequent")), "hosts")
-    t = F.coalesce(F.col(text), F.lit(""))
-    base = base_counts(docs.join(by_host.withColumnRenamed("host", "__host"), F.col(host).eqNullSafe(F.col("__host")), "left").drop("__host"), text)
-    mine = F.filter("__frequent", lambda x: ~x["first"].eqNullSafe(F.col(key)))
-    numbered = F.transform(F.split(t, "\n"), lambda x, i: F.struct(i.alias("i"), line_key(x).alias("k"), F.size(_words(x)).alias("n")))
-    base = base.withColumn("__own", F.when(F.size(mine) > 0, F.transform(mine, lambda x: x["line"])))
-    gone = F.when(F.col("__own").isNotNull(), F.filter(numbered, lambda x: F.coalesce(F.array_contains(F.col("__own"), x["k"]), F.lit(False))))
-    base = base.withColumn("__gone", gone)
-    lost = F.aggregate("__gone", F.lit(0), lambda s, x: s + x["n"])
-    base = base.withColumn("removed", F.coalesce(F.transform("__gone", lambda x: x["i"]), F.array().cast("array<int>")))
-    base = base.withColumn("kept_words", F.col("n_words") - F.coalesce(lost, F.lit(0)))
-    base = base.withColumn("kept", ~F.col("base_failed") & (F.col("kept_words") >= left * F.col("n_words")))
-    base = base.drop("__frequent", "__own", "__gone")
+    lines = scratch.save(line_table(docs, text, host, key), "lines")
+    found = scratch.save(frequent_lines(lines, least), "frequent")
+    met = lines.join(found, F.col("host").eqNullSafe(F.col("of")) & (F.col("line") == F.col("common"))).where(~F.col("key").eqNullSafe(F.col("first")))
+    gone = scratch.save(met.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("no", "n"))).alias("gone")), "gone")
+    base = base_counts(docs, text).withColumn("__row", _row(text, host, key))
     # a fence: a filter on the verdict would else be pushed below the projections, and each array in it
     # computed again for every element of the next
-    return base.select(F.inline(F.array(F.struct(*(F.col(f"`{c}`") for c in base.columns)))))
+    base = base.select(F.inline(F.array(F.struct(*(F.col(f"`{c}`") for c in base.columns)))))
+    base = base.join(gone.withColumnRenamed("row", "__of"), F.col("__row") == F.col("__of"), "left").drop("__row", "__of")
+    lost = F.coalesce(F.aggregate("gone", F.lit(0).cast("long"), lambda s, x: s + x["n"]), F.lit(0))
+    base = base.withColumn("removed", F.coalesce(F.transform("gone", lambda x: x["no"]), F.array().cast("array<int>")))
+    base = base.withColumn("kept_words", F.col("n_words") - lost).drop("gone")
+    return base.withColumn("kept", ~F.col("base_failed") & (F.col("kept_words") >= left * F.col("n_words")))
 
 
 def without_lines(text: Column, removed: Column) -> Column:

@@ -16,7 +16,10 @@ RULES = [urls.Rule("org/", "allow"), urls.Rule("example.org/es/", "block"), urls
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    """A table; a file of few row groups is few tasks, however many cores there are, so its rows are dealt out."""
+    df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -72,7 +72,11 @@ def shard_key(df: DataFrame, key: str) -> Column:
 
 
 def assign(df: DataFrame, shards: int, key: str = "doc_id") -> DataFrame:
-    """df with ``shard`` and ``grown_shard`` (with one shard more), from the key alone: no shuffle, no ring table."""
+    """df with ``shard`` and ``grown_shard`` (with one shard more), from the key alone: no shuffle, no ring table.
+
+    A null key counts as 0; an input column named like an added one raises ValueError."""
+    if both := {"shard", "grown_shard"} & set(df.columns):
+        raise ValueError(f"rename these input columns first: {sorted(both)}")
     return df.withColumns({"shard": jump(shard_key(df, key), shards), "grown_shard": jump(shard_key(df, key), shards + 1)})
 
 

@@ -24,6 +24,8 @@ from .scratch import Scratch
 CHUNK = 1 << 18
 #: Equal payloads of at least so many bytes are written once.
 REVISIT = 1000
+#: Revisits that may be broadcast, about 70 bytes each.
+FEW = 1 << 20
 #: A task closes an archive beyond so many compressed bytes and opens the next.
 ARCHIVE = 1 << 30
 DATE = "2024-01-01T00:00:00Z"
@@ -51,12 +53,16 @@ def chunk_table(pages: DataFrame, key: str, url: str, html: str, scratch: Scratc
     tops = scratch.save(large.groupBy(F.col("digest").alias("d")).agg(F.max("page").alias("refers"), F.count("*").alias("n")).where("n > 1").select("d", "refers"), "tops")
     again = large.join(tops, F.col("digest") == F.col("d")).where("page < refers").select(F.col("page").alias("p"), "d", "refers").distinct()
     again = scratch.save(again, "revisits")
-    marked = slim.join(again, (F.col("page") == F.col("p")) & (F.col("digest") == F.col("d")), "left").drop("p", "d")
-    kept = F.when(F.col("refers").isNull(), F.col("body")).otherwise(F.lit(b""))
-    marked = marked.withColumn("body", kept)
-    parts = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.length("body") / chunk).cast("int") - 1)), lambda i: F.substring("body", i * chunk + 1, F.lit(chunk)))
-    rows = marked.select("page", "url", "size", "digest", "refers", F.posexplode(parts).alias("no", "data"))
-    return rows.withColumn("last", F.col("no") + 1 >= F.when(F.col("refers").isNull(), F.ceil(F.col("size") / chunk)).otherwise(F.lit(1)))
+    # payloads stay where they are while the revisits can be broadcast; many more of them meet the payloads hash by hash, without a sort
+    few = again.count() <= FEW
+    met = (F.col("page") == F.col("p")) & (F.col("digest") == F.col("d"))
+    marked = slim.join(F.broadcast(again) if few else again.hint("shuffle_hash"), met, "left").drop("p", "d")
+    kept = F.when(F.col("refers").isNull(), F.col("size")).otherwise(F.lit(0))
+    # one chunk of a payload at a time: the rows that explode makes share the payload, and each cuts its own piece
+    numbers = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(kept / chunk).cast("int") - 1))
+    rows = marked.withColumn("kept", kept).select("page", "url", "size", "digest", "refers", "kept", "body", F.explode(numbers).alias("no"))
+    data = F.when(F.col("refers").isNull(), F.substring("body", F.col("no") * chunk + 1, F.lit(chunk))).otherwise(F.lit(b""))
+    return rows.select("page", "url", "size", "digest", "refers", "no", data.alias("data"), ((F.col("no") + 1) * F.lit(chunk) >= F.col("kept")).alias("last"))
 
 
 class _Archive:
@@ -82,7 +88,8 @@ def write_archives(pages: DataFrame, folder: str, key: str = "page_id", url: str
     """Write one record for each row into .warc.gz files of ``folder`` and return the list (archive, bytes, records).
 
     Of rows with equal payloads of at least 1000 bytes those with the largest key are responses, the others revisit it. A
-    null payload is empty; rows without a key are responses; repeated rows are records each; an empty table writes no archive.
+    null payload is empty; rows without a key are responses; repeated rows are records each; an empty table writes no archive. The key
+    must be castable to long; columns other than the three named are not written.
     """
     scratch = Scratch(pages.sparkSession, "warc")
     fs, base = pyarrow.fs.FileSystem.from_uri(folder)
@@ -91,7 +98,8 @@ def write_archives(pages: DataFrame, folder: str, key: str = "page_id", url: str
     def run(batches: Iterator[pa.RecordBatch]):
         archive = press = state = None
         for batch in batches:
-            for row in batch.to_pylist():
+            for k in range(batch.num_rows):
+                row = {c: batch.column(c)[k].as_py() for c in batch.schema.names}  # one chunk at a time
                 archive = archive or _Archive(folder)
                 if row["no"] == 0:
                     press, state = zlib.compressobj(4, zlib.DEFLATED, 31), hashlib.sha1()
