@@ -1,6 +1,7 @@
 """Polygons, lines and cells: overlap shares, intersections, points in polygons, projections.
 
-A shape is (shape_id, pts): a closed ring as ARRAY<STRUCT<x, y>>. Candidate cells come from integer ranges of
+A shape is one or more rows (shape_id, pts): a closed ring each, as ARRAY<STRUCT<x, y>>. Rings of a shape must not cross; a column
+``is_hole``, where there is one, tells rings that cut out of the others. Candidate cells come from integer ranges of
 the bounding box, so overlays are equi-joins on (ix, iy).
 """
 
@@ -63,13 +64,23 @@ def cell_candidates(grid: DataFrame, shapes: DataFrame, pad: int = 0) -> DataFra
     return some.join(grid.select("cell_id", "ix", "iy", "x0", "x1", "y0", "y1"), ["ix", "iy"])
 
 
+def ring_sign(shapes: DataFrame) -> Column:
+    """1 for a ring that adds to its shape, -1 for a hole."""
+    return F.when(F.col("is_hole"), num(-1)).otherwise(num(1)) if "is_hole" in shapes.columns else num(1)
+
+
+def shape_area(shapes: DataFrame) -> DataFrame:
+    """(shape_id, area) in the plane of the points, holes taken out."""
+    return shapes.groupBy("shape_id").agg(F.sum(ring_sign(shapes) * ring_area(ring(F.col("pts")))).alias("area"))
+
+
 def indicator_matrix(grid: DataFrame, shapes: DataFrame) -> DataFrame:
     """(shape_id, cell_id, share): the share of each cell's area that lies in the shape."""
     pairs = cell_candidates(grid, shapes.withColumn("pts", ring(F.col("pts"))))
     for k, (axis, bound, below) in enumerate((("x", "x0", False), ("x", "x1", True), ("y", "y0", False), ("y", "y1", True))):
         pairs = pairs.withColumn(f"__c{k}", clip_half(F.col("pts" if k == 0 else f"__c{k - 1}"), axis, F.col(bound), below))
     share = ring_area(F.col("__c3")) / ((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")))
-    rows = pairs.select("shape_id", "cell_id", F.when(F.size("__c3") >= 3, share).otherwise(num(0)).alias("share"))
+    rows = pairs.select("shape_id", "cell_id", F.when(F.size("__c3") >= 3, share * ring_sign(shapes)).otherwise(num(0)).alias("share"))
     return rows.groupBy("shape_id", "cell_id").agg(F.sum("share").alias("share")).where("share > 0")
 
 
@@ -88,13 +99,16 @@ def segment_meets_box(a: Column, b: Column, x0: Column, x1: Column, y0: Column,
 
 
 def intersection_matrix(grid: DataFrame, shapes: DataFrame, lines: bool = False) -> DataFrame:
-    """(shape_id, cell_id) of cells that a polygon (or line) meets; touching counts."""
+    """(shape_id, cell_id) of cells that a polygon (or line) meets; touching counts. A cell within a hole is not met."""
     pairs = cell_candidates(grid, shapes.withColumn("pts", F.col("pts") if lines else ring(F.col("pts"))), 0)
     ends = F.slice("pts", 2, F.size("pts") - 1) if lines else next_points(F.col("pts"))
     starts = F.slice("pts", 1, F.size("pts") - 1) if lines else F.col("pts")
     edges = F.exists(F.zip_with(starts, ends, lambda a, b: segment_meets_box(a, b, F.col("x0"), F.col("x1"), F.col("y0"), F.col("y1"))), lambda v: v)
-    meets = edges if lines else edges | point_in_ring((F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2, F.col("pts"))
-    return pairs.where(meets).select("shape_id", "cell_id").distinct()
+    if lines:
+        return pairs.where(edges).select("shape_id", "cell_id").distinct()
+    inside = point_in_ring((F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2, F.col("pts"))
+    rings = pairs.groupBy("shape_id", "cell_id").agg(F.bool_or(edges).alias("edge"), F.count_if(inside).alias("around"))
+    return rings.where("edge or around % 2 = 1").select("shape_id", "cell_id")
 
 
 # WGS84 and the parameters of the European equal-area projection (EPSG:3035).
@@ -136,11 +150,42 @@ def project(x: Column, y: Column, crs: int | str) -> tuple[Column, Column]:
     raise ValueError(f"no projection for {crs!r}: 4326, 'cea' or 3035")
 
 
-def reproject(points: Column, crs: int | str) -> Column:
-    """Vertex by vertex, from degrees."""
+def _latitude(beta: Column) -> Column:
+    """Degrees of latitude from the authalic latitude in radians, by the published series in the eccentricity (to its sixth power)."""
+    e2, e4, e6 = _E2, _E2**2, _E2**3
+    terms = ((2, e2 / 3 + 31 * e4 / 180 + 517 * e6 / 5040), (4, 23 * e4 / 360 + 251 * e6 / 3780), (6, 761 * e6 / 45360))
+    return F.degrees(beta + sum((num(c) * F.sin(num(k) * beta) for k, c in terms), num(0)))
+
+
+def unproject(x: Column, y: Column, crs: int | str) -> tuple[Column, Column]:
+    """Metres of a plane of ``project`` to degrees."""
+    if crs in (4326, "4326"):
+        return x, y
+    if crs == "cea":
+        return F.degrees(x / num(_A)), _latitude(F.asin(num(2) * y / num(_A * _QP)))
+    if crs in (3035, "3035"):
+        beta0 = math.asin(_q(math.sin(_LAT0)) / _QP)
+        rq = _A * math.sqrt(_QP / 2)
+        d = _A * math.cos(_LAT0) / math.sqrt(1 - _E2 * math.sin(_LAT0) ** 2) / (rq * math.cos(beta0))
+        east, north = (x - num(_FE)) / num(d), (y - num(_FN)) * num(d)
+        rho = F.hypot(east, north)
+        c = num(2) * F.asin(rho / num(2 * rq))
+        beta = F.asin(F.cos(c) * num(math.sin(beta0)) + F.coalesce(F.try_divide(north * F.sin(c) * num(math.cos(beta0)), rho), num(0)))
+        lam = F.atan2(east * F.sin(c), rho * num(math.cos(beta0)) * F.cos(c) - north * num(math.sin(beta0)) * F.sin(c))
+        return F.degrees(num(_LON0) + lam), _latitude(beta)
+    raise ValueError(f"no projection for {crs!r}: 4326, 'cea' or 3035")
+
+
+def moved(x: Column, y: Column, source: int | str, target: int | str) -> tuple[Column, Column]:
+    """A point of one plane in another one."""
+    return (x, y) if str(source) == str(target) else project(*unproject(x, y, source), target)
+
+
+def reproject(points: Column, crs: int | str, source: int | str = 4326) -> Column:
+    """Vertex by vertex, from ``source`` (degrees by default)."""
 
     def move(p: Column) -> Column:
-        x, y = project(p["x"], p["y"], crs)
+        x, y = moved(p["x"], p["y"], source, crs)
         return F.struct(x.alias("x"), y.alias("y"))
 
     return F.transform(points, move)
@@ -157,8 +202,41 @@ def density_layout(grid: DataFrame, density: float, crs: int | str = 4326) -> Da
     return cell_area(grid, crs).select("cell_id", (F.col("area") * num(density)).alias("capacity"))
 
 
-def wkt_ring(text: Column) -> Column:
-    """The outer ring (or line) of POLYGON((x y, ...)) or LINESTRING(x y, ...)."""
-    inner = F.regexp_extract(text, r"\(+([^()]*)\)", 1)
-    pairs = F.transform(F.split(inner, r"\s*,\s*"), lambda p: F.split(F.trim(p), r"\s+"))
+def _points(text: Column) -> Column:
+    """Points of "x y, x y"; further coordinates are left out."""
+    pairs = F.transform(F.split(F.trim(text), r"\s*,\s*"), lambda p: F.split(F.trim(p), r"\s+"))
     return F.transform(pairs, lambda p: F.struct(p[0].cast("double").alias("x"), p[1].cast("double").alias("y")))
+
+
+def wkt_ring(text: Column) -> Column:
+    """The line of LINESTRING(x y, ...), or the outer ring of a POLYGON without holes; null for any other text."""
+    simple = text.rlike(r"(?i)^\s*(LINESTRING\s*\([^()]*\)|POLYGON\s*\(\s*\([^()]*\)\s*\))\s*$")
+    return F.when(simple, _points(F.regexp_extract(text, r"\(+([^()]*)\)", 1)))
+
+
+_RINGS = "array<struct<pts:array<struct<x:double,y:double>>,is_hole:boolean>>"
+
+
+def wkt_rings(text: Column) -> Column:
+    """All rings (pts, is_hole) of a POLYGON or MULTIPOLYGON: of each polygon the first is its outline, the others are holes."""
+    polygons = F.regexp_extract_all(text, F.lit(r"\(\s*\([^()]*\)(?:\s*,\s*\([^()]*\))*\s*\)"), F.lit(0))
+
+    def rings(polygon: Column) -> Column:
+        each = F.regexp_extract_all(polygon, F.lit(r"\(([^()]*)\)"), F.lit(1))
+        return F.transform(each, lambda r, i: F.struct(_points(r).alias("pts"), (i > 0).alias("is_hole")))
+
+    return F.flatten(F.transform(polygons, rings)).cast(_RINGS)
+
+
+def geojson_rings(text: Column) -> Column:
+    """The same of a GeoJSON Polygon or MultiPolygon, bare or as the geometry of a feature."""
+    bare = F.coalesce(F.get_json_object(text, "$.geometry"), text)
+    one, several = (F.from_json(F.get_json_object(bare, "$.coordinates"), f"{'array<' * n}double{'>' * n}") for n in (3, 4))
+    polygons = F.when(F.get_json_object(bare, "$.type") == "MultiPolygon", several).when(F.get_json_object(bare, "$.type") == "Polygon", F.array(one))
+    point = lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))
+    return F.flatten(F.transform(polygons, lambda rings: F.transform(rings, lambda r, i: F.struct(F.transform(r, point).alias("pts"), (i > 0).alias("is_hole"))))).cast(_RINGS)
+
+
+def with_rings(df: DataFrame, rings: Column) -> DataFrame:
+    """One row for each ring, with pts and is_hole."""
+    return df.withColumn("__ring", F.explode(rings)).select(*(c for c in df.columns if c not in ("pts", "is_hole")), "__ring.pts", "__ring.is_hole")

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.basic import num, zero
 from ..functions.line import line_limit
-from .geometry import intersection_matrix, point_in_ring
+from ..sources.cutout import Cutout
+from .aggregate import aggregate_matrix
+from .geometry import indicator_matrix, intersection_matrix, next_points, reproject, shape_area
 
 
 def runoff(weather: DataFrame, weight_with_height: bool = True) -> Column:
@@ -23,7 +25,25 @@ def rolling_mean(df: DataFrame, window: int | bool = 168, by: str = "bus") -> Da
 def drop_low(df: DataFrame, quantile: float | bool = 0.005) -> DataFrame:
     """v below its quantile (True: 0.005) over all rows becomes 0, as does NULL."""
     q = 0.005 if quantile is True else float(quantile)
-    edge = df.agg(F.percentile("v", F.lit(q)).alias("__edge"))
+    # exact, but with values gathered only from a band around the quantile (all of under 100,000): a sketch gives the band, counts place it
+    step = 1e-3
+    sketch = df.agg(F.percentile_approx("v", F.array(*(F.lit(min(1.0, max(0.0, x))) for x in (q - step, q + step))), F.lit(10_000)).alias("__ends"), F.count("v").alias("__n"))
+    band = df.select("v").where("v is not null").crossJoin(F.broadcast(sketch)).withColumns({"__low": F.col("__ends")[0], "__high": F.col("__ends")[1]})
+    inner = (F.col("__n") < 100_000) | F.col("v").between(F.col("__low"), F.col("__high"))
+    counts = band.groupBy(F.when(inner, F.col("v")).alias("value"), F.when(~inner, F.col("v") > F.col("__high")).alias("above")).agg(F.count("*").alias("m"), F.max("__n").alias("n"))
+    below = F.coalesce(F.sum(F.when(~F.col("above"), F.col("m"))), F.lit(0))
+    near = F.array_sort(F.collect_list(F.when(F.col("value").isNotNull(), F.struct("value", "m"))))
+    placed = counts.agg(below.alias("below"), near.alias("near"), F.max("n").alias("n"))
+
+    def at(rank: Column) -> Column:
+        """The value of this rank (from 0): the first of the band up to which more values are counted."""
+        start = F.struct(F.col("below").alias("seen"), F.lit(None).cast("double").alias("value"))
+        step = lambda s, x: F.struct((s["seen"] + x["m"]).alias("seen"), F.coalesce(s["value"], F.when(s["seen"] + x["m"] > rank, x["value"])).alias("value"))
+        return F.aggregate("near", start, step, lambda s: s["value"])
+
+    place = F.lit(q) * (F.col("n") - 1)
+    low, high = at(F.floor(place)), at(F.ceil(place))
+    edge = placed.select((low + (high - low) * (place - F.floor(place))).alias("__edge"))
     return df.crossJoin(F.broadcast(edge)).withColumn("v", F.when(F.col("v") >= F.col("__edge"), F.col("v")).otherwise(num(0))).drop("__edge")
 
 
@@ -41,29 +61,76 @@ def normalize_yearly(df: DataFrame, totals: DataFrame, rows: int = 8700) -> Data
 
 
 def find_basins(plants: DataFrame, basins: DataFrame) -> DataFrame:
-    """(plant, hid): the basin of each plant; of several the first by id. plants: plant, lon, lat; basins: hid, pts, ..."""
+    """(plant, hid): the basin of each plant; of several the first by id; no row for a plant outside all of them.
+
+    plants: plant, lon, lat; basins: hid, pts (one row for each ring), ... Boxes are met by tiles of a degree, with ids only; each plant then
+    counts the edges to its right among those of its candidates that cross its own degree of latitude, so no outline is copied or walked as a whole.
+    """
     xs, ys = F.transform("pts", lambda p: p["x"]), F.transform("pts", lambda p: p["y"])
     tile = lambda c: F.floor(c).cast("int")
-    spread = basins.select("hid", "pts", F.explode(F.sequence(tile(F.array_min(xs)), tile(F.array_max(xs)))).alias("tx"), F.sequence(tile(F.array_min(ys)), tile(F.array_max(ys))).alias("tys")).withColumn("ty", F.explode("tys"))
-    pairs = plants.withColumns({"tx": tile(F.col("lon")), "ty": tile(F.col("lat"))}).join(spread, ["tx", "ty"])
-    return pairs.where(point_in_ring(F.col("lon"), F.col("lat"), F.col("pts"))).groupBy("plant").agg(F.min("hid").alias("hid"))
+    boxes = basins.groupBy("hid").agg(F.min(F.array_min(xs)).alias("x0"), F.max(F.array_max(xs)).alias("x1"), F.min(F.array_min(ys)).alias("y0"), F.max(F.array_max(ys)).alias("y1"))
+    spread = boxes.withColumn("tx", F.explode(F.sequence(tile("x0"), tile("x1")))).withColumn("ty", F.explode(F.sequence(tile("y0"), tile("y1"))))
+    near = plants.withColumns({"tx": tile("lon"), "ty": tile("lat")}).join(spread, ["tx", "ty"]).where("lon between x0 and x1 and lat between y0 and y1").select("plant", "lon", "lat", "ty", "hid")
+    edge = F.explode(F.zip_with("pts", next_points(F.col("pts")), lambda a, b: F.struct(a["x"].alias("ax"), a["y"].alias("ay"), b["x"].alias("bx"), b["y"].alias("by")))).alias("e")
+    edges = basins.select("hid", edge).select("hid", "e.*").withColumn("ty", F.explode(F.sequence(tile(F.least("ay", "by")), tile(F.greatest("ay", "by")))))
+    cross = (F.col("bx") - F.col("ax")) * (F.col("lat") - F.col("ay")) / F.nullif(F.col("by") - F.col("ay"), num(0)) + F.col("ax")
+    right = ((F.col("ay") > F.col("lat")) != (F.col("by") > F.col("lat"))) & (F.col("lon") < cross)
+    counts = near.join(edges, ["hid", "ty"]).where(right).groupBy("plant", "hid").agg(F.count("*").alias("n"))
+    return counts.where("n % 2 = 1").groupBy("plant").agg(F.min("hid").alias("hid"))
 
 
 def upstream(basins: DataFrame, targets: DataFrame) -> DataFrame:
-    """(root, hid): each target basin and all that flow into it, by steps up the river until nothing is new.
+    """(root, hid): each target basin and all that flow into it.
+
+    basins: hid, next_down. Rounds of pointer jumping: after round k a basin knows the targets under 2^k steps down the river, and the basin
+    2^k steps down. So a river of n basins takes log n rounds, each a join by id; what they know is as long as the result. A cycle, in which pointers
+    never end, adds nothing new once 2^k passes the number of basins. Each round is written, so that the plan does not grow.
+    """
+    jump = basins.where("next_down is not null and next_down <> hid").select(F.col("hid").alias("at"), F.col("next_down").alias("down")).join(basins.select(F.col("hid").alias("down")).distinct(), "down", "left_semi").select("at", "down")
+    found = targets.select(F.col("hid").alias("root"), "hid").distinct().checkpoint(eager=True)
+    jump = jump.checkpoint(eager=True)
+    steps, most = 1, jump.count() + 1
+    while steps < 2 * most and not jump.isEmpty():
+        below = found.select("root", F.col("hid").alias("down"))
+        found = found.unionByName(jump.join(below, "down").select("root", F.col("at").alias("hid"))).distinct().checkpoint(eager=True)
+        jump = jump.join(jump.select(F.col("at").alias("down"), F.col("down").alias("next")), "down").select("at", F.col("next").alias("down")).checkpoint(eager=True)
+        steps *= 2
+    return found
+
+
+def determine_basins(plants: DataFrame, basins: DataFrame) -> DataFrame:
+    """(plant, basin, hid, distance): the basin of each plant, and it and all basins upstream with their distance up the river in km.
+
+    plants: plant, lon, lat; basins as published: HYBAS_ID, DIST_MAIN (km to the outlet), NEXT_DOWN and pts. A missing
+    column raises ValueError. A plant outside all basins has no row.
+    """
+    if missing := {"hybas_id", "dist_main", "next_down", "pts"} - {c.lower() for c in basins.columns}:
+        raise ValueError(f"the basins lack the columns {sorted(c.upper() for c in missing)}")
+    named = basins.withColumnRenamed("HYBAS_ID", "hid")
+    own = find_basins(plants, named).withColumnRenamed("hid", "basin")
+    meta = named.groupBy("hid").agg(F.first("DIST_MAIN").alias("dist"), F.first("NEXT_DOWN").alias("next_down"))  # a basin of several rings is one
+    members = upstream(meta, own.select(F.col("basin").alias("hid"))).withColumnRenamed("root", "basin")
+    far = lambda id, name: meta.select(F.col("hid").alias(id), F.col("dist").alias(name))
+    return own.join(members, "basin").join(far("hid", "up"), "hid").join(far("basin", "down"), "basin").select("plant", "basin", "hid", (F.col("up") - F.col("down")).alias("distance"))
+
+
+def hydro(cutout: Cutout, plants: DataFrame, basins: DataFrame, flowspeed: float = 1.0, weight_with_height: bool = False) -> DataFrame:
+    """(plant, time, v): inflow of each plant from the runoff of its basin and of all upstream.
 
-    basins: hid, next_down. A cycle adds nothing new and so ends. Each step is a join and an anti join with what is known.
+    Runoff is averaged over a basin by its shares of cells (nothing for a basin beside the grid), times the basin's area in an equal-area cylinder
+    (m2), delayed by the way down to the plant at ``flowspeed`` m/s. plants and basins as in ``determine_basins``.
     """
-    edges = basins.select(F.col("hid").alias("up"), "next_down").where("up <> next_down")
-    found = targets.select(F.col("hid").alias("root"), "hid").distinct()
-    front = found
-    while True:
-        more = front.join(edges, F.col("hid") == F.col("next_down")).select("root", F.col("up").alias("hid")).distinct()
-        front = more.join(found, ["root", "hid"], "left_anti").checkpoint(eager=True)
-        if front.isEmpty():
-            return found
-        # written, so that the plan does not grow with the length of the river
-        found = found.unionByName(front).checkpoint(eager=True)
+    members = determine_basins(plants, basins).checkpoint(eager=True)
+    wanted = members.select("hid").distinct()
+    shapes = basins.withColumnRenamed("HYBAS_ID", "hid").join(wanted, "hid", "left_semi").withColumnRenamed("hid", "shape_id")
+    weights = basin_weights(indicator_matrix(cutout.grid(), shapes))
+    weather = cutout.weather
+    if weight_with_height and "height" not in weather.columns:
+        weather = weather.join(cutout.cells.select("cell_id", "height"), "cell_id")
+    values = weather.select("cell_id", "time", runoff(weather, weight_with_height).alias("v"))
+    areas = shape_area(shapes.withColumn("pts", reproject(F.col("pts"), "cea"))).select(F.col("shape_id").alias("bus"), "area")
+    rows = aggregate_matrix(values, weights).join(areas, "bus").select(F.col("bus").alias("hid"), "time", (F.col("v") * F.col("area")).alias("v"))
+    return shifted_inflow(members.select("plant", "hid", "distance"), rows, flowspeed)
 
 
 def upstream_sql(basins: str = "basins", targets: str = "targets", depth: int = 100) -> str:
@@ -79,7 +146,8 @@ def upstream_sql(basins: str = "basins", targets: str = "targets", depth: int =
 def shifted_inflow(members: DataFrame, runoff_rows: DataFrame, flowspeed: float = 1.0) -> DataFrame:
     """(plant, time, v): runoff of all upstream basins, each rolled by its travel time (whole hours, wrapping at the end).
 
-    members: plant, hid, distance (km up the river from the plant); runoff_rows: hid, time, v over one common time axis.
+    members: plant, hid, distance (km up the river from the plant); runoff_rows: hid, time, v over one common time axis. The axis is
+    as long as the cutout has time steps (8,760 a year, 16 bytes each), whatever the number of cells, so it is numbered at once and broadcast.
     """
     axis = runoff_rows.select("time").distinct().withColumn("k", F.row_number().over(Window.orderBy("time")) - 1)
     count = axis.agg(F.count("*").alias("n"))
@@ -113,5 +181,8 @@ def line_rating(weather: DataFrame, grid: DataFrame, lines: DataFrame, compat: b
     pairs = met.join(placed, "shape_id")
     limit = line_limit(F.col("psi"), F.col("resistance"), psi_unit="deg" if compat else "rad", **params)
     rows = weather.join(pairs, "cell_id").select("shape_id", "time", limit.alias("v")).groupBy("shape_id", "time").agg(F.min("v").alias("v"))
-    missing = lines.join(met, "shape_id", "left_anti").select("shape_id").crossJoin(weather.select("time").distinct())
-    return rows.unionByName(missing.withColumn("v", F.lit(None).cast("double"))).withColumnRenamed("shape_id", "line")
+    beside = lines.join(met, "shape_id", "left_anti").select("shape_id")
+    if not beside.isEmpty():  # a job over lines and cells only; without such lines the weather is not read for its times
+        missing = F.broadcast(weather.select("time").distinct()).crossJoin(beside).select("shape_id", "time", F.lit(None).cast("double").alias("v"))
+        rows = rows.unionByName(missing)
+    return rows.withColumnRenamed("shape_id", "line")

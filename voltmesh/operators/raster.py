@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.basic import num
-from .geometry import point_in_ring
+from .geometry import moved, reproject
 
 
 @dataclass(frozen=True)
@@ -22,6 +22,8 @@ class Spec:
     invert: bool = False
     nodata: int = 255
     allow_no_overlap: bool = False
+    crs: int | str | None = None
+    res: float | None = None
 
 
 @dataclass(frozen=True)
@@ -32,12 +34,16 @@ class ExclusionContainer:
     res: float = 100.0
     specs: tuple[Spec, ...] = ()
 
-    def add_raster(self, pixels: DataFrame, codes=None, buffer: float = 0.0, invert: bool = False, nodata: int = 255, allow_no_overlap: bool = False) -> ExclusionContainer:
-        """codes: a list or range of codes, or a function of the code column; None excludes codes other than 0."""
-        return replace(self, specs=(*self.specs, Spec(pixels, "raster", codes, buffer, invert, nodata, allow_no_overlap)))
+    def add_raster(self, pixels: DataFrame, codes=None, buffer: float = 0.0, invert: bool = False, nodata: int = 255, allow_no_overlap: bool = False, crs: int | str | None = None, res: float | None = None) -> ExclusionContainer:
+        """codes: a list or range of codes, or a function of the code column; None excludes codes other than 0. ``crs`` and ``res``
+        are the plane and the pixel size of a raster that is not in the container's; its nearest pixel then counts."""
+        if crs is not None and res is None and str(crs) != str(self.crs):
+            raise ValueError("a raster in a plane of its own needs its pixel size (res)")
+        return replace(self, specs=(*self.specs, Spec(pixels, "raster", codes, buffer, invert, nodata, allow_no_overlap, crs, res)))
 
-    def add_geometry(self, shapes: DataFrame, buffer: float = 0.0, invert: bool = False) -> ExclusionContainer:
-        return replace(self, specs=(*self.specs, Spec(shapes, "geometry", None, buffer, invert)))
+    def add_geometry(self, shapes: DataFrame, buffer: float = 0.0, invert: bool = False, crs: int | str | None = None) -> ExclusionContainer:
+        """``crs``: the plane of the shapes' points, where it is not the container's."""
+        return replace(self, specs=(*self.specs, Spec(shapes, "geometry", None, buffer, invert, crs=crs)))
 
 
 def masked(code: Column, codes) -> Column:
@@ -57,46 +63,103 @@ def dilate(pixels: DataFrame, n: int, by: list[str]) -> DataFrame:
     return tall.select(*by, "px", (F.col("py") + F.col("dy")).alias("py")).distinct()
 
 
-def _beside(x: Column, y: Column, pts: Column, reach: float) -> Column:
-    """Whether the point is at most ``reach`` away from an edge of the ring."""
-
-    def near(a: Column, b: Column) -> Column:
-        dx, dy = b["x"] - a["x"], b["y"] - a["y"]
-        t = F.coalesce(F.try_divide((x - a["x"]) * dx + (y - a["y"]) * dy, dx * dx + dy * dy), num(0))
-        t = F.least(F.greatest(t, num(0)), num(1))
-        return F.hypot(x - a["x"] - t * dx, y - a["y"] - t * dy) <= num(reach)
-
-    ends = F.concat(F.slice(pts, 2, F.size(pts)), F.slice(pts, 1, 1))
-    return F.exists(F.zip_with(pts, ends, near), lambda hit: hit)
+def _edges(shapes: DataFrame) -> DataFrame:
+    """(shape_id, ax, ay, bx, by): the edges of all rings; a pixel row that carries no corner list can be shuffled."""
+    ends = F.concat(F.slice("pts", 2, F.greatest(F.size("pts") - 1, F.lit(0))), F.slice("pts", 1, 1))
+    edge = F.explode(F.zip_with("pts", ends, lambda a, b: F.struct(a["x"].alias("ax"), a["y"].alias("ay"), b["x"].alias("bx"), b["y"].alias("by")))).alias("e")
+    return shapes.select("shape_id", edge).select("shape_id", "e.*")
+
+
+def _between(low: Column, high: Column, res: float, open_end: bool) -> Column:
+    """Numbers of the pixels whose centres lie from ``low`` up to ``high`` (without ``high`` if ``open_end``); null if there are none."""
+    a = F.ceil(low / num(res) - num(0.5)).cast("int")
+    b = F.ceil(high / num(res) - num(0.5)).cast("int") - 1 if open_end else F.floor(high / num(res) - num(0.5)).cast("int")
+    return F.when(a <= b, F.sequence(a, b))
+
+
+def _filled(edges: DataFrame, res: float) -> DataFrame:
+    """Pixels whose centres lie inside, by scanlines: each edge crosses rows of pixels, the crossings of a row are sorted, and what lies
+    between the first and second, third and fourth and so on is inside. So holes and parts need no rule of their own, and the work is edges times rows plus pixels."""
+    rows = edges.withColumn("py", F.explode(_between(F.least("ay", "by"), F.greatest("ay", "by"), res, True)))
+    y = (F.col("py") + num(0.5)) * num(res)
+    crossed = rows.select("shape_id", "py", ((F.col("bx") - F.col("ax")) * (y - F.col("ay")) / (F.col("by") - F.col("ay")) + F.col("ax")).alias("x"))
+    lines = crossed.groupBy("shape_id", "py").agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    pairs = lines.select("shape_id", "py", "xs", F.explode(F.sequence(F.lit(0), F.floor(F.size("xs") / 2).cast("int") - 1)).alias("k"))
+    spans = pairs.select("shape_id", "py", F.get("xs", 2 * F.col("k")).alias("a"), F.get("xs", 2 * F.col("k") + 1).alias("b"))
+    return spans.select("shape_id", F.explode(_between(F.col("a"), F.col("b"), res, True)).alias("px"), "py")
+
+
+def _beside(edges: DataFrame, res: float, reach: float) -> DataFrame:
+    """Pixels whose centres are at most ``reach`` from an edge. Those form a capsule around it, which a row of pixels cuts in one span:
+    from the discs around both ends and the box between them."""
+    ys = (F.least("ay", "by") - num(reach), F.greatest("ay", "by") + num(reach))
+    rows = edges.withColumn("py", F.explode(_between(*ys, res, False)))
+    y = (F.col("py") + num(0.5)) * num(res)
+    long = F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay"))
+    nx, ny = (F.coalesce(F.try_divide(d, long), num(0)) * num(reach) for d in (F.col("ay") - F.col("by"), F.col("bx") - F.col("ax")))
+    lows, highs = [], []
+    for x0, y0 in (("ax", "ay"), ("bx", "by")):
+        half = F.when(F.abs(y - F.col(y0)) <= num(reach), F.sqrt(F.greatest(num(0), num(reach) * num(reach) - (y - F.col(y0)) * (y - F.col(y0)))))
+        lows.append(F.col(x0) - half)
+        highs.append(F.col(x0) + half)
+    corners = [(F.col("ax") + nx, F.col("ay") + ny), (F.col("bx") + nx, F.col("by") + ny), (F.col("bx") - nx, F.col("by") - ny), (F.col("ax") - nx, F.col("ay") - ny)]
+    for (x0, y0), (x1, y1) in zip(corners, corners[1:] + corners[:1], strict=True):
+        cut = F.when((F.least(y0, y1) <= y) & (y <= F.greatest(y0, y1)) & (long > 0), F.coalesce(F.try_divide((x1 - x0) * (y - y0), y1 - y0), num(0)) + x0)
+        lows.append(cut)
+        highs.append(cut)
+    return rows.select("shape_id", F.explode(_between(F.least(*lows), F.greatest(*highs), res, False)).alias("px"), "py")
 
 
 def shape_pixels(shapes: DataFrame, res: float, buffer: float = 0.0) -> DataFrame:
     """(shape_id, px, py): pixels whose centre lies in the shape or at most ``buffer`` beside it; pixel p spans [p * res, (p + 1) * res)."""
+    edges = _edges(shapes)
+    inside = _filled(edges, res)
+    return inside.unionByName(_beside(edges, res, buffer)).distinct() if buffer else inside
+
+
+def _in_plane(spec: Spec, pixels: DataFrame, crs: int | str, res: float) -> DataFrame:
+    """pixels with the code of the raster's pixel under their centres, null where it has none."""
+    if spec.crs is None or str(spec.crs) == str(crs) and spec.res in (None, res):
+        return pixels.join(spec.data.select("px", "py", "code"), ["px", "py"], "left")
+    x, y = moved((F.col("px") + num(0.5)) * num(res), (F.col("py") + num(0.5)) * num(res), crs, spec.crs)
+    under = pixels.withColumns({"sx": F.floor(x / num(spec.res)).cast("int"), "sy": F.floor(y / num(spec.res)).cast("int")})
+    return under.join(spec.data.select(F.col("px").alias("sx"), F.col("py").alias("sy"), "code"), ["sx", "sy"], "left").drop("sx", "sy")
+
+
+def _around(shapes: DataFrame, pixels: DataFrame, n: int, res: float) -> DataFrame:
+    """Pixels within n steps of a shape that are not its own but in the box of whole pixels around it, which reaches one pixel on from its largest corners."""
     xs, ys = F.transform("pts", lambda p: p["x"]), F.transform("pts", lambda p: p["y"])
     at = lambda c: F.floor(c / num(res)).cast("int")
-    rows = shapes.withColumn("px", F.explode(F.sequence(at(F.array_min(xs) - num(buffer)), at(F.array_max(xs) + num(buffer))))).withColumn("py", F.explode(F.sequence(at(F.array_min(ys) - num(buffer)), at(F.array_max(ys) + num(buffer)))))
-    centre = lambda c: (F.col(c) + num(0.5)) * num(res)
-    inside = point_in_ring(centre("px"), centre("py"), F.col("pts"))
-    return rows.where(inside | _beside(centre("px"), centre("py"), F.col("pts"), buffer) if buffer else inside).select("shape_id", "px", "py")
+    boxes = shapes.groupBy("shape_id").agg(F.min(at(F.array_min(xs))).alias("x0"), F.max(at(F.array_max(xs))).alias("x1"), F.min(at(F.array_min(ys))).alias("y0"), F.max(at(F.array_max(ys))).alias("y1"))
+    near = dilate(pixels, n, ["shape_id"]).join(pixels, ["shape_id", "px", "py"], "left_anti")
+    return near.join(boxes, "shape_id").where("px between x0 and x1 and py between y0 and y1").select("shape_id", "px", "py")
+
 
+def excluded_pixels(pixels: DataFrame, shapes: DataFrame, container: ExclusionContainer) -> DataFrame:
+    """(shape_id, px, py) of shape pixels that any exclusion takes.
 
-def excluded_pixels(pixels: DataFrame, container: ExclusionContainer) -> DataFrame:
-    """(shape_id, px, py) of shape pixels that any exclusion takes. The buffer of a raster grows within the shape's pixels; that of a
-    geometry grows in the whole plane, before it is inverted, so a geometry beside a shape can reach in."""
+    A raster is cut out by each shape: what lies beside the shape counts as ``nodata``, and where that is excluded (by invert, by
+    codes, or as a code other than 0) and the raster has a buffer, it grows into the shape. The buffer of a geometry grows in the whole plane by
+    its distance, before it is inverted, so a geometry beside a shape can reach in.
+    """
     out = pixels.limit(0)
     for spec in container.specs:
         if spec.kind == "raster":
-            if not spec.allow_no_overlap and pixels.join(spec.data.select("px", "py"), ["px", "py"], "left_semi").isEmpty():
-                raise ValueError("Shape and raster do not overlap")
-            own = pixels.join(spec.data.select("px", "py", "code"), ["px", "py"], "left")
+            own = _in_plane(spec, pixels, container.crs, container.res)
+            if not spec.allow_no_overlap and not own.groupBy("shape_id").agg(F.count("code").alias("n")).where("n = 0").isEmpty():
+                raise ValueError("a shape and a raster have no pixel in common: check the plane, or allow_no_overlap=True")
             hit = masked(F.coalesce("code", F.lit(spec.nodata)), spec.codes)
         else:
-            inside = shape_pixels(spec.data, container.res, spec.buffer).select("px", "py").distinct().withColumn("in", F.lit(True))
+            given = spec.data if spec.crs is None else spec.data.withColumn("pts", reproject(F.col("pts"), container.crs, spec.crs))
+            inside = shape_pixels(given, container.res, spec.buffer).select("px", "py").distinct().withColumn("in", F.lit(True))
             own = pixels.join(inside, ["px", "py"], "left")
             hit = F.coalesce("in", F.lit(False))
-        taken = own.where(~hit if spec.invert else hit).select("shape_id", "px", "py")
+        hit = ~hit if spec.invert else hit
+        taken = own.where(hit).select("shape_id", "px", "py")
         if spec.buffer and spec.kind == "raster":
-            taken = dilate(taken, int(spec.buffer / container.res) + 1, ["shape_id"]).join(pixels, ["shape_id", "px", "py"], "left_semi")
+            n = int(spec.buffer / container.res) + 1
+            filler = _around(shapes, pixels, n, container.res).withColumn("code", F.lit(spec.nodata)).where(hit)
+            taken = dilate(taken.unionByName(filler.select("shape_id", "px", "py")), n, ["shape_id"]).join(pixels, ["shape_id", "px", "py"], "left_semi")
         out = out.unionByName(taken)
     return out.distinct()
 
@@ -104,7 +167,7 @@ def excluded_pixels(pixels: DataFrame, container: ExclusionContainer) -> DataFra
 def shape_availability(shapes: DataFrame, container: ExclusionContainer) -> DataFrame:
     """(shape_id, px, py) of pixels that stay eligible."""
     pixels = shape_pixels(shapes, container.res)
-    return pixels.join(excluded_pixels(pixels, container), ["shape_id", "px", "py"], "left_anti")
+    return pixels.join(excluded_pixels(pixels, shapes, container), ["shape_id", "px", "py"], "left_anti")
 
 
 def eligible_share(shapes: DataFrame, container: ExclusionContainer) -> DataFrame:

@@ -9,6 +9,7 @@ from ..functions.basic import num
 from ..operators import geometry
 from ..sources import catalog, datasets
 from ..sources.cutout import Cutout, grid_cells, time_steps
+from ..sources.shared import shared_folder
 from .weather import SUN_SQL, cutout, r6, read, sql, weather
 
 
@@ -151,11 +152,9 @@ def s15_wkt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def k01_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A cutout written by month and opened again."""
-    import tempfile
     import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="voltmesh-")
-    path = f"{base}/cutout-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/cutout-{uuid.uuid4().hex}"
     cutout(spark, sf_dir).save(path)
     found = Cutout.open(spark, path)
     return found.weather.where("month = '2024-01'").select("time", "cell_id", r6("temperature").alias("temperature"))

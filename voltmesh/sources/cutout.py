@@ -60,9 +60,10 @@ class Cutout:
         return cls(None, grid_cells(spark, x, y, dx, dy), {"module": modules, "dx": dx, "dy": dy, "dt": dt, "time": list(time), "prepared_features": []})
 
     def save(self, path: str) -> str:
-        """Weather by month, cells, and the description beside them."""
+        """Weather by month, cells, and the description beside them. Rows are dealt by ranges of month, time and cell, so a month is as many files
+        as its rows need."""
         spark = self.cells.sparkSession
-        self.weather.withColumn("month", F.date_format("time", "yyyy-MM")).repartition("month").sortWithinPartitions("time", "cell_id").write.mode("overwrite").partitionBy("month").option("compression", "zstd").parquet(f"{path}/weather")
+        self.weather.withColumn("month", F.date_format("time", "yyyy-MM")).repartitionByRange("month", "time", "cell_id").sortWithinPartitions("month", "time", "cell_id").write.mode("overwrite").partitionBy("month").option("compression", "zstd").parquet(f"{path}/weather")
         self.cells.coalesce(1).write.mode("overwrite").parquet(f"{path}/cells")
         spark.createDataFrame([(json.dumps(self.meta),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/{_META}")
         return path
