@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.basic import num
 from ..operators import geometry
-from ..sources import catalog, datasets
+from ..sources import catalog, datasets, readers
 from ..sources.cutout import Cutout, grid_cells, time_steps
 from ..sources.shared import shared_folder
 from .weather import SUN_SQL, cutout, r6, read, sql, weather
@@ -61,6 +61,24 @@ def s05g_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return datasets.clean_coordinates(raw).select("time", "cell_id", "x", "y", "lon", "lat")
 
 
+def s05_prepare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A blank cutout filled from landed fields by the registered reader."""
+    raw = _raw(spark, sf_dir).withColumnsRenamed({"lon": "longitude", "lat": "latitude", "time": "valid_time"}).drop("cell_id").withColumn("longitude", F.col("longitude") + num(1e-7))
+    base = cutout(spark, sf_dir)
+    blank = Cutout(None, base.cells, {"module": ["era5"], "dx": 0.25, "dy": 0.25, "prepared_features": []})
+    ready = readers.prepare(blank, {"era5": {"raw": raw}})
+    if not ready.prepared:
+        raise AssertionError("variables are missing")
+    return ready.weather.join(ready.cells.select("cell_id", "height"), "cell_id").select("time", "cell_id", *(r6(c).alias(c) for c in ("wnd100m", "roughness", "albedo", "influx_toa", "influx_direct", "influx_diffuse", "temperature", "runoff", "height")))
+
+
+def s07_terrain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Heights of fine pixels, averaged over the cells; shifted so that pixels at the edges of cells count by their share."""
+    ids = spark.range(10_000)
+    pixels = ids.select((num(4.917) + num(0.011) * (F.col("id") % 100)).alias("lon"), (num(49.913) + num(0.011) * F.floor(F.col("id") / 100)).alias("lat"), (F.col("id") * 7 % 1000).cast("double").alias("height"))
+    return readers.terrain(cutout(spark, sf_dir), "height", pixels, 0.011).select("cell_id", F.round("height", 4).alias("height"))
+
+
 def s05h_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = datasets.request_plan(read(spark, sf_dir, "lineitem").select(F.col("l_shipdate").alias("time")), monthly=True)
     return plan.select("year", "month", F.size("days").alias("days"), F.array_join("hours", ",").alias("hours"))
@@ -212,6 +230,22 @@ QUERIES: dict[str, tuple] = {
     "s03_grid": (s03_grid, "select iy*23 + ix as cell_id, ix::int as ix, iy::int as iy, -4e0 + 0.25e0*ix as x, 56e0 + 0.25e0*iy as y from range(23) a(ix), range(21) b(iy)"),
     "s04_times": (s04_times, "select unnest(generate_series(timestamp '2013-01-01 00:00:00', timestamp '2013-01-02 23:00:00', interval 3 hour)) as time"),
     "s05a_wind": (s05a_wind, sql("select time, cell_id, round(wnd100m, 6) as wnd100m, round(ln(sqrt(0.45e0)*wnd100m/nullif(wnd100m, 0))/ln(0.1e0), 6) as wnd_shear_exp, round(case when 0.05e0 - 0.01e0*cell_id >= 0 then 0.05e0 - 0.01e0*cell_id else 2e-4 end, 6) as roughness, round(case when wnd100m = 0 then 1e0 else cos(wnd_azimuth) end, 6) as cos_azimuth from w")),
+    "s05_prepare": (
+        s05_prepare,
+        sql(
+            f"""select time, w.cell_id, round(wnd100m, 6) as wnd100m, round(case when 0.05e0 - 0.01e0*w.cell_id >= 0 then 0.05e0 - 0.01e0*w.cell_id else 2e-4 end, 6) as roughness,
+ round(coalesce((0.6e0*influx_toa - 0.5e0*influx_toa)/nullif(0.6e0*influx_toa, 0), 0), 6) as albedo, round(influx_toa, 6) as influx_toa, round(0.4e0*influx_toa, 6) as influx_direct, round(0.6e0*influx_toa - 0.4e0*influx_toa, 6) as influx_diffuse,
+ round(temperature, 6) as temperature, round(greatest(runoff - 0.2e0, 0), 6) as runoff, round(z.height, 6) as height from w join (select cell_id, height + 0.1e0*hour(time)/9.80665e0 as height from {_ONCE}) z on z.cell_id = w.cell_id"""
+        ),
+    ),
+    "s07_terrain": (
+        s07_terrain,
+        sql(
+            "select cell_id, round(sum(o*h)/sum(o), 4) as height from ov where o > 1e-12 group by 1",
+            """fine as (select 4.917e0 + 0.011e0*(i % 100) as lon, 49.913e0 + 0.011e0*(i // 100) as lat, (i*7 % 1000)::double as h from range(10000) t(i)),
+ov as (select cell_id, h, greatest(0e0, least(lon + 0.0055e0, x + 0.125e0) - greatest(lon - 0.0055e0, x - 0.125e0))*greatest(0e0, least(lat + 0.0055e0, y + 0.125e0) - greatest(lat - 0.0055e0, y - 0.125e0)) as o from fine, cells)""",
+        ),
+    ),
     "s05b_influx": (
         s05b_influx,
         sql(

@@ -53,7 +53,7 @@ class Cutout:
         if bounds is not None:
             x, y = (bounds[0], bounds[2]), (bounds[1], bounds[3])
         if x is None or y is None or time is None:
-            raise TypeError("Arguments 'time' and 'bounds' (or 'x' and 'y') need to be specified for a new cutout")
+            raise TypeError("a new cutout needs time, and bounds or x and y")
         modules = [module] if isinstance(module, str) else list(module)
         if len({MODULES[m].crs for m in modules}) > 1:
             raise AssertionError("all modules of a cutout need one coordinate system")
@@ -135,6 +135,24 @@ class Cutout:
         extent = [r[0] - dx / 2, r[1] + dx / 2, r[2] - dy / 2, r[3] + dy / 2]
         return {"dx": dx, "dy": dy, "shape": (r[5], r[4]), "extent": extent, "bounds": [extent[k] for k in (0, 2, 1, 3)]}
 
+    @property
+    def coords(self) -> dict[str, DataFrame]:
+        """The axes x and y, and time if there is weather."""
+        axes = {c: self.cells.select(c).distinct().orderBy(c) for c in ("x", "y")}
+        return axes if self.weather is None else axes | {"time": self.weather.select("time").distinct().orderBy("time")}
+
+    @property
+    def transform(self) -> tuple[float, ...]:
+        """(a, b, c, d, e, f) of the affine map from (column, row) to the plane: x = a column + b row + c, y = d column + e row + f."""
+        s = self.summary
+        return (s["dx"], 0.0, s["extent"][0], 0.0, s["dy"], s["extent"][2])
+
+    @property
+    def transform_r(self) -> tuple[float, ...]:
+        """The same with rows from the top."""
+        s = self.summary
+        return (s["dx"], 0.0, s["extent"][0], 0.0, -s["dy"], s["extent"][3])
+
     @property
     def prepared(self) -> bool:
         wanted = {n for m in self.meta["module"] for names in MODULES[m].features.values() for n in names}
