@@ -312,6 +312,20 @@ def test_bounded_edit_distance():
         assert set(keys[rows == 0].tolist()) & set(keys[rows == 1].tolist())
 
 
+def nearby(lines, most):
+    """Pairs of lines whose characters differ in at most ``most`` places each way: no other pair is within so many edits."""
+    bags = np.zeros((len(lines), 512), np.int16)
+    for k, x in enumerate(lines):
+        for c in x:
+            bags[k, ord(c) % 512] += 1
+    out = set()
+    for k, x in enumerate(lines):
+        rest = bags - bags[k]
+        for j in np.flatnonzero((np.maximum(rest, 0).sum(axis=1) <= most) & (np.maximum(-rest, 0).sum(axis=1) <= most)):
+            out.add((x, lines[j]))
+    return out
+
+
 def expected_lines(rows):
     """(n_lines, n_removed, text) of each row by brute force."""
     place = lambda d, no: (d is not None, d or 0, no)
@@ -319,7 +333,9 @@ def expected_lines(rows):
     for d, x in rows:
         for no, s in line_dedup.lines_of(x):
             where[s].add(place(d, no))
-    name = brute.closure(where, lambda a, b: len(a) >= line_dedup.SHORT and len(b) >= line_dedup.SHORT and brute.edits(a, b, 2) <= 2)
+    allowed = lambda n: 2 if n >= line_dedup.SHORT else 1 if 2 * n >= line_dedup.SHORT else 0
+    near = nearby(list(where), 2)
+    name = brute.closure(where, lambda a, b: (a, b) in near and brute.edits(a, b, allowed(min(len(a), len(b)))) <= allowed(min(len(a), len(b))))
     first = {}
     for s, c in name.items():
         first[c] = min(where[s] | ({first[c]} if c in first else set()))
@@ -413,7 +429,7 @@ def viterbi(word, score, byte):
             n = len(s[end - 1].encode())
             found.append((best[end - 1][0] + n * byte, -best[end - 1][1] - n, end - 1))
         total, n, a = max(found)
-        best.append((total, -n, best[a][2] + [s[a:end]] if len(s) < 200 else []))
+        best.append((total, -n, best[a][2] + [s[a:end]] if len(s) < 2000 else []))
     return best[-1][1:]
 
 
@@ -426,11 +442,11 @@ def pretokens(text, alone):
     return out
 
 
-def test_token_counts(spark):
+def token_counts_of(texts):
+    """(tokens, pre-tokens) of each text under a model trained on all of them."""
     import math
 
     model = token_counts.Unigram(PIECES)
-    texts = [x for x in TEXTS if x is None or len(x) != 5000] + ["x" * 150, "The quick brown fox", "The quick brown fox", "  two  spaces\n\nand lines "]
     rows = [pretokens(x, model.alone) for x in texts]
     words = Counter(w for r in rows for w in r)
     score, byte = model.score, model.byte
@@ -442,7 +458,13 @@ def test_token_counts(spark):
         total = math.log(sum(counts.values()) + len(score))
         score = {p: math.log(counts[p] + 1) - total for p in score}
         byte = min(score.values()) - 10
-    want = [(sum(viterbi(w, score, byte)[0] for w in r), len(r)) for r in rows]
+    tokens = {w: viterbi(w, score, byte)[0] for w in words}
+    return [(sum(tokens[w] for w in r), len(r)) for r in rows]
+
+
+def test_token_counts(spark):
+    texts = [x for x in TEXTS if x is None or len(x) != 5000] + ["x" * 150, "The quick brown fox", "The quick brown fox", "  two  spaces\n\nand lines "]
+    want = token_counts_of(texts)
     docs = spark.createDataFrame([(k, x) for k, x in enumerate(texts)] + [(1, texts[1])], "doc_id long, text string").withColumn("word", F.lit(1))
     for hot in (3, 1 << 19):
         counts = token_counts.count_tokens(docs.where("not (doc_id = 1 and text is null)").dropDuplicates(["doc_id"]), PIECES, hot=hot).collect()

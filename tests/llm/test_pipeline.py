@@ -1,6 +1,7 @@
 """The pipeline's stages against brute-force versions, each on its own input, and the guard around the subpackage."""
 
 import hashlib
+import os
 import random
 import shutil
 import subprocess
@@ -10,6 +11,7 @@ from pathlib import Path
 
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -17,7 +19,7 @@ from voltmesh.llm import registry
 
 from ..compare import connect, same
 from . import brute
-from .test_operators import expected_lines
+from .test_operators import expected_lines, token_counts_of
 
 
 @pytest.fixture(scope="module")
@@ -112,12 +114,42 @@ def test_queries_on_whole_tables(spark, sf_dir):
     assert {(r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in found["op2_bpe"](spark, sf_dir).collect()} == {(d, *brute.encoded(t, x)) for d, x in docs.items()}
     rows = found["op9_simhash"](spark, sf_dir).collect()
     assert {(r.doc_id, int(r.fingerprint, 16)) for r in rows} == {(d, brute.fingerprint(x)) for d, x in docs.items()}
+    prints = {r.doc_id: int(r.fingerprint, 16) for r in rows}
+    name = brute.closure(set(prints.values()), lambda a, b: (a ^ b).bit_count() <= 2)
+    low = {}
+    for d, x in prints.items():
+        low[name[x]] = min(low.get(name[x], d), d)
+    assert {(r.doc_id, r.component_id) for r in rows} == {(d, low[name[x]]) for d, x in prints.items()}
+    rows = found["op8_token_counts"](spark, sf_dir).collect()
+    assert {(r.doc_id, r.n_tokens, r.n_pretokens) for r in rows} == {(d, *x) for d, x in zip(docs, token_counts_of(docs.values()), strict=True)}
     rows = found["op1_sharding"](spark, sf_dir).collect()
     assert {(r.doc_id, r.shard) for r in rows} == {(d, brute.jump(d, 40)) for d in docs}
     kept = found["op6_line_dedup"](spark, sf_dir).collect()
-    assert {r.doc_id for r in kept} == set(docs) and all(r.n_removed <= r.n_lines for r in kept)
-    whole = {r.doc_id for r in kept if r.n_removed == 0}
-    assert all(r.kept_sha256 == hashlib.sha256(docs[r.doc_id].encode()).hexdigest() for r in kept if r.doc_id in whole and docs[r.doc_id] is not None)
+    want = {(d, n, gone, None if x is None else hashlib.sha256(x.encode()).hexdigest()) for d, n, gone, x in expected_lines(list(docs.items()))}
+    assert {(r.doc_id, r.n_lines, r.n_removed, r.kept_sha256) for r in kept} == want
+
+
+@pytest.mark.parametrize("k", range(5))
+def test_stages_on_odd_tables(spark, tmp_path, k):
+    """Null and repeated keys and rows, nulls in any column, empty texts and tables, and columns named like those that operators add."""
+    rng = random.Random(k)
+    text = lambda: " ".join(f"w{rng.randrange(5000)}" for _ in range(60))
+    a, b = text(), text()
+    rows = [(None, a, None, None), (1, b, "en", "s"), (1, a[:200], "en", "s"), (1, b, "en", "s"), (2, None, None, "s"), (3, "", "en", None), (4, " \n\t", "en", "s"), (5, "lang " * 3000 + a, "en", "s")]
+    odd = ["kept", "removed", "n_lines", "n_removed", "fp", "links", "component_id", "n_words", "n_hit", "items", "spans", "key", "doc", "no", "id", "group_id", "word", "n", "value", "rest", "class", "line", "host"]
+    docs = spark.createDataFrame([(d, x, lang, s, len(x or "")) for d, x, lang, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.withColumns({c: F.lit(j) if j % 3 else F.lit(None).cast("string") for j, c in enumerate(odd)})
+    spark.createDataFrame([(1, text()), (2, None), (None, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    stage = corpus_pipeline.STAGES[k][1]
+    got = stage(spark, docs, str(tmp_path)).collect()
+    columns = docs.columns if k < 4 else ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    empty = stage(spark, docs.limit(0), str(tmp_path))
+    assert empty.columns == columns and empty.count() == 0
+    assert len(got) == {0: 4, 1: 8, 2: 5, 3: 8, 4: 8}[k]
+    assert all(r.removed == 1 and r.kept is None for r in got) if k < 4 else True
+    if k < 4:
+        assert all(r.n_chars == len(r.text or "") for r in got)
+        assert {None, 1} <= {r.doc_id for r in got}
 
 
 def test_the_rest_works_without_the_subpackage(tmp_path):
@@ -125,6 +157,9 @@ def test_the_rest_works_without_the_subpackage(tmp_path):
     shutil.copytree(root, tmp_path / "repo", ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__"))
     code = "import __spark_entry__ as e; assert e.queries() and not [k for k in e.queries() if k.startswith('op') or k == 'pipeline']"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "repo", check=True, env={"PATH": "/usr/bin:/bin"})
+    some = "grid_golden or gateway or entry or c07_wind or g12 or k01"
+    ran = subprocess.run([sys.executable, "-m", "pytest", "-q", "-x", "-p", "no:cacheprovider", "-k", some, "tests"], cwd=tmp_path / "repo", env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"}, capture_output=True, text=True)
+    assert ran.returncode == 0 and " passed" in ran.stdout, ran.stdout[-2000:]
 
 
 def test_registry_is_complete():
