@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from .nearlinks import bucket_rows, classes, mix, only, shared_buckets
 from .scratch import Scratch, slices
+from .words import row_key
 
 THRESHOLD = 2
 #: Shorter lines (in characters) are linked within half the edits only, those under half as long if equal: beyond that
@@ -30,6 +31,11 @@ def line_id(line: str) -> int:
     return xxhash.xxh3_64_intdigest(line.encode("utf-8", "surrogatepass")) ^ (1 << 63)
 
 
+def second_id(line: str) -> int:
+    """Spark's xxhash64: tells lines apart that share a ``line_id``."""
+    return xxhash.xxh64_intdigest(line.encode("utf-8", "surrogatepass"), 42)
+
+
 def lines_of(text: str | None) -> list[tuple[int, str]]:
     """Numbers and stripped forms of the \\n-split lines that hold more than white space."""
     return [(k, s) for k, x in enumerate((text or "").split("\n")) if (s := x.strip(" \t\r\x0b\x0c"))]
@@ -212,16 +218,17 @@ def _near_counts(threshold: int):
 
 
 def _occurrences(docs: DataFrame, text: str) -> DataFrame:
-    """(key, doc, no, id) of all lines; docs: (key, doc, text)."""
+    """(key, doc, no, id, second) of all lines; docs: (key, doc, text)."""
 
     def run(batches):
         for batch in slices(batches, text, 4 << 20):
-            rows = [(k, no, line_id(s)) for k, x in enumerate(batch.column(text).to_pylist()) for no, s in lines_of(x)]
-            k, no, ids = (np.fromiter((r[i] for r in rows), kind, len(rows)) for i, kind in enumerate((np.int64, np.int32, np.uint64)))
+            rows = [(k, no, line_id(s), second_id(s)) for k, x in enumerate(batch.column(text).to_pylist()) for no, s in lines_of(x)]
+            k, no, ids, second = (np.fromiter((r[i] for r in rows), kind, len(rows)) for i, kind in enumerate((np.int64, np.int32, np.uint64, np.uint64)))
             own = batch.select(["key", "doc"]).take(pa.array(k))
-            yield pa.RecordBatch.from_arrays([*own.columns, pa.array(no), pa.array(ids.view(np.int64))], ["key", "doc", "no", "id"])
+            yield pa.RecordBatch.from_arrays([*own.columns, pa.array(no), pa.array(ids.view(np.int64)), pa.array(second.view(np.int64))], ["key", "doc", "no", "id", "second"])
 
-    return docs.mapInArrow(run, f"key long, doc {docs.schema['doc'].dataType.simpleString()}, no int, id long")
+    kind = lambda c: docs.schema[c].dataType.simpleString()
+    return docs.mapInArrow(run, f"key {kind('key')}, doc {kind('doc')}, no int, id long, second long")
 
 
 def _buckets(docs: DataFrame, text: str, threshold: int, short: int) -> DataFrame:
@@ -255,22 +262,28 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", thresh
     edits, still shorter ones if equal; classes are closed under links. The first line of a class, by key
     and line number (null keys first), stays. Equal rows (key and text) count as one document and lose the same lines. Null texts stay null; a text
     that loses all lines is empty; an empty table gives an empty one; an input column named n_lines or n_removed raises ValueError.
-    Lines are named by 64-bit hashes: among n distinct lines two share a name with a chance of about n^2 / 2^65.
+    Lines meet by 64-bit hashes; a second one tells two lines of one hash apart, so that such a clash can only lose links of one of them.
+    Rows are named by 128 bits.
     """
     if both := {"n_lines", "n_removed"} & set(docs.columns):
         raise ValueError(f"rename these input columns first: {sorted(both)}")
     scratch = Scratch(docs.sparkSession, "lines")
-    slim = docs.select(F.xxhash64(key, text).alias("key"), F.col(key).alias("doc"), F.col(text).alias("text"))
+    slim = docs.select(row_key(docs.select(key, text)).alias("key"), F.col(key).alias("doc"), F.col(text).alias("text"))
     buckets = shared_buckets(_buckets(slim, "text", threshold, short), scratch)
-    near = classes(buckets, lambda ids: only(_texts(slim, "text", _least(threshold, short)), ids, scratch).dropDuplicates(["id"]), lambda pairs: _verify(pairs, threshold, short), lambda items: _signs(items, threshold), scratch, _counts, _near_counts(threshold))
+    near, held = classes(buckets, lambda ids: only(_texts(slim, "text", _least(threshold, short)), ids, scratch).dropDuplicates(["id"]), lambda pairs: _verify(pairs, threshold, short), lambda items: _signs(items, threshold), scratch, _counts, _near_counts(threshold))
+    near = near.join(held.select(F.col("id").alias("of"), F.xxhash64("payload").alias("its")), F.col("id") == F.col("of")).select("of", "its", "component")
     found = scratch.save(_occurrences(slim, "text"), "occurrences")
-    named = found.join(near.withColumnRenamed("id", "of"), F.col("id") == F.col("of"), "left").select("key", "doc", "no", F.coalesce("component", "id").alias("class"))
+    # a line without near ones is a class of its own, named by both of its hashes
+    single = F.col("component").isNull()
+    name = F.struct(F.coalesce("component", "id").alias("id"), F.when(single, F.col("second")).alias("second"))
+    named = found.join(near, (F.col("id") == F.col("of")) & (F.col("second") == F.col("its")), "left").select("key", "doc", "no", name.alias("class"))
     place = F.struct("doc", "no", "key")
     several = named.groupBy(F.col("class").alias("c")).agg(F.min(place).alias("first"), F.max(place).alias("end")).where("first <> end").select("c", "first")
     several = scratch.save(several, "several")
-    gone = named.join(several, F.col("class") == F.col("c")).where(~place.eqNullSafe(F.col("first")))
+    same = (F.col("class.id") == F.col("c.id")) & F.col("class.second").eqNullSafe(F.col("c.second"))
+    gone = named.join(several, same).where(~place.eqNullSafe(F.col("first")))
     by_doc = gone.groupBy(F.col("key").alias("__k")).agg(F.collect_set("no").alias("__gone"))
-    joined = docs.withColumn("__key", F.xxhash64(key, text)).join(by_doc, F.col("__key") == F.col("__k"), "left").drop("__key", "__k")
+    joined = docs.withColumn("__key", row_key(docs.select(key, text))).join(by_doc, F.col("__key") == F.col("__k"), "left").drop("__key", "__k")
     joined = joined.withColumn("__lines", F.split(text, "\n"))
     n_lines = F.coalesce(F.size(F.filter("__lines", lambda x: x.rlike("[^ \\t\\r\\x0b\\x0c]"))), F.lit(0)).cast("long")
     joined = joined.withColumn("n_lines", F.when(F.col(text).isNull(), F.lit(0)).otherwise(n_lines))

@@ -67,8 +67,8 @@ def _open(groups: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.save(named.join(scratch.save(several, "several"), F.col("key") == F.col("k"), "left_semi"), "open")
 
 
-def classes(buckets: DataFrame, payload: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame], DataFrame], signs: Callable[[DataFrame], DataFrame], scratch: Scratch, sketch: Callable[[Column], Column] | None = None, maybe: Callable[[Column, Column], Column] | None = None) -> DataFrame:
-    """(id, component) of items with a verified link.
+def classes(buckets: DataFrame, payload: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame], DataFrame], signs: Callable[[DataFrame], DataFrame], scratch: Scratch, sketch: Callable[[Column], Column] | None = None, maybe: Callable[[Column, Column], Column] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(id, component) of items with a verified link, and (id, payload) of all that were looked at.
 
     payload(ids) gives (id, payload) of the ids in ``id``; verify(pairs) keeps (a, b) of (a, b, pa, pb) that are near;
     signs(items) gives (key, id) of (id, payload) such that near items share a key: with these the items of buckets that the
@@ -89,7 +89,7 @@ def classes(buckets: DataFrame, payload: Callable[[DataFrame], DataFrame], verif
     found = components(links, scratch)
     left = _open(buckets, found, scratch)
     if left.isEmpty():
-        return found
+        return found, held
     wanted = scratch.save(left.select(F.col("id").alias("wanted")).distinct(), "wanted")
     signed = scratch.save(signs(held.join(wanted, F.col("id") == F.col("wanted"), "left_semi")), "signs")
     inside = left.select(F.col("key").alias("bucket"), F.col("id").alias("of"))
@@ -99,7 +99,7 @@ def classes(buckets: DataFrame, payload: Callable[[DataFrame], DataFrame], verif
     found = components(links, scratch)
     left = _open(groups, found, scratch)
     if left.isEmpty():
-        return found
+        return found, held
     met = (F.col("key") == F.col("key2")) & (F.col("class") < F.col("class2"))
     if sketch and maybe:
         known = held.join(wanted, F.col("id") == F.col("wanted"), "left_semi").select(F.col("id").alias("of"), sketch(F.col("payload")).alias("sketch"))
@@ -108,7 +108,7 @@ def classes(buckets: DataFrame, payload: Callable[[DataFrame], DataFrame], verif
     pairs = left.join(left.select(*(F.col(c).alias(f"{c}2") for c in left.columns)), met)
     pairs = pairs.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
     more = checked(scratch.save(pairs.join(tried, ["a", "b"], "left_anti").join(again, ["a", "b"], "left_anti"), "rest"))
-    return found if more.isEmpty() else components(links.union(more), scratch)
+    return (found if more.isEmpty() else components(links.union(more), scratch)), held
 
 
 #: Ids that may be broadcast (8 bytes each); more of them are joined by a shuffle.
