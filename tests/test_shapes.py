@@ -152,3 +152,36 @@ def test_turbines_by_folder(spark, tmp_path):
         catalog.windturbine("Nobody_1MW", folder=tmp_path)
     (tmp_path / "mine.yaml").write_text("technology: solar tower\nr_irradiance: 900\nefficiency:\n  altitude: {0: 0, 1: 90, 2: 0, 3: 90}\n  azimuth: {0: 0, 1: 0, 2: 360, 3: 360}\n  value: {0: 10, 1: 50, 2: 20, 3: 60}\n")
     assert catalog.cspinstallation("mine", folder=tmp_path) == {"technology": "solar tower", "r_irradiance": 900.0, "altitude": [0.0, 90.0], "azimuth": [0.0, 360.0], "efficiency": [[0.1, 0.2], [0.5, 0.6]]}
+
+
+def test_availability_over_a_grid_in_another_plane(spark):
+    grid = spark.createDataFrame([(k, k, 0, 9.0 + 0.25 * k, 9.25 + 0.25 * k, 52.0, 52.25) for k in range(3)], "cell_id long, ix int, iy int, x0 double, x1 double, y0 double, y1 double")
+    shapes = spark.createDataFrame([("mid", box(9.25, 52.0, 9.5, 52.25))], "shape_id string, pts array<struct<x:double,y:double>>").withColumn("pts", geometry.reproject(F.col("pts"), 3035))
+    empty = raster.ExclusionContainer(3035, 250.0)
+    share = {r.cell_id: r.share for r in raster.compute_shape_availability(shapes, empty, grid, 4326).collect()}
+    assert share[1] == pytest.approx(1.0, abs=0.02) and sum(share.values()) == pytest.approx(1.0, abs=0.02)
+    assert raster.compute_shape_availability(shapes, empty).count() == raster.shape_pixels(shapes, 250.0).count()
+    for half in ({"grid": grid}, {"grid_crs": 4326}):
+        with pytest.raises(ValueError):
+            raster.compute_shape_availability(shapes, empty, **half)
+
+
+def test_padded_bounds():
+    assert raster.padded_bounds((0.0, 0.5, 10.0, 10.5), 1.0) == (0, 0, 11, 11)
+
+
+def test_capacities_and_uniform_layouts(spark):
+    assert catalog.rated_capacity(catalog.windturbine("Vestas_V112_3MW")) == 3.06
+    assert catalog.rated_capacity(catalog.solarpanel("CSi")) == 0.1
+    k = catalog.SOLARPANELS["KANENA"]
+    assert catalog.rated_capacity(catalog.solarpanel("KANENA")) == pytest.approx((k["A"] + 1000 * k["B"] + k["C"] * math.log(1000)) * 1e3)
+
+
+def test_turbine_of_a_library(spark):
+    rows = [("E-82/2000", True, "[0, 3, 25]", "[0, 50, 2000]", "78; 85"), ("V90/3000", True, "[0, 4, 25]", "[0, 77, 3000]", None), ("V90/2000", True, "[0, 4, 25]", "[0, 60, 2000]", "80")]
+    library = spark.createDataFrame(rows, "turbine_type string, has_power_curve boolean, power_curve_wind_speeds string, power_curve_values string, hub_height string")
+    t = catalog.windturbine("oedb:e-82", library=library)
+    assert (t["P"], t["hub_height"], t["POW"]) == (2.0, 81.0, [0.0, 0.05, 2.0, 0.0])
+    for name in ("oedb:V90", "oedb:N100"):
+        with pytest.raises(KeyError):
+            catalog.windturbine(name, library=library)

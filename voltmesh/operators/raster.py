@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.basic import num
-from .geometry import moved, reproject
+from .geometry import moved, reproject, ring_area
 
 
 @dataclass(frozen=True)
@@ -177,16 +178,43 @@ def eligible_share(shapes: DataFrame, container: ExclusionContainer) -> DataFram
     return whole.join(free, "shape_id", "left").select("shape_id", (F.coalesce("m", F.lit(0)) / F.col("n")).alias("share"))
 
 
-def availability_matrix(grid: DataFrame, shapes: DataFrame, container: ExclusionContainer) -> DataFrame:
-    """(shape_id, cell_id, share): eligible share of each cell's area; grid boxes in the container's plane. One job for all shapes and pixels."""
-    free = shape_availability(shapes, container).withColumn("code", num(1))
-    return regrid_average(free.select("shape_id", "px", "py", "code"), grid, container.res, ["shape_id"], "code", cover=True).withColumnRenamed("value", "share")
+def availability_matrix(grid: DataFrame, shapes: DataFrame, container: ExclusionContainer, grid_crs: int | str | None = None) -> DataFrame:
+    """(shape_id, cell_id, share): eligible share of each cell's area. One job for all shapes and pixels.
+
+    grid: boxes in the container's plane, where each pixel counts by its overlap; or in ``grid_crs``, where it counts for the cell that holds its
+    centre, against the cell's area in the container's plane.
+    """
+    free = shape_availability(shapes, container)
+    if grid_crs is None or str(grid_crs) == str(container.crs):
+        coded = free.withColumn("code", num(1))
+        return regrid_average(coded, grid, container.res, ["shape_id"], "code", cover=True).withColumnRenamed("value", "share")
+    g = _lattice(grid)
+    x, y = moved((F.col("px") + num(0.5)) * num(container.res), (F.col("py") + num(0.5)) * num(container.res), container.crs, grid_crs)
+    at = lambda c, low, step: F.floor((c - num(low)) / num(step)).cast("int")
+    counts = free.select("shape_id", at(x, g["x"], g["dx"]).alias("ix"), at(y, g["y"], g["dy"]).alias("iy")).groupBy("shape_id", "ix", "iy").agg(F.count("*").alias("n"))
+    corner = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+    box = F.array(corner("x0", "y0"), corner("x1", "y0"), corner("x1", "y1"), corner("x0", "y1"))
+    areas = grid.select("cell_id", "ix", "iy", ring_area(reproject(box, container.crs, grid_crs)).alias("area"))
+    return counts.join(areas, ["ix", "iy"]).select("shape_id", "cell_id", F.least(num(1), F.col("n") * num(container.res**2) / F.col("area")).alias("share"))
+
+
+def compute_shape_availability(shapes: DataFrame, container: ExclusionContainer, grid: DataFrame | None = None, grid_crs: int | str | None = None) -> DataFrame:
+    """The eligible pixels of the shapes, or their shares of the cells of a grid, for which its plane has to be named as well."""
+    if (grid is None) != (grid_crs is None):
+        raise ValueError("a target needs both, grid and grid_crs")
+    return shape_availability(shapes, container) if grid is None else availability_matrix(grid, shapes, container, grid_crs)
+
+
+def _lattice(grid: DataFrame) -> dict[str, float]:
+    """Lower corner, steps and last indices of a grid that begins at index 0."""
+    g = grid.agg(F.min("x0").alias("x"), F.min("y0").alias("y"), F.max("x1").alias("xx"), F.max("y1").alias("yy"), F.max("ix").alias("nx"), F.max("iy").alias("ny")).first().asDict()
+    return g | {"dx": (g["xx"] - g["x"]) / (g["nx"] + 1), "dy": (g["yy"] - g["y"]) / (g["ny"] + 1)}
 
 
 def regrid_average(pixels: DataFrame, grid: DataFrame, res: float, by: list[str], value: str = "code", cover: bool = False) -> DataFrame:
     """(by, cell_id, value): means over target cells weighted by overlap; ``cover`` divides by the cell's area instead."""
-    g = grid.agg(F.min("x0").alias("x"), F.min("y0").alias("y"), F.max("x1").alias("xx"), F.max("y1").alias("yy"), F.max("ix").alias("nx"), F.max("iy").alias("ny")).first()
-    dx, dy = (g["xx"] - g["x"]) / (g["nx"] + 1), (g["yy"] - g["y"]) / (g["ny"] + 1)
+    g = _lattice(grid)
+    dx, dy = g["dx"], g["dy"]
 
     def cells(p: str, low: float, step: float, n: int) -> Column:
         a = F.floor((F.col(p) * num(res) - num(low)) / num(step) + num(1e-9)).cast("int")
@@ -209,10 +237,6 @@ def regrid_nearest(pixels: DataFrame, grid: DataFrame, res: float, value: str =
 
 
 def padded_bounds(bounds: tuple[float, float, float, float], res: float) -> tuple[int, int, int, int]:
-    """Pixel ranges (left, bottom, right, top) that cover the bounds, snapped outwards."""
-    import math
-
+    """Pixel ranges (left, bottom, right, top) that cover the bounds; right and top reach on to the next pixel, also from its edge."""
     left, bottom, right, top = bounds
-    return math.floor(left / res), math.floor(bottom / res), math.ceil(right / res), math.ceil(top / res)
-
-
+    return math.floor(left / res), math.floor(bottom / res), math.floor(right / res) + 1, math.floor(top / res) + 1

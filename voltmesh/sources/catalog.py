@@ -175,10 +175,18 @@ def validate_turbine(turbine: dict, add_cutout_windspeed: bool = True) -> dict:
     return turbine | {"V": v, "POW": p, "P": float(turbine["P"]), "hub_height": float(turbine["hub_height"])}
 
 
-def windturbine(turbine: str | Path | dict, add_cutout_windspeed: bool = True, folder: str | Path | None = None) -> dict:
-    """By name, by YAML file (HUB_HEIGHT, V, POW; a path, or a name in ``folder``), or a dict."""
+def windturbine(turbine: str | Path | dict, add_cutout_windspeed: bool = True, folder: str | Path | None = None, library: DataFrame | None = None) -> dict:
+    """By name, by YAML file (HUB_HEIGHT, V, POW; a path, or a name in ``folder``), a dict, or ``oedb:`` and the type of the one turbine
+    of a public ``library`` (see ``filter_turbine_library``) that holds this text."""
     if isinstance(turbine, dict):
         return validate_turbine({"P": max(turbine.get("POW", [0]))} | turbine, add_cutout_windspeed)
+    if str(turbine).startswith("oedb:"):
+        if library is None:
+            raise ValueError("a turbine of the public library needs its table: library=")
+        rows = filter_turbine_library(library, turbine_type=str(turbine).removeprefix("oedb:")).limit(2).collect()
+        if len(rows) != 1:
+            raise KeyError(f"{turbine!r} fits {'several turbines' if rows else 'no turbine'} of the library")
+        return validate_turbine({"name": rows[0]["turbine_type"], "V": rows[0]["V"], "POW": rows[0]["POW"], "P": rows[0]["P"], "hub_height": rows[0]["hub_height_m"]}, add_cutout_windspeed)
     found = _found(turbine, WINDTURBINES, folder)
     if found is None:
         raise KeyError(f"no turbine {turbine!r}; known: {sorted(WINDTURBINES)}, and YAML files in a folder")
