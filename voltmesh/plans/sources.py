@@ -134,6 +134,23 @@ def s08_deaverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return datasets.deaverage(_series(spark, sf_dir), "v", ["l_orderkey"], "l_linenumber").select("l_orderkey", "l_linenumber", r6("v").alias("v"))
 
 
+def s08_forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Steps of forecasts with longitudes from 0 to 360 and fluxes that fall below 0."""
+    k, n = F.col("l_orderkey"), F.col("l_linenumber")
+    rows = read(spark, sf_dir, "lineitem").select(
+        k.alias("run"), (F.timestamp_seconds(F.lit(1704067200) + (k % 100) * 21600)).alias("initial_time"), n.alias("forecast_hours"), (num(2.5) * (k % 144)).alias("lon"), ((k * 7 + n * 13) % 40 - num(10)).alias("v"),
+    ).distinct()
+    out = datasets.clip_lower(datasets.wrap_longitude(datasets.forecast_time(rows)), "v", 0.5, 0.25)
+    return out.select("run", "time", r6("lon").alias("lon"), r6("v").alias("v"))
+
+
+def s09_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six-hourly means as three-hourly ones, labelled at the beginning of their intervals."""
+    steps = spark.range(60).select(F.timestamp_seconds(F.lit(1704067200) + F.col("id") * 21600).alias("time"), "id")
+    rows = read(spark, sf_dir, "region").crossJoin(steps).select(F.col("r_name").alias("cell"), "time", (num(1.5) * F.col("id") + F.col("r_regionkey")).alias("v"))
+    return datasets.bin_starts(datasets.halved_bins(rows, "v", ["cell"]), 180).select("cell", "time", r6("v").alias("v"))
+
+
 def s09_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return datasets.backfill(_half_hours(spark, sf_dir), "v", ["cell"], "time").select("cell", "time", r6("v").alias("v"))
 
@@ -265,6 +282,16 @@ ov as (select cell_id, h, greatest(0e0, least(lon + 0.0055e0, x + 0.125e0) - gre
     "s08_deaccumulate": (s08_deaccumulate, sql("select l_orderkey, l_linenumber, round(v - coalesce(lag(v) over (partition by l_orderkey order by l_linenumber), 0), 6) as v from li", _LI)),
     "s08_deaverage": (s08_deaverage, sql("select l_orderkey, l_linenumber, round(row_number() over q * v - (row_number() over q - 1)*coalesce(lag(v) over q, 0), 6) as v from li window q as (partition by l_orderkey order by l_linenumber)", _LI)),
     "s09_backfill": (s09_backfill, sql("select h.cell, h.time, round(b.v, 6) as v from (select *, min(case when v is not null then k end) over (partition by cell order by k desc) as kb from hh) h left join hh b on b.cell = h.cell and b.k = h.kb", _HALF)),
+    "s08_forecasts": (
+        s08_forecasts,
+        """select distinct l_orderkey as run, make_timestamp((1704067200 + (l_orderkey % 100)*21600 + l_linenumber*3600)*1000000::bigint) as time,
+ round(case when 2.5e0*(l_orderkey % 144) > 180 then 2.5e0*(l_orderkey % 144) - 360e0 else 2.5e0*(l_orderkey % 144) end, 6) as lon,
+ round(case when (l_orderkey*7 + l_linenumber*13) % 40 - 10e0 > 0.5e0 then (l_orderkey*7 + l_linenumber*13) % 40 - 10e0 else 0.25e0 end, 6) as v from lineitem""",
+    ),
+    "s09_bins": (
+        s09_bins,
+        """select r_name as cell, make_timestamp((1704067200 + k*21600 - late*10800 - 10800)*1000000) as time, round(1.5e0*k + r_regionkey, 6) as v from region, range(60) t(k), range(2) u(late)""",
+    ),
     "s10_turbines": (s10_turbines, _turbines_sql()),
     "s14_turbine_search": (
         s14_turbine_search,

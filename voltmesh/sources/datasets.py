@@ -146,3 +146,30 @@ def backfill(df: DataFrame, value: str, by: list[str], order: str) -> DataFrame:
     """The next known value in each series."""
     w = Window.partitionBy(*by).orderBy(order).rowsBetween(0, Window.unboundedFollowing)
     return df.withColumn(value, F.first(value, True).over(w))
+
+
+def wrap_longitude(df: DataFrame, column: str = "lon") -> DataFrame:
+    """Longitudes from 0 to 360 as -180 to 180."""
+    return df.withColumn(column, F.when(F.col(column) > 180, F.col(column) - num(360)).otherwise(F.col(column)))
+
+
+def forecast_time(df: DataFrame, start: str = "initial_time", hours: str = "forecast_hours") -> DataFrame:
+    """``time`` of a forecast's steps: when it began and how many hours it looked ahead; both columns go."""
+    return df.withColumn("time", F.col(start) + F.make_dt_interval(F.lit(0), F.col(hours).cast("int"), F.lit(0), F.lit(0).cast("decimal(18,6)"))).drop(start, hours)
+
+
+def clip_lower(df: DataFrame, value: str, low: float, fill: float) -> DataFrame:
+    """``fill`` where the value is not above ``low``, or missing."""
+    return df.withColumn(value, F.when(F.col(value) > num(low), F.col(value)).otherwise(num(fill)))
+
+
+def bin_starts(df: DataFrame, minutes: int = 90) -> DataFrame:
+    """Labels of means moved from the middle of their interval to its beginning."""
+    return df.withColumn("time", F.col("time") - F.expr(f"interval {minutes} minutes"))
+
+
+def halved_bins(df: DataFrame, value: str, by: list[str], hours: int = 3) -> DataFrame:
+    """(by, time, value): means of intervals that end at their labels, also at the label ``hours`` earlier; a label of both keeps its own value."""
+    earlier = df.select(*by, (F.col("time") - F.expr(f"interval {hours} hours")).alias("time"), F.col(value).alias("__v"), F.lit(1).alias("__late"))
+    both = earlier.unionByName(df.select(*by, "time", F.col(value).alias("__v"), F.lit(0).alias("__late")))
+    return both.groupBy(*by, "time").agg(F.min_by("__v", "__late").alias(value))
