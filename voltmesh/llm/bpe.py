@@ -35,6 +35,11 @@ _LOWER[65:91] += 32
 _CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 
 
+def _plain(path: str) -> dict:
+    with open(path, encoding="utf-8") as file:
+        return json.load(file)
+
+
 class WordSplitter:
     """The words that the tokenizer file's normaliser and pre-tokeniser give, without building a string for each.
 
@@ -44,9 +49,11 @@ class WordSplitter:
     """
 
     def __init__(self, path: str):
-        known = Tokenizer.from_file(path)
+        plain = _plain(path)
+        special = [x["content"] for x in plain["added_tokens"]]
+        # without its vocabulary: no word is encoded here
+        known = Tokenizer.from_str(json.dumps(plain | {"added_tokens": [], "post_processor": None, "decoder": None, "model": {"type": "BPE", "vocab": {}, "merges": []}}))
         self.normal, self.pre = known.normalizer, known.pre_tokenizer
-        special = [x.content for x in known.get_added_tokens_decoder().values()]
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
 
     def slow(self, text: str) -> list[str]:
@@ -106,13 +113,16 @@ class WordSplitter:
 def word_encoder(path: str):
     """words -> array<int> column of their ids; a word is one pre-token as it stands."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks use the cores
-    plain = json.loads(open(path).read())
+    plain = _plain(path)
     special = {f" {x['content']}": [x["id"]] for x in plain["added_tokens"]}
     plain |= {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}}
     model = Tokenizer.from_str(json.dumps(plain))
 
     def encode(words: list[str]) -> pa.Array:
-        got = [special.get(w) or e.ids for w, e in zip(words, model.encode_batch(words, add_special_tokens=False), strict=True)]
+        got = []
+        for start in range(0, len(words), 1000):  # an encoding is far larger than its ids
+            some = words[start : start + 1000]
+            got += [special.get(w) or e.ids for w, e in zip(some, model.encode_batch(some, add_special_tokens=False), strict=True)]
         return pa.array(got, pa.list_(pa.int32()))
 
     return encode
@@ -120,8 +130,9 @@ def word_encoder(path: str):
 
 def pieces(path: str) -> pa.Array:
     """The piece of each id: one row for each entry of the vocabulary, so its size is that of the tokenizer."""
-    known = Tokenizer.from_file(path)
-    return pa.array([known.id_to_token(i) for i in range(known.get_vocab_size())], pa.string())
+    plain = _plain(path)
+    found = {i: p for p, i in plain["model"]["vocab"].items()} | {x["id"]: x["content"] for x in plain["added_tokens"]}
+    return pa.array([found.get(i) for i in range(max(found) + 1)], pa.string())
 
 
 def _join(ids: np.ndarray, ends: np.ndarray, table: pa.Array) -> pa.Array:
@@ -178,8 +189,8 @@ def _encode(docs: DataFrame, path: str, text: str, hot: int, finish, schema: str
         values = values.combine_chunks() if isinstance(values, pa.ChunkedArray) else values
         done = finish()
         for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                part = batch.slice(start, 512)
+            for start in range(0, batch.num_rows, 128):
+                part = batch.slice(start, 128)
                 lists = [_codes(zstandard.ZstdDecompressor().decompress(x)) for x in part.column("codes").to_pylist()]
                 codes = np.concatenate(lists)
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in lists])])

@@ -23,6 +23,9 @@ from .scratch import Scratch, slices
 #: bytes never, which bounds the broadcast.
 HOT, LONG = 1 << 19, 64
 
+#: Bytes of text that a task splits at a time; its arrays take about 25 times as many.
+SLICE = 2 << 20
+
 #: splitter(text column of a batch) -> parts (row numbers, words of these rows behind each other, words per row)
 Split = Callable[[pa.Array], Iterator[tuple[np.ndarray, pa.Array, np.ndarray]]]
 
@@ -49,7 +52,7 @@ def word_counts(docs: DataFrame, text: str, split: Callable[[], Split]) -> DataF
 
     def found(batches):
         cut = split()
-        for batch in slices(batches, text, 4 << 20):
+        for batch in slices(batches, text, SLICE):
             for _, words, _ in cut(batch.column(text)):
                 seen = words.value_counts()
                 yield pa.RecordBatch.from_arrays([seen.field("values").cast(pa.string()), seen.field("counts").cast(pa.int64())], ["word", "n"])
@@ -118,7 +121,7 @@ class WordTable:
             known = _table(shared, name)
             words_of, values = known.column("word").cast(pa.large_string()), known.column("value")
             words_of, values = (x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in (words_of, values))
-            for batch in slices(batches, text, 4 << 20):
+            for batch in slices(batches, text, SLICE):
                 for rows, words, counts in cut(batch.column(text)):
                     seen = words.dictionary_encode()
                     place = pc.index_in(seen.dictionary, value_set=words_of).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int32)
