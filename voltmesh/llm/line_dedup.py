@@ -263,7 +263,7 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", thresh
     and line number (null keys first), stays. Equal rows (key and text) count as one document and lose the same lines. Null texts stay null; a text
     that loses all lines is empty; an empty table gives an empty one; an input column named n_lines or n_removed raises ValueError.
     Lines meet by 64-bit hashes; a second one tells two lines of one hash apart, so that such a clash can only lose links of one of them.
-    Rows are named by 128 bits.
+    Rows are named by 96 bits.
     """
     if both := {"n_lines", "n_removed"} & set(docs.columns):
         raise ValueError(f"rename these input columns first: {sorted(both)}")

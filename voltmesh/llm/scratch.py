@@ -55,7 +55,9 @@ def flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of at most ``most`` bytes of text, or of one row."""
+    """The same rows in batches of at most ``most`` bytes of text, or of one row. After each, Arrow gives back what it holds in reserve: a
+    worker that waits for its next task else keeps what its largest batch took."""
+    pool = pa.default_memory_pool()
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -64,6 +66,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20)
         while start < batch.num_rows:
             end = max(start + 1, int(np.searchsorted(at, at[start] + most, side="right")) - 1)
             yield batch.slice(start, end - start)
+            pool.release_unused()
             start = end
 
 
