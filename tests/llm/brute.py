@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import hashlib
 import re
 import struct
@@ -126,3 +127,57 @@ def quality(text):
     lines = [x for x in (text or "").split("\n") if words(x)]
     base = (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(covered))
     return *base, base[0] < 10 or 100 * base[4] > 20 * base[0]
+
+
+def alignment(rows, a, b):
+    """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256) by whole texts and single tokens."""
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    from voltmesh.llm.token_alignment import bytes_of_a, bytes_of_b
+
+    ta, tb = Tokenizer.from_file(a), sentencepiece.SentencePieceProcessor(model_file=b)
+    ta.encode_special_tokens = True
+    of_a, of_b = bytes_of_a(a), bytes_of_b(b)
+    done, counts = [], defaultdict(int)
+    for doc, text in rows:
+        text = text or ""
+        ids_a, ids_b = (ta.encode(" " + text, add_special_tokens=False).ids, tb.encode(text)) if text else ([], [])
+        body = (" " + text).encode() if text else b""
+        if b"".join(of_a[k] for k in ids_a) != body or b"".join(of_b[k] for k in ids_b) != body:
+            ids_a, ids_b = [], []
+        spans = []
+        for ids, of in ((ids_a, of_a), (ids_b, of_b)):
+            at, own = 0, []
+            for k in ids:
+                own.append((at, at + len(of[k]), k))
+                at += len(of[k])
+            spans.append(own)
+        links, j = [], 0
+        for s, e, k in spans[0]:
+            while j and spans[1][j - 1][1] > s:
+                j -= 1
+            while j < len(spans[1]) and spans[1][j][0] < e:
+                if spans[1][j][1] > s:
+                    links.append((k, spans[1][j][2]))
+                j += 1
+        shared = sorted({e for _, e, _ in spans[0]} & {e for _, e, _ in spans[1]})
+        text_of = ";".join("|".join(",".join(str(k) for s, e, k in side if low <= s and e <= high) for side in spans) for low, high in zip([0, *shared[:-1]], shared)) if len(text) < 3000 else None
+        if text_of is None:  # the same, by running through both lists once
+            parts, i, j = [], 0, 0
+            for high in shared:
+                i2, j2 = i, j
+                while i2 < len(spans[0]) and spans[0][i2][1] <= high:
+                    i2 += 1
+                while j2 < len(spans[1]) and spans[1][j2][1] <= high:
+                    j2 += 1
+                parts.append(",".join(str(x[2]) for x in spans[0][i:i2]) + "|" + ",".join(str(x[2]) for x in spans[1][j:j2]))
+                i, j = i2, j2
+            text_of = ";".join(parts)
+        for x in links:
+            counts[x] += 1
+        done.append((doc, len(ids_a), len(ids_b), len(shared), links, hashlib.sha256(text_of.encode()).hexdigest() if ids_a else ""))
+    top = defaultdict(int)
+    for (_, y), n in counts.items():
+        top[y] = max(top[y], n)
+    return [(doc, na, nb, ng, len(links), sum(counts[x] == top[x[1]] for x in links), sum(counts[x] for x in links), sha) for doc, na, nb, ng, links, sha in done]

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, line_dedup, quality, sharding, simhash, substring_dedup, token_counts, urls, warc
+from . import bpe, decontaminate, line_dedup, quality, sharding, simhash, substring_dedup, token_alignment, token_counts, urls, warc
 from .oracles import ORACLES
 
 #: The rules of the URL query; the longest that fits a url decides.
@@ -73,6 +73,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept_words", "kept")
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_alignment.align(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -80,7 +85,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_sharding, op2_bpe, op3_substring_dedup, op4_decontamination, op5_url_filter, op6_line_dedup, op7_warc, op8_token_counts, op9_simhash, op10_quality, pipeline]
+    found = [op1_sharding, op2_bpe, op3_substring_dedup, op4_decontamination, op5_url_filter, op6_line_dedup, op7_warc, op8_token_counts, op9_simhash, op10_quality, op13_token_alignment, pipeline]
     return {f.__name__: f for f in found}
 
 
