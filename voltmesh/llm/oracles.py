@@ -49,4 +49,21 @@ b as (select d.doc_id, len(w)::bigint as n_words, len(array_to_string(w, ''))::b
 f as (select *, n_words < 10 or 100*n_repeat_words > 20*n_words as base_failed from b)
 select *, not base_failed and kept_words >= 0.2*n_words as kept from f"""
 
-ORACLES: dict[str, str] = {"op4_decontamination": OP4, "op5_url_filter": OP5, "op7_warc": OP7, "op10_quality": OP10}
+OP12 = rf"""with
+d as (select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as w from documents),
+t as (select r, lang, source, unnest(w) as term from d),
+k as (select lang, term from t group by all having count(distinct r) >= 10),
+c as (select lang, source, term, count(*) as n from t join k using (lang, term) group by all),
+g as (select distinct lang, source from d),
+v as (select lang, count(*) as terms from k group by all),
+x as (select g.lang, g.source, k.term, coalesce(c.n, 0) as n, sum(coalesce(c.n, 0)) over (partition by g.lang, g.source) as tot, terms,
+ sum(coalesce(c.n, 0)) over (partition by g.lang, k.term) as ln, sum(coalesce(c.n, 0)) over (partition by g.lang) as ltot
+ from g join k on g.lang = k.lang left join c on c.lang = g.lang and c.source = g.source and c.term = k.term join v on v.lang = g.lang),
+p as (select lang, source, term, n, (1 + 1000000000::hugeint*(n + 2)//(tot + 2*terms))::bigint as p, (1 + 1000000000::hugeint*(ln + 2)//(ltot + 2*terms))::bigint as q from x),
+pair as (select a.lang, a.source, b.source as item, sum((a.p - b.p)*(a.p - b.p)//(a.p + b.p)) as value from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+f as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(value, 0)::bigint as value from g a join g b on a.lang = b.lang and a.source <> b.source
+ left join pair on pair.lang = a.lang and pair.source = a.source and pair.item = b.source
+ union all select lang, source, 'term', term, (p - q)*(p - q)//(p + q) from p where n > 0 and p > q)
+select * from (select *, row_number() over (partition by lang, source, part order by value desc, item)::int as rank from f) where part = 'pair' or rank <= 10"""
+
+ORACLES: dict[str, str] = {"op4_decontamination": OP4, "op5_url_filter": OP5, "op7_warc": OP7, "op10_quality": OP10, "op12_source_divergence": OP12}
