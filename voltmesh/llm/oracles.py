@@ -6,6 +6,8 @@ similarity or edit distance that ends in time on whole tables (op3, op6); tests
 
 from __future__ import annotations
 
+from .licences import PHRASES, TEMPLATES, words
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 OP4 = rf"""with
@@ -49,6 +51,31 @@ b as (select d.doc_id, len(w)::bigint as n_words, len(array_to_string(w, ''))::b
 f as (select *, n_words < 10 or 100*n_repeat_words > 20*n_words as base_failed from b)
 select *, not base_failed and kept_words >= 0.2*n_words as kept from f"""
 
+_WORDS = ", ".join(f"({t}, '{x.label}', {k}, '{w}')" for t, x in enumerate(TEMPLATES) for k, w in enumerate(words(x.text)))
+_KEYS = ", ".join(f"({t}, '{' '.join(words(p))}', '{words(p)[0]}', {len(words(p))})" for t, x in enumerate(TEMPLATES) for p in x.phrases)
+_BASE = ", ".join(f"('{p}', '{p.split()[0]}', {len(p.split())}, '{label}')" for p, label in PHRASES.items())
+
+OP11 = rf"""with
+d as (select doc_id, row_number() over () as r, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+pos as (select r, unnest(w) as word, generate_subscripts(w, 1) - 1 as i from d),
+tw as (select * from (values {_WORDS}) v(t, label, k, word)),
+df as (select word, count(distinct r) as n from pos where word in (select word from tw) group by 1),
+rare as (select t, word from (select t, word, row_number() over (partition by t order by coalesce(n, 0), word) as rn from (select distinct t, word from tw) left join df using (word)) where rn <= 6),
+sizes as (select t, max(label) as label, count(*) as size, (select count(*) from rare where rare.t = tw.t) as n_rare from tw group by t),
+hit as (select r, t, i - k as b, word from pos join tw using (word) join rare using (t, word)),
+win as (select a.r, a.t, a.b, count(distinct c.word) as n from (select distinct r, t, b from hit) a join hit c on a.r = c.r and a.t = c.t and c.b between a.b and a.b + 8 group by all),
+cand as (select win.*, size, n_rare, label, len(w) as len from win join sizes using (t) join d using (r) where n >= (60*n_rare + 99)//100),
+keys as (select * from (values {_KEYS}) v(t, phrase, word, len)),
+stands as (select r, t, phrase, i, keys.len from pos join keys using (word) join d using (r) where array_to_string(w[i + 1:i + keys.len], ' ') = phrase),
+ok as (select * from cand where not exists (select 1 from keys where keys.t = cand.t and not exists (
+ select 1 from stands s where s.r = cand.r and s.t = cand.t and s.phrase = keys.phrase and s.i >= greatest(b, 0) and s.i + s.len <= least(cand.len, b + 8 + size)))),
+base as (select r, i, label from pos join (values {_BASE}) v(phrase, word, n, label) using (word) join d using (r) where array_to_string(w[i + 1:i + n], ' ') = phrase),
+bb as (select r, count(*) as n_base, min(i) as first_word, max(i) as last_word, string_agg(distinct label, ',' order by label) as base_labels from base group by 1),
+ll as (select r, string_agg(distinct label, ',' order by label) as labels from (select r, label from base union all select r, label from ok) group by 1),
+ss as (select r, max(n/n_rare) as score from ok group by 1)
+select doc_id, len(w)::bigint as n_words, coalesce(n_base, 0)::bigint as n_base, first_word::bigint as first_word, last_word::bigint as last_word, coalesce(base_labels, '') as base_labels,
+ coalesce(labels, '') as labels, coalesce(score, 0)::double as score from d left join bb using (r) left join ll using (r) left join ss using (r)"""
+
 OP12 = rf"""with
 d as (select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as w from documents),
 t as (select r, lang, source, unnest(w) as term from d),
@@ -66,4 +93,4 @@ f as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(value,
  union all select lang, source, 'term', term, (p - q)*(p - q)//(p + q) from p where n > 0 and p > q)
 select * from (select *, row_number() over (partition by lang, source, part order by value desc, item)::int as rank from f) where part = 'pair' or rank <= 10"""
 
-ORACLES: dict[str, str] = {"op4_decontamination": OP4, "op5_url_filter": OP5, "op7_warc": OP7, "op10_quality": OP10, "op12_source_divergence": OP12}
+ORACLES: dict[str, str] = {"op4_decontamination": OP4, "op5_url_filter": OP5, "op7_warc": OP7, "op10_quality": OP10, "op11_licence_scan": OP11, "op12_source_divergence": OP12}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, divergence, line_dedup, quality, sharding, simhash, substring_dedup, token_alignment, token_counts, urls, warc
+from . import bpe, decontaminate, divergence, licences, line_dedup, quality, sharding, simhash, substring_dedup, token_alignment, token_counts, urls, warc
 from .oracles import ORACLES
 
 #: The rules of the URL query; the longest that fits a url decides.
@@ -73,6 +73,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept_words", "kept")
 
 
+def op11_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(_read(spark, sf_dir, "documents").select("doc_id", "text")).drop("licences")
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(_read(spark, sf_dir, "documents").select("lang", "source", "text"))
 
@@ -89,7 +93,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_sharding, op2_bpe, op3_substring_dedup, op4_decontamination, op5_url_filter, op6_line_dedup, op7_warc, op8_token_counts, op9_simhash, op10_quality, op12_source_divergence, op13_token_alignment, pipeline]
+    found = [op1_sharding, op2_bpe, op3_substring_dedup, op4_decontamination, op5_url_filter, op6_line_dedup, op7_warc, op8_token_counts, op9_simhash, op10_quality, op11_licence_scan, op12_source_divergence, op13_token_alignment, pipeline]
     return {f.__name__: f for f in found}
 
 
