@@ -15,9 +15,12 @@ import os
 from collections.abc import Iterator
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
 import sentencepiece
+import tiktoken
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -56,13 +59,13 @@ def units(column: pa.Array) -> Iterator[tuple[np.ndarray, pa.Array, np.ndarray]]
     empty, space = (pa.scalar(x, pa.large_string()) for x in ("", " "))
     body, at = flat(pc.binary_join_element_wise(empty, column.take(pa.array(rows)).cast(pa.large_string()), space))
     if len(rows) > 1:
-        begin = np.union1d(_cuts(body), at[:-1])
+        begin = _union1d(_cuts(body), at[:-1])
         yield rows, strings(body, np.append(begin, len(body))), np.searchsorted(begin, at[1:])
         return
     start, size = 0, SLICE
     while start < len(body):
         part = body[start : start + size]
-        begin = np.union1d(_cuts(part), [0])
+        begin = _union1d(_cuts(part), np.zeros(1, np.int64))
         if start + size < len(body):
             if len(begin) == 1:  # no space yet
                 size *= 2
@@ -95,6 +98,12 @@ def bytes_of_b(path: str) -> list[bytes]:
     return [bytes([int(piece(k)[3:-1], 16)]) if b.is_byte(k) else piece(k).replace("▁", " ").encode() for k in range(b.get_piece_size())]
 
 
+def _union1d(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """numpy's union1d of two sorted arrays: a stable sort merges them."""
+    both = np.sort(np.concatenate([a, b]), kind="stable")
+    return both[np.concatenate([[True], both[1:] != both[:-1]])] if len(both) else both
+
+
 class Aligner:
     """What a unit gives: its numbers of A and B tokens, groups and links, the text of its groups and its links as a << 32 | b.
 
@@ -108,25 +117,73 @@ class Aligner:
         self.a.encode_special_tokens = True
         self.a.no_truncation()
         self.a.no_padding()
-        self.bytes = [pa.array(x, pa.large_binary()) for x in (bytes_of_a(a), bytes_of_b(b))]
+        of_a, of_b = bytes_of_a(a), bytes_of_b(b)
+        special = {x.content for x in self.a.get_added_tokens_decoder().values()}
+        ranks = {x: k for k, x in enumerate(of_a) if x and x.decode("utf-8", "replace") not in special}
+        # the same vocabulary and order of merges, several times as fast; for Latin text, on which no two versions of Unicode differ
+        self.fast = tiktoken.Encoding("a", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.bytes = [pa.array(x, pa.large_binary()) for x in (of_a, of_b)]
         self.sizes = [pc.binary_length(x).to_numpy() for x in self.bytes]
         self.names = [pa.array([str(k) for k in range(len(x))], pa.large_string()) for x in self.bytes]
         self.known = self.align(pa.array([], pa.large_string()))
         self.uses = np.zeros(0, np.int64)
 
-    def _encode(self, found: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Ids of all units behind each other and how many each has, by A and by B."""
-        lists = [[], []]
+    def _alone(self, found: list[str], side: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all units behind each other and how many each has, each unit on its own."""
+        lists = []
         for start in range(0, len(found), 2000):  # an encoding is far larger than its ids
             some = found[start : start + 2000]
-            lists[0] += [e.ids for e in self.a.encode_batch(some, add_special_tokens=False)]
-            lists[1] += self.b.encode([x[1:] for x in some], num_threads=1) if some else []
-        for ids in lists:
-            yield np.fromiter((k for x in ids for k in x), np.int64), np.fromiter(map(len, ids), np.int64, len(ids))
+            lists += self.b.encode([x[1:] for x in some], num_threads=1) if side else [e.ids for e in self.a.encode_batch(some, add_special_tokens=False)]
+        return np.fromiter((k for x in lists for k in x), np.int64), np.fromiter(map(len, lists), np.int64, len(lists))
+
+    def _together(self, found: pa.Array, side: int) -> tuple[np.ndarray, np.ndarray]:
+        """The same for units that begin and end as inside a text: neighbours do not touch each other, so a thousand at a time are one text."""
+        ids, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        body, at = flat(found)
+        raw = body.tobytes()
+        for start in range(0, len(found), 1000):
+            edge = at[start : start + 1001]
+            text = raw[edge[0] : edge[-1]].decode()
+            got = np.asarray(self.b.encode(text[1:]) if side else self.fast.encode_to_numpy(text, disallowed_special=()), np.int64)
+            ends, close = np.cumsum(self.sizes[side][got]), edge[1:] - edge[0]
+            last = np.searchsorted(ends, close)
+            if len(ends) and ends[-1] == close[-1] and (ends[last] == close).all():
+                ids.append(got)
+                counts.append(np.diff(np.concatenate([[-1], last])))
+            else:
+                own = self._alone(found.slice(start, 1000).to_pylist(), side)
+                ids.append(own[0])
+                counts.append(own[1])
+        return np.concatenate(ids), np.concatenate(counts)
+
+    @staticmethod
+    def _inner(found: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Units that begin and end as inside a text, and those of ASCII and Latin letters up to U+024F."""
+        body, at = flat(found)
+        size = np.diff(at)
+        room = np.concatenate([np.zeros(3, np.uint8), body, np.zeros(3, np.uint8)])
+        last = room[at[1:] + 2]
+        wide = (last >= 0x80) & (room[at[1:] + 1] != 0xC2) & ~np.isin(room[at[1:]], (0xE1, 0xE2, 0xE3, 0xEF))
+        odd = np.concatenate([[0], np.cumsum(body == 0xE2)])  # U+2581 is among these
+        inner = (size > 2) & (room[at[:-1] + 3] == 0x20) & _OPENS[room[at[:-1] + 4]] & (_PRINTED[last] | wide) & (odd[at[1:]] == odd[at[:-1]])
+        far = np.concatenate([[0], np.cumsum((body >= 0xCA) | (body == 0xC2))])
+        return inner, far[at[1:]] == far[at[:-1]]
 
     def align(self, found: pa.Array) -> pa.Table:
+        """A row for each unit, in the same order."""
+        inner, latin = self._inner(found)
+        kinds = [np.flatnonzero(x) for x in (inner & latin, inner & ~latin, ~inner)]
+        tables = []
+        for kind, rows in enumerate(kinds):
+            some = found.take(pa.array(rows))
+            a = self._together(some, 0) if kind == 0 else self._alone(some.to_pylist(), 0)
+            b = self._together(some, 1) if kind < 2 else self._alone(some.to_pylist(), 1)
+            tables.append(self._table(some, *a, *b))
+        order = np.argsort(np.concatenate(kinds), kind="stable")
+        return pa.concat_tables(tables).take(pa.array(order)).combine_chunks()
+
+    def _table(self, found: pa.Array, a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.ndarray) -> pa.Table:
         n = len(found)
-        (a, n_a), (b, n_b) = self._encode(found.to_pylist())
         whole = np.ones(n, bool)
         for ids, counts, table in ((a, n_a, self.bytes[0]), (b, n_b, self.bytes[1])):
             offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
@@ -136,7 +193,7 @@ class Aligner:
         a, b = a[np.repeat(whole, n_a)], b[np.repeat(whole, n_b)]
         n_a, n_b = np.where(whole, n_a, 0), np.where(whole, n_b, 0)
         end_a, end_b = np.cumsum(self.sizes[0][a]), np.cumsum(self.sizes[1][b])
-        ends = np.union1d(end_a, end_b)
+        ends = _union1d(end_a, end_b)
         of_a, of_b = np.searchsorted(end_a, ends), np.searchsorted(end_b, ends)  # the owners of each interval
         shut = (end_a[of_a] == ends) & (end_b[of_b] == ends) if len(ends) else np.zeros(0, bool)
         last_a, last_b = of_a[shut] + 1, of_b[shut] + 1  # a group's tokens end here
@@ -206,134 +263,181 @@ def _sums(values: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def _parts(batch: pa.RecordBatch, text: str, aligner: Aligner):
-    """(row numbers, ends of their units, table of units, number of each unit) of texts that come back whole, and the batch's other rows not at all."""
+    """(row numbers, ends of their units, table of units, number of each unit)."""
     for rows, found, ends in units(batch.column(text)):
         yield rows, ends, *aligner.rows(found)
 
 
-def pair_counts(docs: DataFrame, a: str, b: str, text: str = "text") -> DataFrame:
-    """(pair, n): how often an A and a B token with these ids overlap in the corpus; pair is a << 32 | b.
+def _sorted_counts(keys: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and how often each occurs or what its weights sum to."""
+    if weights is None:
+        keys = np.sort(keys)
+    else:
+        order = np.argsort(keys, kind="stable")
+        keys, weights = keys[order], weights[order]
+    begin = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    ends = np.append(begin, len(keys))
+    reach = np.arange(len(keys) + 1) if weights is None else np.concatenate([[0], np.cumsum(weights)])
+    return keys[begin], np.diff(reach[ends])
 
-    Null and empty texts, and texts that either tokenizer does not give back byte by byte, have no tokens; repeated rows count each time; an
-    empty table has no pairs."""
 
-    def run(batches):
-        aligner, pairs, counts = _aligner(a, b), np.zeros(0, np.int64), np.zeros(0, np.int64)
+def _packed(pairs: np.ndarray, times: np.ndarray) -> bytes:
+    """Pairs in order and their counts: steps between neighbours as planes of bytes, which compress well."""
+    steps = np.diff(pairs, prepend=0)
+    return zstandard.ZstdCompressor(level=3).compress(np.stack([steps, times]).astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()) if len(pairs) else b""
 
-        def given():
-            return pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(counts)], ["pair", "n"])
 
-        for batch in slices(batches, text, SLICE):
-            broken = _broken(batch, text, aligner) if batch.num_rows == 1 else None
-            for _, ends, table, codes in _parts(batch, text, aligner) if broken is None or not broken.any() else ():
-                whole = table.column("whole").to_numpy()[codes]
-                good = _sums(~whole, np.concatenate([[0], ends])) == 0
-                codes = codes[np.repeat(good, np.diff(np.concatenate([[0], ends])))]
-                used = np.bincount(codes, minlength=len(table))
-                links, at = _lists(table)
-                weight = np.repeat(used, np.diff(at))
-                pairs, back = np.unique(np.concatenate([pairs, links[weight > 0]]), return_inverse=True)
-                sums = np.zeros(len(pairs), np.int64)
-                np.add.at(sums, back, np.concatenate([counts, weight[weight > 0]]))
-                counts = sums
-            if len(pairs) > PAIRS:
-                yield given()
-                pairs, counts = pairs[:0], counts[:0]
-        yield given()
-
-    return docs.select(text).mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-
-
-def _broken(batch: pa.RecordBatch, text: str, aligner: Aligner) -> np.ndarray:
-    """Rows that a tokenizer does not give back, in all their parts."""
-    out = np.zeros(batch.num_rows, bool)
-    for rows, ends, table, codes in _parts(batch, text, aligner):
-        whole = table.column("whole").to_numpy()[codes]
-        out[rows] |= _sums(~whole, np.concatenate([[0], ends])) > 0
-    return out
+def _unpacked(packed: bytes | None) -> tuple[np.ndarray, np.ndarray]:
+    if not packed:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    steps, times = np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8).reshape(8, -1).T).view("<i8").reshape(2, -1)
+    return np.cumsum(steps), times
 
 
-def align(docs: DataFrame, a: str, b: str, text: str = "text", digest: bool = True, hot: int = HOT) -> DataFrame:
-    """docs without the text, with n_a, n_b, n_groups, n_links, n_best, count_sum and groups_sha256 (``digest=False``: the text ``groups`` itself).
+_SUMS = ["n_a", "n_b", "n_groups", "n_links"]
 
-    A group is written as its A ids, "|" and its B ids, each joined by ","; groups are joined by ";". A link's count is how often its
-    pair of ids is linked in the corpus; n_best counts links whose count is the highest of their B id, ties included.
-    Null and empty texts, and texts that either tokenizer does not give back byte by byte (one with U+2581), have zeros and '' ; repeated
-    rows stay; an empty table gives an empty one. A text of any length is taken in parts at spaces; a stretch without a single space is one
-    unit, which takes some 150 times its bytes while it is encoded. An input column named like an added one raises ValueError.
-    """
-    names = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256" if digest else "groups"]
-    if both := {*names, "__row", "__far"} & set(docs.columns):
-        raise ValueError(f"rename these input columns first: {sorted(both)}")
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "alignment")
-    counts = scratch.save(pair_counts(docs, a, b, text), "pairs")
-    b_id = F.col("pair").bitwiseAND(0xFFFFFFFF)
-    best = counts.groupBy(b_id.alias("b")).agg(F.max("n").alias("most"))  # a row for each entry of B's vocabulary at most
-    known = scratch.save(counts.withColumn("b", b_id).join(best, "b").select("pair", "n", (F.col("n") == F.col("most")).alias("best")), "counts")
-    edge = WordTable._edges(known, hot)[0]
-    frequent = known.where(F.col("n") >= edge).toArrow().sort_by("pair")
-    shared = spark.sparkContext.broadcast(tuple(frequent.column(c).to_numpy() for c in ("pair", "n", "best")))
-    del frequent
-    scratch.release()
+
+def _coded(docs: DataFrame, a: str, b: str, text: str, digest: bool) -> DataFrame:
+    """docs without the text, with the four numbers, ``__groups``, ``__row`` (a number of the row) and ``__links`` (its pairs with their counts)."""
     kept = [f for f in docs.schema.fields if f.name != text]
 
     def run(batches):
-        aligner, (pairs, n, best) = _aligner(a, b), shared.value
+        aligner = _aligner(a, b)
         task, made = TaskContext.get().partitionId() << 36, 0
         for batch in slices(batches, text, SLICE):
             size = batch.num_rows
-            sums = {c: np.zeros(size, np.int64) for c in names[:6]}
+            sums = {c: np.zeros(size, np.int64) for c in _SUMS}
             told: list[str] = [""] * size
-            far: list[np.ndarray] = [pairs[:0]] * size
+            linked: list[bytes] = [b""] * size
             broken = np.zeros(size, bool)
-            state, pieces = hashlib.sha256(), []
-            parts = 0
-            for rows, ends, table, codes in _parts(batch, text, aligner):
+            state, pieces, held = hashlib.sha256(), [], []
+            for part, (rows, ends, table, codes) in enumerate(_parts(batch, text, aligner)):
                 at = np.concatenate([[0], ends])
                 broken[rows] |= _sums(~table.column("whole").to_numpy()[codes], at) > 0
+                for c in _SUMS:
+                    sums[c][rows] += _sums(table.column(c).to_numpy()[codes], at)
                 links, links_at = _lists(table)
-                place = np.searchsorted(pairs, links)
-                hit = pairs[np.minimum(place, len(pairs) - 1)] == links if len(pairs) else np.zeros(len(links), bool)
-                of_link = lambda x: _sums(np.where(hit, x[np.minimum(place, len(x) - 1)], 0) if len(x) else np.zeros(len(links), np.int64), links_at)  # noqa: B023, E731
-                by_unit = {c: table.column(c).to_numpy() for c in names[:4]} | {"n_best": of_link(best), "count_sum": of_link(n)}
-                for c, x in by_unit.items():
-                    sums[c][rows] += _sums(x[codes], at)
-                missed = _sums(~hit, links_at)
-                if missed.any():
-                    for k in np.flatnonzero(_sums(missed[codes], at)):
-                        own = codes[at[k] : at[k + 1]]
-                        own = own[missed[own] > 0]
-                        got = np.concatenate([links[links_at[u] : links_at[u + 1]][~hit[links_at[u] : links_at[u + 1]]] for u in own.tolist()])
-                        far[rows[k]] = np.concatenate([far[rows[k]], got])
+                times = np.diff(links_at)[codes]
+                flat_links = links[np.repeat(links_at[codes] - np.cumsum(times) + times, times) + np.arange(times.sum())]
                 text_of = table.column("text").combine_chunks().take(pa.array(codes))
                 text_of = text_of.combine_chunks() if isinstance(text_of, pa.ChunkedArray) else text_of
                 joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(at, pa.int32()), text_of), ";").to_pylist()
                 if len(rows) > 1:
-                    for k, x in zip(rows.tolist(), joined, strict=True):
-                        told[k] = hashlib.sha256(x.encode()).hexdigest() if digest else x
+                    # a pair's ids take 16 bits each or few more: of the 64 bits, the row has the upper ones
+                    owner = np.repeat(np.arange(len(rows)), _sums(times, at))
+                    narrow = (flat_links >> 32) * len(aligner.sizes[1]) + (flat_links & 0xFFFFFFFF)
+                    keys, counts = _sorted_counts(owner * (len(aligner.sizes[0]) * len(aligner.sizes[1])) + narrow)
+                    owner, narrow = np.divmod(keys, len(aligner.sizes[0]) * len(aligner.sizes[1]))
+                    pairs = narrow // len(aligner.sizes[1]) << 32 | narrow % len(aligner.sizes[1])
+                    edge = np.searchsorted(owner, np.arange(len(rows) + 1))
+                    for k, (row, x) in enumerate(zip(rows.tolist(), joined, strict=True)):
+                        told[row] = hashlib.sha256(x.encode()).hexdigest() if digest else x
+                        linked[row] = _packed(pairs[edge[k] : edge[k + 1]], counts[edge[k] : edge[k + 1]])
                 else:  # perhaps one part of several
-                    x = ";" * bool(parts) + joined[0]
+                    x = ";" * bool(part) + joined[0]
                     state.update(x.encode())
+                    held.append(_sorted_counts(flat_links))
                     if not digest:
                         pieces.append(x)
                     told[rows[0]] = state.hexdigest() if digest else "".join(pieces)
-                parts += 1
+            if held:
+                linked[rows[0]] = _packed(*_sorted_counts(*(np.concatenate(x) for x in zip(*held, strict=True))))
             for k in np.flatnonzero(broken | (sums["n_a"] == 0)).tolist():
-                told[k], far[k] = "", pairs[:0]
+                told[k], linked[k] = "", b""
             for x in sums.values():
                 x[broken] = 0
             own = batch.select([f.name for f in kept])
-            columns = [*own.columns, *(pa.array(sums[c]) for c in names[:6]), pa.array(told, pa.string()), pa.array(task + made + np.arange(size)), pa.array(far, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, [*own.schema.names, *names, "__row", "__far"])
+            columns = [*own.columns, *(pa.array(sums[c]) for c in _SUMS), pa.array(told, pa.string()), pa.array(task + made + np.arange(size)), pa.array(linked, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, [*own.schema.names, *_SUMS, "__groups", "__row", "__links"])
             made += size
 
-    fields = [*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), *(f"{c} long" for c in names[:6]), f"{names[6]} string", "__row long", "__far array<long>"]
-    coded = scratch.save(docs.mapInArrow(run, ", ".join(fields)), "coded")
+    fields = [*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), *(f"{c} long" for c in _SUMS), "__groups string, __row long, __links binary"]
+    return docs.mapInArrow(run, ", ".join(fields))
+
+
+def _pair_counts(coded: DataFrame) -> DataFrame:
+    def run(batches):
+        held, size = [], 0
+
+        def given():
+            pairs, counts = _sorted_counts(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            return pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(counts)], ["pair", "n"])
+
+        for batch in batches:
+            for packed in batch.column("__links"):
+                if packed.is_valid and len(packed.as_buffer()):
+                    held.append(_unpacked(packed.as_py()))
+                    size += len(held[-1][0])
+                if size > 2 * PAIRS:
+                    one = given()
+                    held, size = [(one.column(0).to_numpy(), one.column(1).to_numpy())], one.num_rows
+                    if size > PAIRS:
+                        yield one
+                        held, size = [], 0
+        if held:
+            yield given()
+
+    return coded.select("__links").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+
+
+def pair_counts(docs: DataFrame, a: str, b: str, text: str = "text") -> DataFrame:
+    """(pair, n): how often an A and a B token with these ids overlap in the corpus; pair is a << 32 | b.
+
+    Null and empty texts, and texts that either tokenizer does not give back byte by byte, have no tokens; repeated rows count each time; an
+    empty table has no pairs."""
+    return _pair_counts(_coded(docs.select(text), a, b, text, True))
+
+
+def align(docs: DataFrame, a: str, b: str, text: str = "text", digest: bool = True, hot: int = HOT) -> DataFrame:
+    """docs without the text, with n_a, n_b, n_groups, n_links, n_best, count_sum and groups_sha256 (``digest=False``: the text ``groups`` itself).
+
+    A group is written as its A ids, "|" and its B ids, each joined by ","; groups are joined by ";". A link's count is how often its
+    pair of ids is linked in the corpus; n_best counts links whose count is the highest of their B id, ties included.
+    Null and empty texts, and texts that either tokenizer does not give back byte by byte (one with U+2581), have zeros and '' ; repeated
+    rows stay; an empty table gives an empty one. A text of any length is taken in parts at spaces; a stretch without a single space is one
+    unit, which takes some 150 times its bytes while it is encoded. An input column named like an added one raises ValueError.
+    """
+    names = [*_SUMS, "n_best", "count_sum", "groups_sha256" if digest else "groups"]
+    if both := {*names, "__row", "__far", "__links", "__groups", "__sum", "__best"} & set(docs.columns):
+        raise ValueError(f"rename these input columns first: {sorted(both)}")
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "alignment")
+    coded = scratch.save(_coded(docs, a, b, text, digest), "coded")
+    counts = scratch.save(_pair_counts(coded), "pairs")
+    b_id = F.col("pair").bitwiseAND(0xFFFFFFFF)
+    best = counts.groupBy(b_id.alias("b")).agg(F.max("n").alias("most"))  # a row for each entry of B's vocabulary at most
+    known = scratch.save(counts.withColumn("b", b_id).join(best, "b").select("pair", "n", (F.col("n") == F.col("most")).alias("best")), "counts")
+    scratch.drop(counts)
+    edge = WordTable._edges(known, hot)[0]
+    frequent = known.where(F.col("n") >= edge).toArrow().sort_by("pair")
+    shared = spark.sparkContext.broadcast(tuple(frequent.column(c).to_numpy() for c in ("pair", "n", "best")))
+    del frequent
+    scratch.release()
+    kept = [f for f in coded.schema.fields if f.name != "__links"]
+
+    def run(batches):
+        pairs, n, best = shared.value
+        for batch in batches:
+            for start in range(0, batch.num_rows, 512):
+                part = batch.slice(start, 512)
+                lists = [_unpacked(x) for x in part.column("__links").to_pylist()]
+                ends = np.concatenate([[0], np.cumsum([len(x) for x, _ in lists])]).astype(np.int64)
+                own, times = (np.concatenate([x[k] for x in lists]) for k in (0, 1))
+                place = np.minimum(np.searchsorted(pairs, own), max(0, len(pairs) - 1))
+                hit = pairs[place] == own if len(pairs) else np.zeros(len(own), bool)
+                of = lambda x: _sums(np.where(hit, times * x[place], 0), ends) if len(x) else np.zeros(len(lists), np.int64)  # noqa: B023, E731
+                left = np.concatenate([[0], np.cumsum(~hit)])[ends]
+                far = pa.StructArray.from_arrays([pa.array(own[~hit], pa.int64()), pa.array(times[~hit], pa.int64())], ["pair", "times"])
+                out = part.select([f.name for f in kept])
+                yield pa.RecordBatch.from_arrays([*out.columns, pa.array(of(best)), pa.array(of(n)), pa.ListArray.from_arrays(pa.array(left, pa.int32()), far)], [*out.schema.names, "__best", "__sum", "__far"])
+
+    fields = [*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "__best long, __sum long, __far array<struct<pair:long,times:long>>"]
+    summed = scratch.save(coded.mapInArrow(run, ", ".join(fields)), "sums")
+    scratch.drop(coded)
     # the pairs that are not in each task: none of them holds more than 1 / hot of all links
-    far = coded.select("__row", F.explode("__far").alias("pair")).groupBy("__row", "pair").agg(F.count("*").alias("times"))
+    far = summed.select("__row", F.explode("__far").alias("far")).select("__row", "far.*")
     met = far.join(known.where(F.col("n") < edge), "pair")
-    added = met.groupBy("__row").agg(F.sum(F.col("times") * F.col("n")).alias("__sum"), F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("__best"))
-    out = coded.drop("__far").join(added, "__row", "left")
-    out = out.withColumns({"n_best": F.col("n_best") + F.coalesce("__best", F.lit(0)), "count_sum": F.col("count_sum") + F.coalesce("__sum", F.lit(0))})
-    return out.select(*(F.col(f"`{f.name}`") for f in kept), *names)
+    added = met.groupBy("__row").agg(F.sum(F.col("times") * F.col("n")).alias("more"), F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("better"))
+    out = summed.drop("__far").join(added.withColumnRenamed("__row", "__of"), F.col("__row") == F.col("__of"), "left")
+    own = [F.col(f"`{f.name}`") for f in docs.schema.fields if f.name != text]
+    return out.select(*own, *_SUMS, (F.col("__best") + F.coalesce("better", F.lit(0))).alias("n_best"), (F.col("__sum") + F.coalesce("more", F.lit(0))).alias("count_sum"), F.col("__groups").alias(names[6]))
