@@ -3,7 +3,7 @@
 import pytest
 
 from voltmesh import catalog_queries
-from voltmesh.operators import raster
+from voltmesh.operators import geometry, raster
 from voltmesh.plans import overlays
 from voltmesh.plans.weather import cutout
 
@@ -37,3 +37,12 @@ def test_a_month_is_written_in_ranges(spark, sf_dir, tmp_path):
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert len(list((tmp_path / "c" / "weather" / "month=2024-01").glob("*.parquet"))) > 1
+
+
+def test_overlay_rows_carry_no_outline(spark, sf_dir):
+    """Edges are told apart where the outlines are read; what is shuffled has numbers only, and no row of cells is one task's."""
+    grid = cutout(spark, sf_dir).grid()
+    for found in (geometry.indicator_matrix(grid, overlays._boxes(spark, sf_dir)), geometry.intersection_matrix(grid, overlays._lines(spark, sf_dir), lines=True)):
+        text = found._jdf.queryExecution().executedPlan().toString()
+        above = text[: text.index("explode(es#")]
+        assert text.count("FileScan") == 1 and "pts#" not in above and "SinglePartition" not in above and "NestedLoop" not in above and "Exchange" in above

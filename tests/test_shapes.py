@@ -185,3 +185,80 @@ def test_turbine_of_a_library(spark):
     for name in ("oedb:V90", "oedb:N100"):
         with pytest.raises(KeyError):
             catalog.windturbine(name, library=library)
+
+
+def _clipped_area(ring, x0, x1, y0, y1):
+    """Area of a ring in a box, by cutting it along the box's four sides."""
+    for axis, bound, sign in ((0, x0, 1), (0, x1, -1), (1, y0, 1), (1, y1, -1)):
+        out = []
+        for a, b in zip(ring, ring[1:] + ring[:1], strict=True):
+            da, db = sign * (a[axis] - bound), sign * (b[axis] - bound)
+            if (da >= 0) != (db >= 0):
+                t = da / (da - db)
+                out.append(tuple(p + t * (q - p) for p, q in zip(a, b, strict=True)))
+            if db >= 0:
+                out.append(b)
+        ring = out
+        if not ring:
+            return 0.0
+    return abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:] + ring[:1], strict=True))) / 2
+
+
+def _segment_touches(a, b, x0, x1, y0, y1):
+    low, high = 0.0, 1.0
+    for p, d, m, n in ((a[0], b[0] - a[0], x0, x1), (a[1], b[1] - a[1], y0, y1)):
+        if d == 0:
+            if not m <= p <= n:
+                return False
+            continue
+        t = sorted(((m - p) / d, (n - p) / d))
+        low, high = max(low, t[0]), min(high, t[1])
+    return low <= high
+
+
+def _stars():
+    import random
+
+    random.seed(11)
+    stars = {}
+    for k in range(12):
+        cx, cy, n, flip = random.uniform(-3, 13), random.uniform(-3, 9), random.randrange(3, 40), k % 2
+        angles = [2 * math.pi * j / n for j in range(n)]
+        far = [random.uniform(2, 6) for _ in range(n)]
+        outer = [(cx + r * math.cos(t), cy + r * math.sin(t)) for r, t in zip(far, angles, strict=True)]
+        inner = [(cx + 0.4 * r * math.cos(t), cy + 0.4 * r * math.sin(t)) for r, t in zip(far, angles, strict=True)]
+        stars[f"s{k}"] = [(outer[::-1] if flip else outer, False), (inner, True)]
+    stars["cell"] = [([(2.0, 3.0), (3.0, 3.0), (3.0, 4.0), (2.0, 4.0)], False)]
+    stars["all"] = [([(-50.0, -50.0), (50.0, -50.0), (50.0, 50.0), (-50.0, 50.0)], False)]
+    stars["left"] = [([(-9.0, 1.0), (-5.0, 1.0), (-5.0, 2.0)], False)]
+    stars["right"] = [([(8.5, 1.5), (40.0, 1.5), (40.0, 2.5), (8.5, 2.5)], False)]
+    stars["none"] = [([], False)]
+    return stars
+
+
+def _grid(spark, nx=10, ny=6, first=0):
+    return spark.createDataFrame([(j * nx + i, i + first, j + first, float(i), i + 1.0, float(j), j + 1.0) for j in range(ny) for i in range(nx)], "cell_id long, ix int, iy int, x0 double, x1 double, y0 double, y1 double")
+
+
+@pytest.mark.parametrize("first", [0, 7])
+def test_shares_of_stars_with_holes(spark, first):
+    stars = _stars()
+    shapes = spark.createDataFrame([(k, [{"x": x, "y": y} for x, y in ring], hole) for k, rings in stars.items() for ring, hole in rings], KIND)
+    got = {(r.shape_id, r.cell_id): r.share for r in geometry.indicator_matrix(_grid(spark, first=first), shapes).collect()}
+    want = {(k, j * 10 + i): sum((-1 if hole else 1) * _clipped_area(ring, i, i + 1, j, j + 1) for ring, hole in rings if ring) for k, rings in stars.items() for i in range(10) for j in range(6)}
+    assert {k for k, v in want.items() if v > 1e-9} <= set(got) and all(want[k] == pytest.approx(v, abs=1e-9) for k, v in got.items())
+    assert got["cell", 32] == 1.0 and sum(v for k, v in got.items() if k[0] == "all") == 60
+
+
+def test_cells_along_edges(spark):
+    stars = _stars()
+    shapes = spark.createDataFrame([(k, [{"x": x, "y": y} for x, y in ring], hole) for k, rings in stars.items() for ring, hole in rings], KIND)
+    boxes = {j * 10 + i: (i, i + 1, j, j + 1) for j in range(6) for i in range(10)}
+    area = lambda rings, b: sum((-1 if hole else 1) * _clipped_area(ring, *b) for ring, hole in rings if ring)
+    edges = lambda ring, closed=True: list(zip(ring, ring[1:] + ring[:1], strict=True))[: len(ring) if closed else len(ring) - 1]
+    want = {(k, c) for k, rings in stars.items() for c, b in boxes.items() if area(rings, b) > 1e-9 or any(_segment_touches(*e, *b) for ring, _ in rings for e in edges(ring))}
+    assert {tuple(r) for r in geometry.intersection_matrix(_grid(spark), shapes).collect()} == want
+    lines = {"flat": [(0.5, 2.0), (7.5, 2.0)], "up": [(3.0, -4.0), (3.0, 9.0)], "zigzag": [(-1.0, 0.3), (4.2, 5.9), (4.2, 0.1), (12.0, 3.3)], "corner": [(-1.0, 1.0), (1.0, -1.0)], "away": [(20.0, 20.0), (30.0, 20.0)], "point": [(1.5, 1.5), (1.5, 1.5)]}
+    df = spark.createDataFrame([(k, [{"x": x, "y": y} for x, y in v]) for k, v in lines.items()], "shape_id string, pts array<struct<x:double,y:double>>")
+    want = {(k, c) for k, v in lines.items() for c, b in boxes.items() if any(_segment_touches(*e, *b) for e in edges(v, False))}
+    assert {tuple(r) for r in geometry.intersection_matrix(_grid(spark), df, lines=True).collect()} == want

@@ -1,21 +1,19 @@
 """Polygons, lines and cells: overlap shares, intersections, points in polygons, projections.
 
 A shape is one or more rows (shape_id, pts): a closed ring each, as ARRAY<STRUCT<x, y>>. Rings of a shape must not cross; a column
-``is_hole``, where there is one, tells rings that cut out of the others. Candidate cells come from integer ranges of
-the bounding box, so overlays are equi-joins on (ix, iy).
+``is_hole``, where there is one, tells rings that cut out of the others. Edges are followed through the cells of a regular grid, so overlays are
+equi-joins on (ix, iy).
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.basic import num
 
-_RING = "array<struct<x:double,y:double>>"
-
 
 def ring(points: Column) -> Column:
     """The ring without a repeated end point."""
@@ -32,36 +30,85 @@ def ring_area(points: Column) -> Column:
     return F.abs(F.aggregate(crossed, num(0), lambda s, v: s + v)) / num(2)
 
 
-def clip_half(points: Column, axis: str, bound: Column, keep_below: bool) -> Column:
-    """The part of a ring on one side of a line parallel to an axis."""
-    other = "y" if axis == "x" else "x"
-    inside = (lambda p: p[axis] <= bound) if keep_below else (lambda p: p[axis] >= bound)
-
-    def cut(a: Column, b: Column) -> Column:
-        share = (bound - a[axis]) / (b[axis] - a[axis])
-        cross = a[other] + share * (b[other] - a[other])
-        return F.struct((bound if axis == "x" else cross).alias("x"), (bound if axis == "y" else cross).alias("y"))
-
-    def edge(a: Column, b: Column) -> Column:
-        return F.when(inside(a) & inside(b), F.array(b)).when(inside(a), F.array(cut(a, b))).when(inside(b), F.array(cut(a, b), b)).otherwise(F.array().cast(_RING))
-
-    return F.flatten(F.zip_with(points, next_points(points), edge))
-
-
-def cell_candidates(grid: DataFrame, shapes: DataFrame, pad: int = 0) -> DataFrame:
-    """shapes with the cells that their bounding box meets."""
-    g = grid.agg(F.min("x0").alias("gx"), F.min("y0").alias("gy"), (F.max("x1") - F.min("x0")).alias("gw"), (F.max("y1") - F.min("y0")).alias("gh"), (F.max("ix") + 1).alias("nx"), (F.max("iy") + 1).alias("ny"), F.min("ix").alias("ix0")).first()
-    dx, dy = g["gw"] / g["nx"], g["gh"] / g["ny"]
-    xs, ys = F.transform("pts", lambda p: p["x"]), F.transform("pts", lambda p: p["y"])
-
-    def span(values: Column, low: float, step: float, n: int) -> Column:
-        a = F.greatest(F.lit(0), F.floor((F.array_min(values) - num(low)) / num(step) - num(1e-9)).cast("int") - pad)
-        b = F.least(F.lit(n - 1), F.floor((F.array_max(values) - num(low)) / num(step) + num(1e-9)).cast("int") + pad)
-        return F.when(a <= b, F.sequence(a, b))
-
-    boxed = shapes.withColumns({"__i": span(xs, g["gx"], dx, g["nx"]), "__j": span(ys, g["gy"], dy, g["ny"])})
-    some = boxed.withColumn("ix", F.explode("__i")).withColumn("iy", F.explode("__j")).drop("__i", "__j")
-    return some.join(grid.select("cell_id", "ix", "iy", "x0", "x1", "y0", "y1"), ["ix", "iy"])
+def lattice(grid: DataFrame) -> dict[str, float]:
+    """Lower corner (gx, gy), steps (dx, dy), first and last indices of a grid of equal boxes."""
+    g = grid.agg(F.min("x0").alias("gx"), F.min("y0").alias("gy"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.min("ix").alias("ix0"), F.max("ix").alias("ix1"), F.min("iy").alias("iy0"), F.max("iy").alias("iy1")).first().asDict()
+    if g["gx"] is None:  # no cells: a lattice that nothing meets
+        g = g | {"gx": 0.0, "gy": 0.0, "x1": 1.0, "y1": 1.0, "ix0": 0, "ix1": 0, "iy0": 0, "iy1": 0}
+    nx, ny = g["ix1"] - g["ix0"] + 1, g["iy1"] - g["iy0"] + 1
+    return g | {"nx": nx, "ny": ny, "dx": (g["x1"] - g["gx"]) / nx, "dy": (g["y1"] - g["gy"]) / ny}
+
+
+def _steps(low: Column, high: Column) -> Column:
+    return F.when(low <= high, F.sequence(low, high))
+
+
+def edge_rows(shapes: DataFrame, g: dict[str, float], lines: bool = False) -> DataFrame:
+    """(shape_id, u0, v0, u1, v1, turn): edges in steps of the lattice; turn is 1 for a ring whose inside counts, -1 for a hole, with the sign of its sense of rotation."""
+    points = F.col("pts") if lines else ring(F.col("pts"))
+    starts = F.slice("pts", 1, F.greatest(F.lit(0), F.size("pts") - 1)) if lines else F.col("pts")
+    ends = F.slice("pts", 2, F.greatest(F.lit(0), F.size("pts") - 1)) if lines else next_points(F.col("pts"))
+    crossed = F.zip_with("pts", next_points(F.col("pts")), lambda a, b: a["x"] * b["y"] - b["x"] * a["y"])
+    turn = num(1) if lines else F.signum(F.aggregate(crossed, num(0), lambda s, v: s + v)) * ring_sign(shapes)
+    u = lambda p: (p["x"] - num(g["gx"])) / num(g["dx"])
+    v = lambda p: (p["y"] - num(g["gy"])) / num(g["dy"])
+    each = F.zip_with(starts, ends, lambda a, b: F.struct(u(a).alias("u0"), v(a).alias("v0"), u(b).alias("u1"), v(b).alias("v1")))
+    ringed = shapes.withColumn("pts", points).where(F.size("pts") > (1 if lines else 2))
+    # the sense of rotation is found before the edges part, so that no edge carries its outline on
+    return ringed.select("shape_id", turn.alias("turn"), each.alias("es")).select("shape_id", "turn", F.explode("es").alias("e")).select("shape_id", "turn", "e.*")
+
+
+def _slab(v: Column, j: Column) -> Column:
+    """v held within row j."""
+    return F.greatest(j.cast("double"), F.least(v, j + num(1)))
+
+
+def _crossed_cells(edges: DataFrame, g: dict[str, float]) -> DataFrame:
+    """(shape_id, iy, ix, area, cover) of each edge in each cell it crosses: ``cover`` is how far it climbs there, ``area`` the signed trapezoid between it and the
+    cell's right side. Column -1 stands for all that lies left of the lattice; what lies right of it covers nothing."""
+    v0, v1 = F.col("v0"), F.col("v1")
+    low = F.greatest(F.lit(0), F.floor(F.least(v0, v1)).cast("int"))
+    high = F.least(F.lit(g["ny"] - 1), F.ceil(F.greatest(v0, v1)).cast("int") - 1)
+    rows = edges.where(v0 != v1).withColumn("j", F.explode(_steps(low, high)))
+    at = lambda v: F.col("u0") + (v - v0) * (F.col("u1") - F.col("u0")) / (v1 - v0)
+    va, vb = _slab(v0, F.col("j")), _slab(v1, F.col("j"))
+    parts = rows.select("shape_id", "turn", "j", (vb - va).alias("climb"), at(va).alias("a"), at(vb).alias("b"))
+    left = F.greatest(F.lit(-1), F.floor(F.least("a", "b")).cast("int"))
+    right = F.least(F.lit(g["nx"] - 1), F.greatest(F.lit(-1), F.floor(F.greatest("a", "b")).cast("int")))
+    cells = parts.withColumn("i", F.explode(_steps(left, right)))
+    side = F.col("i") + num(1)
+    inside = lambda c: F.least(F.when(F.col("i") >= 0, F.greatest(F.col(c), F.col("i").cast("double"))).otherwise(F.col(c)), side)
+    a, b = inside("a"), inside("b")
+    cover = F.when(F.col("a") == F.col("b"), F.col("climb")).otherwise(F.col("climb") * (b - a) / F.nullif(F.col("b") - F.col("a"), num(0)))
+    # a ring that turns left climbs on its right side, so what is right of a climbing edge counts negative
+    cells = cells.select("shape_id", F.col("j").alias("iy"), F.col("i").alias("ix"), (-F.col("turn") * cover).alias("cover"), (side - (a + b) / num(2)).alias("wide"))
+    sums = cells.groupBy("shape_id", "iy", "ix").agg(F.sum(F.col("cover") * F.col("wide")).alias("area"), F.sum("cover").alias("cover"))
+    return sums.withColumn("area", F.when(F.col("ix") >= 0, F.col("area")).otherwise(num(0)))
+
+
+#: Shares and covers below this are rounding.
+TINY = 1e-12
+
+
+def _shares(shapes: DataFrame, g: dict[str, float]) -> DataFrame:
+    """(shape_id, iy, ix, share) in the lattice's own numbering from 0: crossed cells have their trapezoids and what has been
+    covered before them in their row; cells between two crossed ones are covered as a whole."""
+    row = Window.partitionBy("shape_id", "iy").orderBy("ix")
+    run = F.sum("cover").over(row.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    until = F.coalesce(F.lead("ix").over(row), F.lit(g["nx"])) - 1
+    rows = _crossed_cells(edge_rows(shapes, g), g).select("shape_id", "iy", "ix", (F.col("area") + run - F.col("cover")).alias("share"), run.alias("run"), until.alias("until"))
+    at = lambda ix, share: F.struct(ix.alias("ix"), share.alias("share"))
+    own = F.when(F.col("ix") >= 0, F.array(at(F.col("ix"), F.col("share"))))
+    between = F.when(F.abs("run") > TINY, F.transform(_steps(F.col("ix") + 1, F.col("until")), lambda k: at(k, F.col("run"))))
+    none = F.array().cast("array<struct<ix:int,share:double>>")
+    cells = rows.select("shape_id", "iy", F.explode(F.concat(F.coalesce(own, none), F.coalesce(between, none))).alias("c"))
+    return cells.select("shape_id", "iy", "c.*")
+
+
+def _cells_of(found: DataFrame, grid: DataFrame, g: dict[str, float]) -> DataFrame:
+    """cell_id for (ix, iy) from 0."""
+    named = found.withColumns({"ix": F.col("ix") + F.lit(g["ix0"]), "iy": F.col("iy") + F.lit(g["iy0"])})
+    return named.join(grid.select("cell_id", "ix", "iy"), ["ix", "iy"])
 
 
 def ring_sign(shapes: DataFrame) -> Column:
@@ -75,40 +122,41 @@ def shape_area(shapes: DataFrame) -> DataFrame:
 
 
 def indicator_matrix(grid: DataFrame, shapes: DataFrame) -> DataFrame:
-    """(shape_id, cell_id, share): the share of each cell's area that lies in the shape."""
-    pairs = cell_candidates(grid, shapes.withColumn("pts", ring(F.col("pts"))))
-    for k, (axis, bound, below) in enumerate((("x", "x0", False), ("x", "x1", True), ("y", "y0", False), ("y", "y1", True))):
-        pairs = pairs.withColumn(f"__c{k}", clip_half(F.col("pts" if k == 0 else f"__c{k - 1}"), axis, F.col(bound), below))
-    share = ring_area(F.col("__c3")) / ((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")))
-    rows = pairs.select("shape_id", "cell_id", F.when(F.size("__c3") >= 3, share * ring_sign(shapes)).otherwise(num(0)).alias("share"))
-    return rows.groupBy("shape_id", "cell_id").agg(F.sum("share").alias("share")).where("share > 0")
+    """(shape_id, cell_id, share): the share of each cell's area that lies in the shape.
+
+    By exact accumulation: each edge adds its trapezoids to the cells it crosses, a running sum along a row of cells fills the inside. So rows are as many as
+    crossings and covered cells, none carries an outline, and a shape of any size is spread over tasks by rows of cells. Shares up to TINY are rounding and left out.
+    """
+    g = lattice(grid)
+    return _cells_of(_shares(shapes, g).where(F.col("share") > TINY), grid, g).select("shape_id", "cell_id", "share")
 
 
-def point_in_ring(x: Column, y: Column, points: Column) -> Column:
-    """Even-odd rule."""
-    hits = F.zip_with(points, next_points(points), lambda a, b: F.when(((a["y"] > y) != (b["y"] > y)) & (x < (b["x"] - a["x"]) * (y - a["y"]) / F.nullif(b["y"] - a["y"], num(0)) + a["x"]), 1).otherwise(0))
-    return F.aggregate(hits, F.lit(0), lambda s, v: s + v) % 2 == 1
+#: Touching counts: edges this near to a cell's side, in widths of a cell, touch it.
+TOUCH = 1e-9
 
 
-def segment_meets_box(a: Column, b: Column, x0: Column, x1: Column, y0: Column, y1: Column) -> Column:
-    """Whether a segment touches a closed box: boxes overlap, and the corners are not all on one side of its line."""
-    boxes = (F.greatest(a["x"], b["x"]) >= x0) & (F.least(a["x"], b["x"]) <= x1) & (F.greatest(a["y"], b["y"]) >= y0) & (F.least(a["y"], b["y"]) <= y1)
-    side = lambda x, y: (b["x"] - a["x"]) * (y - a["y"]) - (b["y"] - a["y"]) * (x - a["x"])
-    corners = [side(x, y) for x in (x0, x1) for y in (y0, y1)]
-    return boxes & (F.least(*corners) <= 0) & (F.greatest(*corners) >= 0)
+def touched_cells(edges: DataFrame, g: dict[str, float]) -> DataFrame:
+    """(shape_id, iy, ix) of the cells that edges cross or touch, by stepping along each edge from row to row."""
+    v0, v1 = F.col("v0"), F.col("v1")
+    near = lambda low, high, n: _steps(F.greatest(F.lit(0), F.ceil(low - TOUCH).cast("int") - 1), F.least(F.lit(n - 1), F.floor(high + TOUCH).cast("int")))
+    rows = edges.withColumn("iy", F.explode(near(F.least(v0, v1), F.greatest(v0, v1), g["ny"])))
+    at = lambda v: F.col("u0") + F.coalesce(F.try_divide(v - v0, v1 - v0), num(0)) * (F.col("u1") - F.col("u0"))
+    flat = v0 == v1
+    a = F.when(flat, F.col("u0")).otherwise(at(_slab(v0, F.col("iy"))))
+    b = F.when(flat, F.col("u1")).otherwise(at(_slab(v1, F.col("iy"))))
+    cells = rows.select("shape_id", "iy", a.alias("a"), b.alias("b"))
+    return cells.select("shape_id", "iy", F.explode(near(F.least("a", "b"), F.greatest("a", "b"), g["nx"])).alias("ix")).distinct()
 
 
 def intersection_matrix(grid: DataFrame, shapes: DataFrame, lines: bool = False) -> DataFrame:
-    """(shape_id, cell_id) of cells that a polygon (or line) meets; touching counts. A cell within a hole is not met."""
-    pairs = cell_candidates(grid, shapes.withColumn("pts", F.col("pts") if lines else ring(F.col("pts"))), 0)
-    ends = F.slice("pts", 2, F.size("pts") - 1) if lines else next_points(F.col("pts"))
-    starts = F.slice("pts", 1, F.size("pts") - 1) if lines else F.col("pts")
-    edges = F.exists(F.zip_with(starts, ends, lambda a, b: segment_meets_box(a, b, F.col("x0"), F.col("x1"), F.col("y0"), F.col("y1"))), lambda v: v)
-    if lines:
-        return pairs.where(edges).select("shape_id", "cell_id").distinct()
-    inside = point_in_ring((F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2, F.col("pts"))
-    rings = pairs.groupBy("shape_id", "cell_id").agg(F.bool_or(edges).alias("edge"), F.count_if(inside).alias("around"))
-    return rings.where("edge or around % 2 = 1").select("shape_id", "cell_id")
+    """(shape_id, cell_id) of cells that a polygon (or line) meets; touching counts. A cell within a hole is not met. The work is the cells
+    that are met: those along the edges, and those between them."""
+    g = lattice(grid)
+    found = touched_cells(edge_rows(shapes, g, lines), g)
+    if not lines:
+        inside = _shares(shapes, g).where(F.col("share") > TINY).select("shape_id", "iy", "ix")
+        found = found.unionByName(inside).distinct()
+    return _cells_of(found, grid, g).select("shape_id", "cell_id")
 
 
 # WGS84 and the parameters of the European equal-area projection (EPSG:3035).

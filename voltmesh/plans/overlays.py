@@ -58,6 +58,23 @@ def j04_hole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geometry.indicator_matrix(cutout(spark, sf_dir).grid(), shapes).where("share > 1e-7").select("shape_id", "cell_id", r6("share").alias("share"))
 
 
+def j04_supplier_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A frame (a box with a hole) for each supplier, so that shapes, edges and covered cells grow with the data."""
+    k = F.col("s_suppkey")
+    x0, y0 = num(4.7) + num(0.0137) * (k % 71), num(49.7) + num(0.0119) * (k * 7 % 67)
+    rings = F.explode(F.array(*(F.struct(_box(x0 + num(d), y0 + num(d), x0 + num(0.8) - num(d), y0 + num(0.7) - num(d)).alias("pts"), F.lit(d > 0).alias("is_hole")) for d in (0.0, 0.11))))
+    shapes = read(spark, sf_dir, "supplier").select(k.alias("shape_id"), rings.alias("r")).select("shape_id", "r.*")
+    return geometry.indicator_matrix(cutout(spark, sf_dir).grid(), shapes).where("share > 1e-7").select("shape_id", "cell_id", r6("share").alias("share"))
+
+
+def _over(d: str) -> str:
+    return f"greatest(0, least(bx0 + 0.8e0 - {d}, x + 0.125e0) - greatest(bx0 + {d}, x - 0.125e0))*greatest(0, least(by0 + 0.7e0 - {d}, y + 0.125e0) - greatest(by0 + {d}, y - 0.125e0))/0.0625e0"
+
+
+_FRAMES = f"""fr as (select s_suppkey as shape_id, 4.7e0 + 0.0137e0*(s_suppkey % 71) as bx0, 49.7e0 + 0.0119e0*(s_suppkey*7 % 67) as by0 from supplier),
+frame as (select shape_id, cell_id, {_over("0e0")} - {_over("0.11e0")} as share from fr, cells)"""
+
+
 def j05_intersection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geometry.intersection_matrix(cutout(spark, sf_dir).grid(), _boxes(spark, sf_dir))
 
@@ -371,6 +388,7 @@ QUERIES: dict[str, tuple] = {
             _SHARE,
         ),
     ),
+    "j04_supplier_frames": (j04_supplier_frames, sql("select shape_id, cell_id, round(share, 6) as share from frame where share > 1e-7", _FRAMES)),
     "j05_intersection": (j05_intersection, sql("select shape_id, cell_id from boxes, cells where bx1 >= x - 0.125e0 and bx0 <= x + 0.125e0 and by1 >= y - 0.125e0 and by0 <= y + 0.125e0", _BOXES)),
     "j06_reproject": (j06_reproject, _reproject_sql()),
     "j08_snap": (
