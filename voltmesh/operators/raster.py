@@ -1,4 +1,8 @@
-"""Rasters as (row, col, code) tables: exclusions, dilation, availability, regridding."""
+"""Rasters as (px, py, code) tables: exclusions, dilation, availability, regridding.
+
+Shapes and what they lose are runs of pixels (``runs``) from scanlines up to shares of cells; single pixels are told apart only where codes
+of a raster are read, where planes differ, and in results that list pixels.
+"""
 
 from __future__ import annotations
 
@@ -9,8 +13,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.basic import num
+from . import runs
 from .geometry import moved, reproject, ring_area
 
+SHAPE = ["shape_id"]
+
 
 @dataclass(frozen=True)
 class Spec:
@@ -56,12 +63,8 @@ def masked(code: Column, codes) -> Column:
 
 
 def dilate(pixels: DataFrame, n: int, by: list[str]) -> DataFrame:
-    """Distinct pixels within n steps (|dx| + |dy| <= n) of the given ones: runs along x, then along y."""
-    steps = F.explode(F.sequence(F.lit(-n), F.lit(n)))
-    wide = pixels.select(*by, "px", "py", steps.alias("dx")).select(*by, (F.col("px") + F.col("dx")).alias("px"), "py", (F.lit(n) - F.abs("dx")).alias("left"))
-    wide = wide.groupBy(*by, "px", "py").agg(F.max("left").alias("left"))
-    tall = wide.select(*by, "px", "py", F.explode(F.sequence(-F.col("left"), F.col("left"))).alias("dy"))
-    return tall.select(*by, "px", (F.col("py") + F.col("dy")).alias("py")).distinct()
+    """Distinct pixels within n steps (|dx| + |dy| <= n) of the given ones."""
+    return runs.pixels(runs.dilate(runs.of_pixels(pixels, by), n, by), by)
 
 
 def _edges(shapes: DataFrame) -> DataFrame:
@@ -71,27 +74,38 @@ def _edges(shapes: DataFrame) -> DataFrame:
     return shapes.select("shape_id", edge).select("shape_id", "e.*")
 
 
-def _between(low: Column, high: Column, res: float, open_end: bool) -> Column:
-    """Numbers of the pixels whose centres lie from ``low`` up to ``high`` (without ``high`` if ``open_end``); null if there are none."""
+def _ends(low: Column, high: Column, res: float, open_end: bool) -> tuple[Column, Column]:
+    """First and last number of the pixels whose centres lie from ``low`` up to ``high`` (without ``high`` if ``open_end``)."""
     a = F.ceil(low / num(res) - num(0.5)).cast("int")
     b = F.ceil(high / num(res) - num(0.5)).cast("int") - 1 if open_end else F.floor(high / num(res) - num(0.5)).cast("int")
+    return a, b
+
+
+def _between(low: Column, high: Column, res: float, open_end: bool) -> Column:
+    """The numbers themselves; null if there are none."""
+    a, b = _ends(low, high, res, open_end)
     return F.when(a <= b, F.sequence(a, b))
 
 
+def _span(df: DataFrame, low: Column, high: Column, res: float, open_end: bool) -> DataFrame:
+    a, b = _ends(low, high, res, open_end)
+    return df.select("shape_id", "py", a.alias("x0"), b.alias("x1")).where("x0 <= x1")
+
+
 def _filled(edges: DataFrame, res: float) -> DataFrame:
-    """Pixels whose centres lie inside, by scanlines: each edge crosses rows of pixels, the crossings of a row are sorted, and what lies
-    between the first and second, third and fourth and so on is inside. So holes and parts need no rule of their own, and the work is edges times rows plus pixels."""
+    """Runs of pixels whose centres lie inside, by scanlines: each edge crosses rows of pixels, the crossings of a row are sorted, and what lies
+    between the first and second, third and fourth and so on is inside. So holes and parts need no rule of their own, and the work is edges times rows."""
     rows = edges.withColumn("py", F.explode(_between(F.least("ay", "by"), F.greatest("ay", "by"), res, True)))
     y = (F.col("py") + num(0.5)) * num(res)
     crossed = rows.select("shape_id", "py", ((F.col("bx") - F.col("ax")) * (y - F.col("ay")) / (F.col("by") - F.col("ay")) + F.col("ax")).alias("x"))
     lines = crossed.groupBy("shape_id", "py").agg(F.array_sort(F.collect_list("x")).alias("xs"))
     pairs = lines.select("shape_id", "py", "xs", F.explode(F.sequence(F.lit(0), F.floor(F.size("xs") / 2).cast("int") - 1)).alias("k"))
     spans = pairs.select("shape_id", "py", F.get("xs", 2 * F.col("k")).alias("a"), F.get("xs", 2 * F.col("k") + 1).alias("b"))
-    return spans.select("shape_id", F.explode(_between(F.col("a"), F.col("b"), res, True)).alias("px"), "py")
+    return _span(spans, F.col("a"), F.col("b"), res, True)
 
 
 def _beside(edges: DataFrame, res: float, reach: float) -> DataFrame:
-    """Pixels whose centres are at most ``reach`` from an edge. Those form a capsule around it, which a row of pixels cuts in one span:
+    """Runs of pixels whose centres are at most ``reach`` from an edge. Those form a capsule around it, which a row of pixels cuts in one span:
     from the discs around both ends and the box between them."""
     ys = (F.least("ay", "by") - num(reach), F.greatest("ay", "by") + num(reach))
     rows = edges.withColumn("py", F.explode(_between(*ys, res, False)))
@@ -108,86 +122,120 @@ def _beside(edges: DataFrame, res: float, reach: float) -> DataFrame:
         cut = F.when((F.least(y0, y1) <= y) & (y <= F.greatest(y0, y1)) & (long > 0), F.coalesce(F.try_divide((x1 - x0) * (y - y0), y1 - y0), num(0)) + x0)
         lows.append(cut)
         highs.append(cut)
-    return rows.select("shape_id", F.explode(_between(F.least(*lows), F.greatest(*highs), res, False)).alias("px"), "py")
+    return _span(rows, F.least(*lows), F.greatest(*highs), res, False)
 
 
-def shape_pixels(shapes: DataFrame, res: float, buffer: float = 0.0) -> DataFrame:
-    """(shape_id, px, py): pixels whose centre lies in the shape or at most ``buffer`` beside it; pixel p spans [p * res, (p + 1) * res)."""
+def shape_runs(shapes: DataFrame, res: float, buffer: float = 0.0) -> DataFrame:
+    """(shape_id, py, x0, x1): runs of the pixels whose centre lies in the shape or at most ``buffer`` beside it; pixel p spans [p * res, (p + 1) * res)."""
     edges = _edges(shapes)
     inside = _filled(edges, res)
-    return inside.unionByName(_beside(edges, res, buffer)).distinct() if buffer else inside
+    return runs.union(inside.unionByName(_beside(edges, res, buffer)), SHAPE) if buffer else inside
+
+
+def shape_pixels(shapes: DataFrame, res: float, buffer: float = 0.0) -> DataFrame:
+    """(shape_id, px, py) of the same pixels."""
+    return runs.pixels(shape_runs(shapes, res, buffer), SHAPE)
 
 
 def _in_plane(spec: Spec, pixels: DataFrame, crs: int | str, res: float) -> DataFrame:
-    """pixels with the code of the raster's pixel under their centres, null where it has none."""
-    if spec.crs is None or str(spec.crs) == str(crs) and spec.res in (None, res):
-        return pixels.join(spec.data.select("px", "py", "code"), ["px", "py"], "left")
+    """pixels with the code of the pixel of a raster in another plane that is under their centres, null where it has none."""
     x, y = moved((F.col("px") + num(0.5)) * num(res), (F.col("py") + num(0.5)) * num(res), crs, spec.crs)
     under = pixels.withColumns({"sx": F.floor(x / num(spec.res)).cast("int"), "sy": F.floor(y / num(spec.res)).cast("int")})
     return under.join(spec.data.select(F.col("px").alias("sx"), F.col("py").alias("sy"), "code"), ["sx", "sy"], "left").drop("sx", "sy")
 
 
-def _around(shapes: DataFrame, pixels: DataFrame, n: int, res: float) -> DataFrame:
-    """Pixels within n steps of a shape that are not its own but in the box of whole pixels around it, which reaches one pixel on from its largest corners."""
+def _boxes(shapes: DataFrame, res: float) -> DataFrame:
+    """(shape_id, bx0, bx1, by0, by1): whole pixels around each shape, one more beyond its largest corners."""
     xs, ys = F.transform("pts", lambda p: p["x"]), F.transform("pts", lambda p: p["y"])
     at = lambda c: F.floor(c / num(res)).cast("int")
-    boxes = shapes.groupBy("shape_id").agg(F.min(at(F.array_min(xs))).alias("x0"), F.max(at(F.array_max(xs))).alias("x1"), F.min(at(F.array_min(ys))).alias("y0"), F.max(at(F.array_max(ys))).alias("y1"))
-    near = dilate(pixels, n, ["shape_id"]).join(pixels, ["shape_id", "px", "py"], "left_anti")
-    return near.join(boxes, "shape_id").where("px between x0 and x1 and py between y0 and y1").select("shape_id", "px", "py")
+    return shapes.groupBy("shape_id").agg(F.min(at(F.array_min(xs))).alias("bx0"), F.max(at(F.array_max(xs))).alias("bx1"), F.min(at(F.array_min(ys))).alias("by0"), F.max(at(F.array_max(ys))).alias("by1"))
+
 
+def _around(shapes: DataFrame, own: DataFrame, n: int, res: float) -> DataFrame:
+    """Runs within n steps of a shape that are not its own but in the box around it."""
+    near = runs.subtract(runs.dilate(own, n, SHAPE), own, SHAPE).join(_boxes(shapes, res), "shape_id").where("py between by0 and by1")
+    return near.select("shape_id", "py", F.greatest("x0", "bx0").alias("x0"), F.least("x1", "bx1").alias("x1")).where("x0 <= x1")
 
-def excluded_pixels(pixels: DataFrame, shapes: DataFrame, container: ExclusionContainer) -> DataFrame:
-    """(shape_id, px, py) of shape pixels that any exclusion takes.
+
+def _raster_hits(spec: Spec, own: DataFrame, container: ExclusionContainer) -> tuple[DataFrame, DataFrame]:
+    """(runs of the shapes that the raster covers, runs that it takes before its buffer)."""
+    hit = lambda code: ~masked(code, spec.codes) if spec.invert else masked(code, spec.codes)
+    if spec.crs is None or str(spec.crs) == str(container.crs) and spec.res in (None, container.res):
+        # the raster's own runs are found once, whatever the number of shapes
+        covered = runs.meet(own, runs.of_pixels(spec.data.select("px", "py"), []), SHAPE)
+        taken = runs.meet(own, runs.of_pixels(spec.data.where(hit(F.col("code"))).select("px", "py"), []), SHAPE)
+    else:
+        coded = _in_plane(spec, runs.pixels(own, SHAPE), container.crs, container.res).where("code is not null")
+        covered = runs.of_pixels(coded, SHAPE)
+        taken = runs.of_pixels(coded.where(hit(F.col("code"))), SHAPE)
+    # where the raster has no pixel stands nodata; a condition on a literal, which the optimizer settles
+    return covered, taken.unionByName(runs.subtract(own, covered, SHAPE).where(hit(F.lit(spec.nodata))))
+
+
+def excluded_runs(own: DataFrame, shapes: DataFrame, container: ExclusionContainer) -> DataFrame | None:
+    """(shape_id, py, x0, x1) of the runs of shapes, ``own``, that any exclusion takes; they may overlap. None without an exclusion.
 
     A raster is cut out by each shape: what lies beside the shape counts as ``nodata``, and where that is excluded (by invert, by
     codes, or as a code other than 0) and the raster has a buffer, it grows into the shape. The buffer of a geometry grows in the whole plane by
     its distance, before it is inverted, so a geometry beside a shape can reach in.
     """
-    out = pixels.limit(0)
+    out = None
     for spec in container.specs:
         if spec.kind == "raster":
-            own = _in_plane(spec, pixels, container.crs, container.res)
-            if not spec.allow_no_overlap and not own.groupBy("shape_id").agg(F.count("code").alias("n")).where("n = 0").isEmpty():
+            covered, taken = _raster_hits(spec, own, container)
+            if not spec.allow_no_overlap and not own.select("shape_id").distinct().join(covered, "shape_id", "left_anti").isEmpty():
                 raise ValueError("a shape and a raster have no pixel in common: check the plane, or allow_no_overlap=True")
-            hit = masked(F.coalesce("code", F.lit(spec.nodata)), spec.codes)
+            if spec.buffer:
+                n = int(spec.buffer / container.res) + 1
+                beside = ~masked(F.lit(spec.nodata), spec.codes) if spec.invert else masked(F.lit(spec.nodata), spec.codes)
+                taken = runs.dilate(taken.unionByName(_around(shapes, own, n, container.res).where(beside)), n, SHAPE)
         else:
             given = spec.data if spec.crs is None else spec.data.withColumn("pts", reproject(F.col("pts"), container.crs, spec.crs))
-            inside = shape_pixels(given, container.res, spec.buffer).select("px", "py").distinct().withColumn("in", F.lit(True))
-            own = pixels.join(inside, ["px", "py"], "left")
-            hit = F.coalesce("in", F.lit(False))
-        hit = ~hit if spec.invert else hit
-        taken = own.where(hit).select("shape_id", "px", "py")
-        if spec.buffer and spec.kind == "raster":
-            n = int(spec.buffer / container.res) + 1
-            filler = _around(shapes, pixels, n, container.res).withColumn("code", F.lit(spec.nodata)).where(hit)
-            taken = dilate(taken.unionByName(filler.select("shape_id", "px", "py")), n, ["shape_id"]).join(pixels, ["shape_id", "px", "py"], "left_semi")
-        out = out.unionByName(taken)
-    return out.distinct()
+            inside = runs.union(shape_runs(given, container.res, spec.buffer), [])
+            taken = runs.meet(own, inside, SHAPE)
+            taken = runs.subtract(own, taken, SHAPE) if spec.invert else taken
+        out = taken if out is None else out.unionByName(taken)
+    return out
+
+
+def eligible_runs(shapes: DataFrame, container: ExclusionContainer) -> DataFrame:
+    """(shape_id, py, x0, x1): runs of pixels that stay eligible."""
+    own = shape_runs(shapes, container.res)
+    taken = excluded_runs(own, shapes, container)
+    return own if taken is None else runs.subtract(own, taken, SHAPE)
+
+
+def excluded_pixels(shapes: DataFrame, container: ExclusionContainer) -> DataFrame:
+    """(shape_id, px, py) of shape pixels that any exclusion takes."""
+    own = shape_runs(shapes, container.res)
+    taken = excluded_runs(own, shapes, container)
+    return runs.pixels(own.limit(0) if taken is None else runs.intersect(own, taken, SHAPE), SHAPE)
 
 
 def shape_availability(shapes: DataFrame, container: ExclusionContainer) -> DataFrame:
     """(shape_id, px, py) of pixels that stay eligible."""
-    pixels = shape_pixels(shapes, container.res)
-    return pixels.join(excluded_pixels(pixels, shapes, container), ["shape_id", "px", "py"], "left_anti")
+    return runs.pixels(eligible_runs(shapes, container), SHAPE)
 
 
 def eligible_share(shapes: DataFrame, container: ExclusionContainer) -> DataFrame:
     """(shape_id, share) of eligible area."""
-    whole = shape_pixels(shapes, container.res).groupBy("shape_id").agg(F.count("*").alias("n"))
-    free = shape_availability(shapes, container).groupBy("shape_id").agg(F.count("*").alias("m"))
-    return whole.join(free, "shape_id", "left").select("shape_id", (F.coalesce("m", F.lit(0)) / F.col("n")).alias("share"))
+    count = lambda df, name: df.groupBy("shape_id").agg(F.sum(runs.length()).alias(name))
+    whole = count(shape_runs(shapes, container.res), "n")
+    return whole.join(count(eligible_runs(shapes, container), "m"), "shape_id", "left").select("shape_id", (F.coalesce("m", F.lit(0)) / F.col("n")).alias("share"))
 
 
 def availability_matrix(grid: DataFrame, shapes: DataFrame, container: ExclusionContainer, grid_crs: int | str | None = None) -> DataFrame:
     """(shape_id, cell_id, share): eligible share of each cell's area. One job for all shapes and pixels.
 
-    grid: boxes in the container's plane, where each pixel counts by its overlap; or in ``grid_crs``, where it counts for the cell that holds its
+    grid: boxes in the container's plane, where each run counts by its overlap; or in ``grid_crs``, where it counts for the cell that holds its
     centre, against the cell's area in the container's plane.
     """
-    free = shape_availability(shapes, container)
+    free = eligible_runs(shapes, container)
     if grid_crs is None or str(grid_crs) == str(container.crs):
-        coded = free.withColumn("code", num(1))
-        return regrid_average(coded, grid, container.res, ["shape_id"], "code", cover=True).withColumnRenamed("value", "share")
+        met = _overlaps(free, grid, container.res)
+        whole = F.first((F.col("cx1") - F.col("cx0")) * (F.col("cy1") - F.col("cy0")))
+        return met.groupBy("shape_id", "cell_id").agg(F.try_divide(F.sum("o"), whole).alias("share"))
+    free = runs.pixels(free, SHAPE)
     g = _lattice(grid)
     x, y = moved((F.col("px") + num(0.5)) * num(container.res), (F.col("py") + num(0.5)) * num(container.res), container.crs, grid_crs)
     at = lambda c, low, step: F.floor((c - num(low)) / num(step)).cast("int")
@@ -211,23 +259,28 @@ def _lattice(grid: DataFrame) -> dict[str, float]:
     return g | {"dx": (g["xx"] - g["x"]) / (g["nx"] + 1), "dy": (g["yy"] - g["y"]) / (g["ny"] + 1)}
 
 
-def regrid_average(pixels: DataFrame, grid: DataFrame, res: float, by: list[str], value: str = "code", cover: bool = False) -> DataFrame:
-    """(by, cell_id, value): means over target cells weighted by overlap; ``cover`` divides by the cell's area instead."""
+def _overlaps(spans: DataFrame, grid: DataFrame, res: float) -> DataFrame:
+    """Runs (py, x0, x1) with the cells they overlap: cell_id, the cell's box cx0, cx1, cy0, cy1 and the area in common, o."""
     g = _lattice(grid)
     dx, dy = g["dx"], g["dy"]
 
-    def cells(p: str, low: float, step: float, n: int) -> Column:
-        a = F.floor((F.col(p) * num(res) - num(low)) / num(step) + num(1e-9)).cast("int")
-        b = F.ceil(((F.col(p) + 1) * num(res) - num(low)) / num(step) - num(1e-9)).cast("int") - 1
+    def cells(low_end: Column, high_end: Column, low: float, step: float, n: int) -> Column:
+        a = F.floor((low_end * num(res) - num(low)) / num(step) + num(1e-9)).cast("int")
+        b = F.ceil((high_end * num(res) - num(low)) / num(step) - num(1e-9)).cast("int") - 1
         a, b = F.greatest(a, F.lit(0)), F.least(b, F.lit(n))
         return F.when(a <= b, F.sequence(a, b))
 
-    rows = pixels.withColumn("ix", F.explode(cells("px", g["x"], dx, g["nx"]))).withColumn("iy", F.explode(cells("py", g["y"], dy, g["ny"])))
-    met = rows.join(grid.select("cell_id", "ix", "iy", "x0", "x1", "y0", "y1"), ["ix", "iy"])
-    over = lambda p, a, b: F.least((F.col(p) + 1) * num(res), F.col(b)) - F.greatest(F.col(p) * num(res), F.col(a))
-    met = met.withColumn("o", F.greatest(over("px", "x0", "x1"), num(0)) * F.greatest(over("py", "y0", "y1"), num(0)))
-    whole = F.first((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))) if cover else F.sum("o")
-    return met.groupBy(*by, "cell_id").agg(F.try_divide(F.sum(F.col("o") * F.col(value)), whole).alias("value"))
+    rows = spans.withColumn("ix", F.explode(cells(F.col("x0"), F.col("x1") + 1, g["x"], dx, g["nx"]))).withColumn("iy", F.explode(cells(F.col("py"), F.col("py") + 1, g["y"], dy, g["ny"])))
+    met = rows.join(grid.select("cell_id", "ix", "iy", *(F.col(c).alias(f"c{c}") for c in ("x0", "x1", "y0", "y1"))), ["ix", "iy"])
+    over = lambda p, q, a, b: F.greatest(num(0), F.least((q + 1) * num(res), F.col(b)) - F.greatest(p * num(res), F.col(a)))
+    return met.withColumn("o", over(F.col("x0"), F.col("x1"), "cx0", "cx1") * over(F.col("py"), F.col("py"), "cy0", "cy1"))
+
+
+def regrid_average(pixels: DataFrame, grid: DataFrame, res: float, by: list[str], value: str = "code", cover: bool = False) -> DataFrame:
+    """(by, cell_id, value): means over target cells weighted by overlap; ``cover`` divides by the cell's area instead."""
+    met = _overlaps(pixels.select(*by, "py", F.col("px").alias("x0"), F.col("px").alias("x1"), F.col(value).alias("__v")), grid, res)
+    whole = F.first((F.col("cx1") - F.col("cx0")) * (F.col("cy1") - F.col("cy0"))) if cover else F.sum("o")
+    return met.groupBy(*by, "cell_id").agg(F.try_divide(F.sum(F.col("o") * F.col("__v")), whole).alias("value"))
 
 
 def regrid_nearest(pixels: DataFrame, grid: DataFrame, res: float, value: str = "code") -> DataFrame:

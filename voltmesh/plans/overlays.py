@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.basic import num
 from ..functions.line import line_limit
-from ..operators import geometry, hydro, raster
+from ..operators import geometry, hydro, raster, runs
 from ..sources.shared import shared_folder
 from .weather import cutout, r6, read, sql, weather
 
@@ -299,13 +299,16 @@ _OWN = "own as (select shape_id, px, py, code, px0, py0 from pix join sq on px b
 def _eligible(**options):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         container = raster.ExclusionContainer(4326, 0.01).add_raster(_pixels(spark), **options)
-        return _counted(raster.shape_availability(_squares(spark, sf_dir), container))
+        return _counted(raster.eligible_runs(_squares(spark, sf_dir), container))
 
     return run
 
 
 def _counted(free: DataFrame) -> DataFrame:
-    return free.groupBy("shape_id").agg(F.count("*").alias("n"), F.sum("px").alias("sx"), F.sum("py").alias("sy"))
+    """Number of pixels and sums of their coordinates, from runs."""
+    n = runs.length().cast("long")
+    total = lambda c, name: F.sum(c).cast("long").alias(name)
+    return free.groupBy("shape_id").agg(total(n, "n"), total(F.expr("(x0 + x1) * bigint(x1 - x0 + 1) div 2"), "sx"), total(n * F.col("py"), "sy"))
 
 
 def _eligible_sql(hit: str, extra: str = "") -> str:
@@ -315,6 +318,9 @@ def _eligible_sql(hit: str, extra: str = "") -> str:
 _NEAR = "exists (select 1 from pix q where q.code < 3 and q.px between px0 and px0 + 19 and q.py between py0 and py0 + 29 and abs(q.px - own.px) + abs(q.py - own.py) <= 2)"
 
 
+_WIDE = _NEAR.replace("q.code < 3", "q.code = 5").replace("<= 2)", "<= 9)")
+
+
 def g03_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
     quarter = spark.range(1).select(F.lit("q").alias("shape_id"), _box(num(5.5), num(50.5), num(5.9), num(50.9)).alias("pts"))
     return raster.eligible_share(_squares(spark, sf_dir), raster.ExclusionContainer(4326, 0.01).add_geometry(quarter)).select("shape_id", r6("share").alias("share"))
@@ -331,7 +337,7 @@ def _buffered(invert: bool):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         """Geometries with a buffer reach into the shapes beside them."""
         container = raster.ExclusionContainer(4326, 0.01).add_geometry(_spots(spark, sf_dir), buffer=0.02513, invert=invert)
-        return _counted(raster.shape_availability(_squares(spark, sf_dir), container))
+        return _counted(raster.eligible_runs(_squares(spark, sf_dir), container))
 
     return run
 
@@ -346,7 +352,7 @@ def g06_reproject(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A raster in degrees over shapes and pixels of a kilometre in the equal-area cylinder."""
     shapes = _squares(spark, sf_dir).withColumn("pts", geometry.reproject(F.col("pts"), "cea"))
     container = raster.ExclusionContainer("cea", 1000.0).add_raster(_pixels(spark), codes=range(20), crs=4326, res=0.01)
-    return _counted(raster.shape_availability(shapes, container))
+    return _counted(raster.eligible_runs(shapes, container))
 
 
 _REPROJECTED = f"""rows as (select j::bigint as ry, {_cea_y("j*0.01e0")} as ya, {_cea_y("(j + 1)*0.01e0")} as yb from range(5000, 5100) t(j)),
@@ -422,6 +428,7 @@ QUERIES: dict[str, tuple] = {
         sql("select shape_id, count(*)::bigint as n, sum(px)::bigint as sx, sum(py)::bigint as sy from sqm join xs on (px + 0.5e0)*1000e0 >= mx0 and (px + 0.5e0)*1000e0 < mx1 join ys on (py + 0.5e0)*1000e0 >= my0 and (py + 0.5e0)*1000e0 < my1 where (rx*31 + ry*17) % 100 >= 20 group by 1", _REPROJECTED),
     ),
     "g09_dilation": (_eligible(codes=range(3), buffer=0.015), _eligible_sql(_NEAR)),
+    "g09_wide_dilation": (_eligible(codes=[5], buffer=0.085), _eligible_sql(_WIDE)),
     "g11_regrid": (g11_regrid, sql("select cell_id, round(sum(o*code)/sum(o), 6) as value from ov where o > 1e-9 group by 1", _PIXELS + ", " + _OVER)),
     "g11_regrid_nearest": (g11_regrid_nearest, sql("select cell_id, code::int as value from cells left join pix on px = floor((x + 0.003e0)/0.01e0) and py = floor((y + 0.003e0)/0.01e0)", _PIXELS)),
     "g12_availability": (g12_availability, sql("select shape_id, cell_id, round(sum(o)/0.0625e0, 6) as share from ov join own using (px, py) where ov.code >= 20 group by 1, 2 having sum(o) > 1e-9", f"{_PIXELS}, {_SQUARES}, {_OWN}, {_OVER}")),
