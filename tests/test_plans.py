@@ -36,7 +36,7 @@ def test_a_month_is_written_in_ranges(spark, sf_dir, tmp_path):
         cutout(spark, sf_dir).save(str(tmp_path / "c"))
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
-    assert len(list((tmp_path / "c" / "weather" / "month=2024-01").glob("*.parquet"))) > 1
+    assert len(list((tmp_path / "c").glob("weather-*/month=2024-01/tile_x=*/tile_y=*/*.parquet"))) > 1
 
 
 def test_overlay_rows_carry_no_outline(spark, sf_dir):

@@ -192,7 +192,22 @@ def k01_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_folder(spark)}/cutout-{uuid.uuid4().hex}"
     cutout(spark, sf_dir).save(path)
     found = Cutout.open(spark, path)
-    return found.weather.where("month = '2024-01'").select("time", "cell_id", r6("temperature").alias("temperature"))
+    return found.sel(time=("2024-01-01 00:00:00", "2024-01-31 23:59:59")).weather.select("time", "cell_id", r6("temperature").alias("temperature"))
+
+
+def k02_prepare_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two features written, the others added to the same folder by a second run, which does not read the first ones again."""
+    import uuid
+
+    base = cutout(spark, sf_dir)
+
+    def reader(offset: float):
+        return {"era5": lambda c, f: base.weather.withColumn("runoff", F.col("runoff") + num(offset)).withColumn("wnd100m", F.col("wnd100m") + num(offset)) if f != "height" else base.weather.groupBy("cell_id").agg(F.max("height").alias("height"))}
+
+    blank = Cutout(None, base.cells, {"module": ["era5"], "dx": 0.25, "dy": 0.25}, path=f"{shared_folder(spark)}/cutout-{uuid.uuid4().hex}")
+    blank.prepare(reader(0.0), features=["height", "wind"])
+    ready = Cutout.open(spark, blank.path).prepare(reader(1.0))
+    return ready.weather.select("time", "cell_id", *(r6(c).alias(c) for c in ("wnd100m", "temperature", "runoff")))
 
 
 def k03_merge_features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -299,6 +314,7 @@ ov as (select cell_id, h, greatest(0e0, least(lon + 0.0055e0, x + 0.125e0) - gre
     ),
     "s15_wkt": (s15_wkt, "select n_name, round(2.5e0*(30 - n_nationkey), 6) as area from nation"),
     "k01_round_trip": (k01_round_trip, sql("select time, cell_id, round(temperature, 6) as temperature from w")),
+    "k02_prepare_twice": (k02_prepare_twice, sql("select time, cell_id, round(wnd100m, 6) as wnd100m, round(temperature, 6) as temperature, round(runoff + 1e0, 6) as runoff from w")),
     "k03_merge_features": (k03_merge_features, sql("select time, cell_id, round(influx_direct, 6) as influx_direct, round(runoff, 6) as runoff from w")),
     "k04_available_features": (lambda s, d: datasets.available_features(s).groupBy("module", "feature").agg(F.count("*").alias("n")), "select * from (values ('era5', 'height', 1), ('era5', 'wind', 4), ('era5', 'influx', 6), ('era5', 'temperature', 3), ('era5', 'runoff', 1), ('sarah', 'influx', 4), ('gebco', 'height', 1)) t(module, feature, n)"),
     "p01_sel": (p01_sel, sql("select time, cell_id, round(wnd100m, 6) as wnd100m from w where x between 5.24e0 and 5.51e0 and y between 49.99e0 and 50.26e0 and time between timestamp '2024-01-03 00:00:00' and timestamp '2024-01-10 12:00:00'")),

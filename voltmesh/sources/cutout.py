@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import json
+import math
 import warnings
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cached_property
 
@@ -11,8 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .datasets import MODULES
-
-_META = "_cutout.json"
+from .store import Store, merged
 
 
 def grid_cells(spark: SparkSession, x: tuple[float, float], y: tuple[float, float], dx: float = 0.25, dy: float = 0.25) -> DataFrame:
@@ -33,23 +33,44 @@ def time_steps(spark: SparkSession, start: str, stop: str, dt: str = "1 hour") -
     return spark.sql("select explode(sequence(timestamp(:a), timestamp(:b), cast(:d as interval))) time".replace("cast(:d as interval)", f"interval {dt}"), args={"a": start, "b": stop})
 
 
+def _marked(df: DataFrame, module: str, feature: str, wanted: list[str]) -> DataFrame:
+    """Rows of a feature; each variable tells where it comes from."""
+    return df.select("time", "cell_id", *(F.col(n).alias(n, metadata={"module": module, "feature": feature}) for n in wanted))
+
+
+def _with_static(cells: DataFrame, df: DataFrame, wanted: list[str]) -> DataFrame:
+    return cells.drop(*wanted).join(df.select("cell_id", *wanted), "cell_id", "left")
+
+
 @dataclass
 class Cutout:
+    """``tables``: the stored tables behind ``weather``, with the columns that they are divided by; ``path``: where they are."""
+
     weather: DataFrame | None
     cells: DataFrame
     meta: dict = field(default_factory=dict)
+    tables: tuple[DataFrame, ...] = ()
+    path: str | None = None
 
     @classmethod
     def open(cls, spark: SparkSession, path: str, **ignored) -> Cutout:
         """A stored cutout; other arguments are ignored with a warning."""
         if ignored:
             warnings.warn(f"arguments are ignored as {path} is there: {sorted(ignored)}", stacklevel=2)
-        meta = json.loads(spark.read.text(f"{path}/{_META}", wholetext=True).first()[0])
-        return cls(spark.read.parquet(f"{path}/weather"), spark.read.parquet(f"{path}/cells"), meta)
+        store = Store(spark, path)
+        manifest = store.manifest()
+        if manifest is None:
+            raise FileNotFoundError(f"no cutout at {path}")
+        # of a variable that several tables have, the last one counts
+        owner = {c: k for k, x in enumerate(manifest["tables"]) for c in x["columns"]}
+        wanted = [[c for c in x["columns"] if owner[c] == k] for k, x in enumerate(manifest["tables"])]
+        tables = tuple(store.read_rows(x, own) for x, own in zip(manifest["tables"], wanted, strict=True) if own or not x["columns"])
+        cells = spark.read.parquet(f"{store.path}/{manifest['cells']}")
+        return cls(merged(list(tables)) if tables else None, cells, manifest["meta"], tables, path)
 
     @classmethod
-    def create(cls, spark: SparkSession, module: str | list[str], time: tuple[str, str], bounds=None, x=None, y=None, dx: float = 0.25, dy: float = 0.25, dt: str = "1 hour") -> Cutout:
-        """Coordinates only; ``prepare`` fills in the variables."""
+    def create(cls, spark: SparkSession, module: str | list[str], time: tuple[str, str], bounds=None, x=None, y=None, dx: float = 0.25, dy: float = 0.25, dt: str = "1 hour", path: str | None = None) -> Cutout:
+        """Coordinates only; ``prepare`` fills in the variables, in the folder ``path`` if there is one."""
         if bounds is not None:
             x, y = (bounds[0], bounds[2]), (bounds[1], bounds[3])
         if x is None or y is None or time is None:
@@ -57,49 +78,101 @@ class Cutout:
         modules = [module] if isinstance(module, str) else list(module)
         if len({MODULES[m].crs for m in modules}) > 1:
             raise AssertionError("all modules of a cutout need one coordinate system")
-        return cls(None, grid_cells(spark, x, y, dx, dy), {"module": modules, "dx": dx, "dy": dy, "dt": dt, "time": list(time), "prepared_features": []})
+        return cls(None, grid_cells(spark, x, y, dx, dy), {"module": modules, "dx": dx, "dy": dy, "dt": dt, "time": list(time), "prepared_features": []}, path=path)
+
+    @property
+    def tile(self) -> float:
+        """Width and height of a tile of stored rows, in units of the plane: 32 cells unless the description says otherwise."""
+        return float(self.meta.get("tile") or 32 * (self.meta.get("dx") or self.summary["dx"] or 0.25))
 
     def save(self, path: str) -> str:
-        """Weather by month, cells, and the description beside them. Rows are dealt by ranges of month, time and cell, so a month is as many files
-        as its rows need."""
-        spark = self.cells.sparkSession
-        self.weather.withColumn("month", F.date_format("time", "yyyy-MM")).repartitionByRange("month", "time", "cell_id").sortWithinPartitions("month", "time", "cell_id").write.mode("overwrite").partitionBy("month").option("compression", "zstd").parquet(f"{path}/weather")
-        self.cells.coalesce(1).write.mode("overwrite").parquet(f"{path}/cells")
-        spark.createDataFrame([(json.dumps(self.meta),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/{_META}")
+        """All rows as one table by month and tile, the cells, and the description. Also onto the folder it was opened from: what is
+        there stays until the new tables are written, and readable for one save more."""
+        store = Store(self.cells.sparkSession, path)
+        tables = [] if self.weather is None else [store.write_rows(self.weather, self.cells, self.tile, "weather")]
+        store.commit({"meta": self.meta | {"tile": self.tile}, "tables": tables, "cells": store.write_cells(self.cells)})
         return path
 
-    def prepare(self, readers: dict[str, object], features: list[str] | None = None, overwrite: bool = False) -> Cutout:
-        """Add the variables of each module's features that are missing: readers[module](cutout, feature) gives rows by
-        (time, cell_id), or by cell_id for static ones. Earlier modules win for a variable that several have."""
-        weather, cells, got = self.weather, self.cells, list(self.meta.get("prepared_features", []))
+    def _missing(self, features: list[str] | None, overwrite: bool) -> Iterator[tuple[str, str, list[str]]]:
+        """(module, feature, variables) that no earlier module has."""
+        have = set() if overwrite else set(self.cells.columns) | set(() if self.weather is None else self.weather.columns)
         for module in self.meta["module"]:
             for feature, names in MODULES[module].features.items():
-                have = set(() if overwrite or weather is None else weather.columns) | set(() if overwrite else cells.columns)
                 wanted = [n for n in names if n not in have]
-                if features is not None and feature not in features or not wanted:
-                    continue
-                df = readers[module](self, feature)
-                if feature in MODULES[module].static:
-                    cells = cells.join(df.select("cell_id", *wanted), "cell_id", "left")
-                else:
-                    part = df.select("time", "cell_id", *(F.col(n).alias(n, metadata={"module": module, "feature": feature}) for n in wanted))
-                    weather = part if weather is None else weather.join(part, ["time", "cell_id"], "full")
-                got.append([module, feature])
-        return Cutout(weather, cells, self.meta | {"prepared_features": got})
+                if wanted and (features is None or feature in features):
+                    have |= set(wanted)
+                    yield module, feature, wanted
+
+    def prepare(self, readers: dict[str, object], features: list[str] | None = None, overwrite: bool = False, path: str | None = None) -> Cutout:
+        """Add the variables of each module's features that are missing: readers[module](cutout, feature) gives rows by
+        (time, cell_id), or by cell_id for static ones. Earlier modules win for a variable that several have.
+
+        A cutout with a folder (``path``, or the one it was opened from) writes each feature as a table of its own, named by the manifest as soon as it is
+        complete; features that are there are not read or written again, so a run that broke off goes on where it stopped. Without one, the features
+        are joined when they are asked for.
+        """
+        path = path or self.path
+        if path:
+            return self._prepare_stored(path, readers, features, overwrite)
+        cells, got, parts, done = self.cells, list(self.meta.get("prepared_features", [])), [], []
+        for module, feature, wanted in self._missing(features, overwrite):
+            df = readers[module](self, feature)
+            if feature in MODULES[module].static:
+                cells = _with_static(cells, df, wanted)
+            else:
+                parts.append(_marked(df, module, feature, wanted))
+                done += wanted
+            got.append([module, feature])
+        if self.weather is not None:
+            parts.insert(0, self.weather.drop(*done))
+        return Cutout(merged(parts) if parts else None, cells, self.meta | {"prepared_features": got})
+
+    def _prepare_stored(self, path: str, readers: dict[str, object], features: list[str] | None, overwrite: bool) -> Cutout:
+        spark = self.cells.sparkSession
+        store = Store(spark, path)
+        if store.manifest() is None:
+            self.save(path)
+        manifest = store.manifest()
+        now = Cutout.open(spark, path)
+        for k, (module, feature, wanted) in enumerate(list(now._missing(features, overwrite))):
+            df = readers[module](now, feature)
+            meta = manifest["meta"]
+            got = [x for x in meta.get("prepared_features", []) if x != [module, feature]]
+            manifest = manifest | {"meta": meta | {"prepared_features": [*got, [module, feature]]}}
+            if feature in MODULES[module].static:
+                manifest = manifest | {"cells": store.write_cells(_with_static(now.cells, df, wanted))}
+                now.cells = spark.read.parquet(f"{store.path}/{manifest['cells']}")
+            else:
+                entry = store.write_rows(_marked(df, module, feature, wanted), now.cells, now.tile, f"{module}-{feature}")
+                kept = [x | {"columns": [c for c in x["columns"] if c not in wanted]} for x in manifest["tables"]]
+                manifest = manifest | {"tables": [*(x for x in kept if x["columns"]), entry]}
+            manifest = store.commit(manifest, first=k == 0)
+        return Cutout.open(spark, path)
 
     def sel(self, bounds=None, x=None, y=None, time=None, buffer: float = 0.0) -> Cutout:
-        """Cells and rows within the bounds (inclusive, widened by ``buffer``) and times."""
+        """Cells and rows within the bounds (inclusive, widened by ``buffer``) and times. Of a stored cutout only the months and tiles in question are read."""
         if bounds is not None:
             x, y = (bounds[0] - buffer, bounds[2] + buffer), (bounds[1] - buffer, bounds[3] + buffer)
-        cells, weather = self.cells, self.weather
+        cells, held, stored = self.cells, [], []
         for name, span in (("x", x), ("y", y)):
             if span is not None:
-                cells = cells.where(F.col(name).between(*(float(v) for v in sorted(span))))
-        if weather is not None:
-            weather = weather.join(cells.select("cell_id"), "cell_id", "left_semi")
-            if time is not None:
-                weather = weather.where(F.col("time").between(F.to_timestamp(F.lit(time[0])), F.to_timestamp(F.lit(time[1]))))
-        return Cutout(weather, cells, dict(self.meta))
+                low, high = (float(v) for v in sorted(span))
+                cells = cells.where(F.col(name).between(low, high))
+                stored.append(F.col(f"tile_{name}").between(math.floor(low / self.tile), math.floor(high / self.tile)))
+        if time is not None:
+            first, last = (F.to_timestamp(F.lit(t)) for t in time)
+            held.append(F.col("time").between(first, last))
+            stored.append(F.col("month").between(F.date_format(first, "yyyy-MM"), F.date_format(last, "yyyy-MM")))
+        if self.weather is None:
+            return Cutout(None, cells, dict(self.meta))
+
+        def chosen(df: DataFrame, conditions: list) -> DataFrame:
+            for c in conditions:
+                df = df.where(c)
+            return df.join(cells.select("cell_id"), "cell_id", "left_semi")
+
+        tables = tuple(chosen(t, [*stored, *held]) for t in self.tables)
+        return Cutout(merged(list(tables)) if tables else chosen(self.weather, held), cells, dict(self.meta), tables)
 
     def nearest(self, x: float, y: float) -> DataFrame:
         """The cell whose centre is nearest on each axis."""
@@ -135,6 +208,28 @@ class Cutout:
         extent = [r[0] - dx / 2, r[1] + dx / 2, r[2] - dy / 2, r[3] + dy / 2]
         return {"dx": dx, "dy": dy, "shape": (r[5], r[4]), "extent": extent, "bounds": [extent[k] for k in (0, 2, 1, 3)]}
 
+    @property
+    def name(self) -> str | None:
+        """The last part of the path, without an extension."""
+        return self.path.rstrip("/").rpartition("/")[2].rpartition(".")[0] or self.path.rstrip("/").rpartition("/")[2] if self.path else None
+
+    @property
+    def dt(self) -> str | None:
+        """Distance of the first two times, as Spark writes intervals of days and seconds; None with fewer times."""
+        if self.weather is None:
+            return self.meta.get("dt")
+        first = self.weather.agg(F.min("time").alias("a"))
+        second = self.weather.join(F.broadcast(first), F.col("time") > F.col("a")).agg((F.min("time") - F.min("a")).cast("string").alias("d")).first()
+        return second[0]
+
+    @property
+    def chunks(self) -> dict[str, int] | None:
+        """How stored rows are divided: cells of a tile along x and y, and files of all tables."""
+        if not self.tables:
+            return None
+        s = self.summary
+        return {"x": round(self.tile / s["dx"]), "y": round(self.tile / s["dy"]), "files": sum(len(t.inputFiles()) for t in self.tables)}
+
     @property
     def coords(self) -> dict[str, DataFrame]:
         """The axes x and y, and time if there is weather."""

@@ -35,10 +35,10 @@ def get_data(cutout: Cutout, module: str, feature: str, **options) -> DataFrame:
     return READERS[module](cutout, feature, **options)
 
 
-def prepare(cutout: Cutout, options: dict[str, dict], features: list[str] | None = None, overwrite: bool = False) -> Cutout:
-    """The cutout with all features of its modules; options: those of each module's reader."""
+def prepare(cutout: Cutout, options: dict[str, dict], features: list[str] | None = None, overwrite: bool = False, path: str | None = None) -> Cutout:
+    """The cutout with all features of its modules; options: those of each module's reader; ``path``: see ``Cutout.prepare``."""
     readers = {m: partial(lambda c, f, module: get_data(c, module, f, **options.get(module, {})), module=m) for m in cutout.meta["module"]}
-    return cutout.prepare(readers, features, overwrite)
+    return cutout.prepare(readers, features, overwrite, path)
 
 
 def padded(column: Column, low: float, high: float, pad: float = 0.01) -> Column:
