@@ -4,11 +4,13 @@ Each run of SIZE words is a paragraph. Its MinHash is the smallest of its five-w
 which SEED words still fit into the paragraph; the band key is the SEED words that begin there. Neighbouring paragraphs
 mostly share their MinHash, so a text gives about two keys in REACH + 1 words and not one a word. Colliding paragraphs
 are joined with the first of their band, laid side by side along the diagonal of the collision, and verified word by
-word: an aligned passage of SIZE or more words, of which at most a fifth are replaced, is repeated. Passages that overlap in
-a text form one node, verified collisions link nodes, and connected components are the classes of which only the first
+word: an aligned passage of SIZE or more words, of which at most a fifth are replaced, is repeated; so is one that gets that long if up to GAP words are
+put in or left out at each end of what the diagonal gives. What a collision with the first of its band does not cover meets again: each run of SIZE words around its seeds is a narrower key, and members that
+share one are linked. Passages that overlap in a text form one node, verified collisions link nodes, and connected components are the classes of which only the first
 occurrence stays.
 
-An exact passage of SIZE words always collides, whatever stands around it, since all its paragraphs have the same MinHash. So does a
+An exact passage of SIZE words always collides, whatever stands around it, since all its paragraphs have the same MinHash; and it is found whole, since each of its members either
+runs like the first of the band all along it, or has it among the runs that meet again. So is a
 pair of paragraphs of 50 or more words at a five-word Jaccard similarity of 0.8: each break in it costs four shingles at least, of which
 such a pair has at most one in nine to lose, so a run of SIZE words is unbroken.
 """
@@ -32,9 +34,9 @@ REACH = SIZE - SEED + 1
 CONTEXT = 40
 #: The share of words of an aligned passage that are the same.
 SIMILARITY = 0.8
+#: Words that may be put in or left out at either end of a short stretch, and words that must follow alike.
+GAP = 2
 _ODD = np.uint64(0xD1342543DE82EF95)
-#: Bits of a node's number below those of its text: its first word. A text has under 2^24 repeated words before a node.
-_PLACE = 24
 
 
 def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -178,8 +180,21 @@ def _collisions(texts: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.save(met.groupBy("tid", "other", "shift", "run").agg(F.min("at").alias("start"), (F.max("at") + SEED).alias("end")).drop("run"), "collisions")
 
 
-def _verified(texts: DataFrame, met: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
-    """The collisions that reach SIZE words, as far as they go on alike on both sides."""
+def _past_gap(a: Column, b: Column, n: Column, differ: int) -> Column:
+    """(na, nb): how far two sides go on alike if, behind the n words that they do, up to GAP words stand on one of them only."""
+    sides = [(k, 0) for k in range(1, GAP + 1)] + [(0, k) for k in range(1, GAP + 1)]
+    tail = lambda words, skip: F.slice(words, n + skip + 1, F.lit(CONTEXT))
+    ways = []
+    for i, j in sides:
+        more = _goes_on(tail(a, i), tail(b, j), differ)
+        ways.append(F.struct(F.when(more >= SHINGLE, more).otherwise(-1).alias("more"), (n + i + more).alias("na"), (n + j + more).alias("nb")))
+    best = F.array_max(F.array(*ways))
+    none = F.struct(n.alias("na"), n.alias("nb"))
+    return F.when(best["more"] > 0, F.struct(best["na"].alias("na"), best["nb"].alias("nb"))).otherwise(none)
+
+
+def _extended(texts: DataFrame, met: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
+    """The collisions (tid, start, end, other, shift) with (low, high, olow, ohigh): as far as they go on alike on both sides."""
     ask = lambda at, after: (F.col(at) * 2 + after).cast("int")
     sides = {"own": ("tid", ask("start", 0), ask("end", 1)), "far": ("other", ask("start", 0) - 2 * F.col("shift"), ask("end", 1) - 2 * F.col("shift"))}
     asks = met.select(F.explode(F.array(*(F.struct(F.col(t).alias("of"), a.alias("ask")) for t, *both in sides.values() for a in both))).alias("x")).select("x.*").distinct()
@@ -190,18 +205,69 @@ def _verified(texts: DataFrame, met: DataFrame, similarity: float, scratch: Scra
         for side, (text, *both) in sides.items():
             known = around.select(F.col("tid").alias("of"), F.col("ask").alias("at_ask"), F.col("words").alias(side))
             met = met.join(known, (F.col(text) == F.col("of")) & (both[k - 1] == F.col("at_ask"))).drop("of", "at_ask")
-        met = met.withColumn(name, _goes_on(F.col("own"), F.col("far"), differ)).drop("own", "far")
-    whole = met.select("tid", (F.col("start") - F.col("left")).alias("start"), (F.col("end") + F.col("right")).alias("end"), "other", "shift")
-    return scratch.save(whole.where(f"end - start >= {SIZE}").distinct(), "verified")
+        met = met.withColumn(name, _goes_on(F.col("own"), F.col("far"), differ))
+        # what is long enough by now needs no gap; only the words of the others are looked at again
+        total = F.col("end") - F.col("start") + F.col("left") + (F.col("right") if k == 2 else 0)
+        met = met.withColumn(f"{name}_words", F.when(total < SIZE, F.struct("own", "far"))).drop("own", "far")
+    plain = (F.col("end") - F.col("start") + F.col("left") + F.col("right") >= SIZE) | F.lit(similarity >= 1)
+    for name in ("left", "right"):
+        met = met.withColumn(f"{name}_past", F.when(~plain, _past_gap(F.col(f"{name}_words")["own"], F.col(f"{name}_words")["far"], F.col(name), differ)))
+    reach = lambda name, part: F.when(plain, F.col(name)).otherwise(F.coalesce(F.col(f"{name}_past")[part], F.col(name)))
+    start, end = F.col("start") - F.col("shift"), F.col("end") - F.col("shift")
+    spans = {"low": F.col("start") - reach("left", "na"), "high": F.col("end") + reach("right", "na"), "olow": start - reach("left", "nb"), "ohigh": end + reach("right", "nb")}
+    return scratch.save(met.select("tid", "start", "end", "other", "shift", *(v.alias(k) for k, v in spans.items())), "extended")
+
+
+def _again(texts: DataFrame, extended: DataFrame, scratch: Scratch) -> DataFrame:
+    """Links (tid, low, high, other, olow, ohigh) of exact passages among members of a band that its first does not cover."""
+    good = F.least(F.col("high") - F.col("low"), F.col("ohigh") - F.col("olow")) >= SIZE
+    first, last = F.greatest(F.lit(0), F.col("start") - (SIZE - SEED)), F.col("end") - SEED
+    reach = lambda a, b: F.struct(a.cast("int").alias("a"), b.cast("int").alias("b"))
+    open_ones = F.when(good, F.array(reach(first, F.least(F.col("low") - 1, last)), reach(F.greatest(F.col("high") - SIZE + 1, first), last))).otherwise(F.array(reach(first, last)))
+    left = extended.select("tid", F.explode(open_ones).alias("r")).where("r.a <= r.b").select("tid", "r").distinct()
+    asked = texts.join(left.groupBy(F.col("tid").alias("of")).agg(F.collect_list("r").alias("asks")), F.col("tid") == F.col("of")).select("tid", "text", "asks")
+
+    def run(batches):
+        for batch in slices(batches, "text", 4 << 20):
+            h, bound = word_hashes(batch.column("text"))
+            key = _runs(h, SIZE).view(np.int64)
+            lists = batch.column("asks")
+            row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+            ends = lists.flatten()
+            a, b = (ends.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
+            b = np.minimum(b, bound[row + 1] - bound[row] - SIZE)
+            size = np.maximum(0, b - a + 1)
+            row = np.repeat(row, size)
+            place = np.repeat(a - np.cumsum(size) + size, size) + np.arange(size.sum())
+            both = np.unique(np.stack([row, place]), axis=1) if len(row) else np.zeros((2, 0), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(key[bound[both[0]] + both[1]]), batch.column("tid").take(pa.array(both[0])), pa.array(both[1].astype(np.int32))], ["run", "tid", "at"])
+
+    keys = scratch.save(asked.mapInArrow(run, "run long, tid long, at int"), "runs")
+    place = F.struct("tid", "at")
+    firsts = keys.groupBy(F.col("run").alias("r")).agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last")
+    firsts = scratch.save(firsts.select("r", F.col("first.tid").alias("other"), F.col("first.at").alias("there")), "first_runs")
+    met = keys.join(firsts, F.col("run") == F.col("r")).select("tid", "at", "other", (F.col("at") - F.col("there")).alias("shift")).where(f"tid <> other or shift >= {SIZE}")
+    line = Window.partitionBy("tid", "other", "shift").orderBy("at")
+    met = met.withColumn("new", F.coalesce((F.col("at") - F.lag("at").over(line) > 1).cast("int"), F.lit(1)))
+    met = met.withColumn("part", F.sum("new").over(line))
+    whole = met.groupBy("tid", "other", "shift", "part").agg(F.min("at").alias("low"), (F.max("at") + SIZE).alias("high"))
+    return whole.select("tid", "low", "high", "other", (F.col("low") - F.col("shift")).alias("olow"), (F.col("high") - F.col("shift")).alias("ohigh"))
+
+
+def _verified(texts: DataFrame, met: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
+    """(tid, start, end, other, ostart, oend): passages of SIZE words and more that a text shares with another one, or with itself."""
+    extended = _extended(texts, met, similarity, scratch)
+    found = extended.where(f"least(high - low, ohigh - olow) >= {SIZE}").select("tid", "low", "high", "other", "olow", "ohigh").union(_again(texts, extended, scratch)).distinct()
+    return scratch.save(found.toDF("tid", "start", "end", "other", "ostart", "oend"), "verified")
 
 
 def _merged(found: DataFrame) -> DataFrame:
-    """found (tid, start, end) with ``node``: the first word of the spans that overlap or touch, numbered over all texts."""
+    """found (tid, start, end) with ``node``: the text and the first word of the spans that overlap or touch."""
     line = Window.partitionBy("tid").orderBy("start", "end")
     reach = F.max("end").over(line.rowsBetween(Window.unboundedPreceding, -1))
     out = found.withColumn("head", F.when(reach.isNull() | (F.col("start") > reach), F.col("start")))
     out = out.withColumn("head", F.last("head", ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, 0)))
-    return out.select("tid", "start", "end", (F.shiftleft("tid", _PLACE) + F.col("head")).alias("node"))
+    return out.select("tid", "start", "end", F.struct("tid", "head").alias("node"))
 
 
 def repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", similarity: float = SIMILARITY) -> DataFrame:
@@ -210,9 +276,9 @@ def repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", similarity
     repeated: word spans [start, end) of its shared passages, merged; removed: those words of them that stand in an earlier
     place too (by key, then text, then place; null keys last); firsts: sorted distinct keys of the documents that hold the first occurrences of
     its classes; class_id: the smallest of these. Words are separated by white space and compared in lower case (A-Z).
-    A passage has at least 25 words, of which in an occurrence at most 1 - ``similarity`` are replaced. Equal texts are read once, and all but the
+    A passage has at least 25 words, of which in an occurrence at most 1 - ``similarity`` are replaced, or up to two are put in or left out beside a stretch that is too short without. Equal texts are read once, and all but the
     first document of them are removed as a whole; texts under 25 words have no passage. Equal rows (key and text) are one document. Within a text, occurrences
-    under 25 words apart are left alone. Null and empty texts and empty tables give no rows; columns other than key and text are not read;
+    under 25 words apart are left alone. Null and empty texts and empty tables give no rows; a text of any length is one task's, at some 25 times its bytes; columns other than key and text are not read;
     a key named like an added column raises ValueError. ``row_key`` is a 128-bit hash of the text.
     """
     if key in {"row_key", "class_id", "firsts", "repeated", "removed"}:
@@ -226,15 +292,15 @@ def repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", similarity
     size = F.when(F.col("copies") > 1, F.regexp_count("text", F.lit("[^\\x20\\x09-\\x0D]+"))).otherwise(0)
     texts = scratch.save(each.select("tid", size.alias("n"), "text"), "text")
     links = _verified(texts, _collisions(texts, scratch), similarity, scratch)
-    there = links.select(F.col("other").alias("tid"), (F.col("start") - F.col("shift")).alias("start"), (F.col("end") - F.col("shift")).alias("end"))
+    there = links.select(F.col("other").alias("tid"), F.col("ostart").alias("start"), F.col("oend").alias("end"))
     spans_of = scratch.save(_merged(links.select("tid", "start", "end").union(there).distinct()), "nodes")
     node = lambda name: spans_of.select(F.col("tid").alias("t"), F.col("start").alias("s"), F.col("end").alias("e"), F.col("node").alias(name))
     own = (F.col("tid") == F.col("t")) & (F.col("start") == F.col("s")) & (F.col("end") == F.col("e"))
-    far = (F.col("other") == F.col("t")) & (F.col("start") - F.col("shift") == F.col("s")) & (F.col("end") - F.col("shift") == F.col("e"))
+    far = (F.col("other") == F.col("t")) & (F.col("ostart") == F.col("s")) & (F.col("oend") == F.col("e"))
     edges = links.join(node("a"), own).drop("t", "s", "e").join(node("b"), far).select("a", "b").distinct()
     found = components(scratch.save(edges, "edges"), scratch)
     nodes = spans_of.groupBy("node").agg(F.first("tid").alias("tid"), F.min("start").alias("start"), F.max("end").alias("end"))
-    heads = nodes.join(found, F.col("node") == F.col("id"), "left").withColumn("head", F.shiftright(F.coalesce("component", "node"), _PLACE))
+    heads = nodes.join(found, F.col("node") == F.col("id"), "left").withColumn("head", F.coalesce("component", "node")["tid"])
     lows = numbered.select(F.col("tid").alias("of"), F.col("low").alias("first"))
     span = F.struct("start", "end")
     whole = heads.join(lows, F.col("head") == F.col("of")).groupBy(F.col("tid").alias("of")).agg(F.array_sort(F.collect_set("first")).alias("firsts"), F.array_sort(F.collect_list(span)).alias("repeated"))
