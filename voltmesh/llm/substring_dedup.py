@@ -133,15 +133,17 @@ def _around(asked: DataFrame) -> DataFrame:
 
 
 def _goes_on(a: Column, b: Column, differ: int) -> Column:
-    """How many words two sides go on alike: the longest stretch that ends in the same word and of which at most one in ``differ`` is replaced."""
+    """(best, exact): how many words two sides go on alike. best: the longest stretch that ends in the same word and of which at most one in ``differ`` is
+    replaced; exact: the words up to the first that is."""
 
     def step(s: Column, same: Column) -> Column:
         n, bad = s["n"] + 1, s["bad"] + F.when(same, 0).otherwise(1)
-        return F.struct(n.alias("n"), bad.alias("bad"), F.when(same & (bad * differ <= n), n).otherwise(s["best"]).alias("best"))
+        return F.struct(n.alias("n"), bad.alias("bad"), F.when(same & (bad * differ <= n), n).otherwise(s["best"]).alias("best"), F.when(bad == 0, n).otherwise(s["exact"]).alias("exact"))
 
-    begin = F.struct(F.lit(0).alias("n"), F.lit(0).alias("bad"), F.lit(0).alias("best"))
+    begin = F.struct(*(F.lit(0).alias(c) for c in ("n", "bad", "best", "exact")))
     same = F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False)))
-    return F.when(F.get(a, 0).isNull() | F.get(b, 0).isNull(), F.lit(0)).otherwise(F.aggregate(same, begin, step, lambda s: s["best"]))
+    none = F.struct(F.lit(0).alias("best"), F.lit(0).alias("exact"))
+    return F.when(F.get(a, 0).isNull() | F.get(b, 0).isNull(), none).otherwise(F.aggregate(same, begin, step, lambda s: F.struct(s["best"].alias("best"), s["exact"].alias("exact"))))
 
 
 def _text_id(text: Column) -> tuple[Column, Column]:
@@ -186,7 +188,7 @@ def _past_gap(a: Column, b: Column, n: Column, differ: int) -> Column:
     tail = lambda words, skip: F.slice(words, n + skip + 1, F.lit(CONTEXT))
     ways = []
     for i, j in sides:
-        more = _goes_on(tail(a, i), tail(b, j), differ)
+        more = _goes_on(tail(a, i), tail(b, j), differ)["best"]
         ways.append(F.struct(F.when(more >= SHINGLE, more).otherwise(-1).alias("more"), (n + i + more).alias("na"), (n + j + more).alias("nb")))
     best = F.array_max(F.array(*ways))
     none = F.struct(n.alias("na"), n.alias("nb"))
@@ -194,7 +196,7 @@ def _past_gap(a: Column, b: Column, n: Column, differ: int) -> Column:
 
 
 def _extended(texts: DataFrame, met: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
-    """The collisions (tid, start, end, other, shift) with (low, high, olow, ohigh): as far as they go on alike on both sides."""
+    """The collisions (tid, start, end, other, shift) with (low, high, olow, ohigh), as far as they go on alike on both sides, and (xlow, xhigh), as far as no word beside the seeds is replaced."""
     ask = lambda at, after: (F.col(at) * 2 + after).cast("int")
     sides = {"own": ("tid", ask("start", 0), ask("end", 1)), "far": ("other", ask("start", 0) - 2 * F.col("shift"), ask("end", 1) - 2 * F.col("shift"))}
     asks = met.select(F.explode(F.array(*(F.struct(F.col(t).alias("of"), a.alias("ask")) for t, *both in sides.values() for a in both))).alias("x")).select("x.*").distinct()
@@ -205,7 +207,7 @@ def _extended(texts: DataFrame, met: DataFrame, similarity: float, scratch: Scra
         for side, (text, *both) in sides.items():
             known = around.select(F.col("tid").alias("of"), F.col("ask").alias("at_ask"), F.col("words").alias(side))
             met = met.join(known, (F.col(text) == F.col("of")) & (both[k - 1] == F.col("at_ask"))).drop("of", "at_ask")
-        met = met.withColumn(name, _goes_on(F.col("own"), F.col("far"), differ))
+        met = met.withColumn("on", _goes_on(F.col("own"), F.col("far"), differ)).withColumns({name: F.col("on")["best"], f"{name}_exact": F.col("on")["exact"]}).drop("on")
         # what is long enough by now needs no gap; only the words of the others are looked at again
         total = F.col("end") - F.col("start") + F.col("left") + (F.col("right") if k == 2 else 0)
         met = met.withColumn(f"{name}_words", F.when(total < SIZE, F.struct("own", "far"))).drop("own", "far")
@@ -215,15 +217,16 @@ def _extended(texts: DataFrame, met: DataFrame, similarity: float, scratch: Scra
     reach = lambda name, part: F.when(plain, F.col(name)).otherwise(F.coalesce(F.col(f"{name}_past")[part], F.col(name)))
     start, end = F.col("start") - F.col("shift"), F.col("end") - F.col("shift")
     spans = {"low": F.col("start") - reach("left", "na"), "high": F.col("end") + reach("right", "na"), "olow": start - reach("left", "nb"), "ohigh": end + reach("right", "nb")}
-    return scratch.save(met.select("tid", "start", "end", "other", "shift", *(v.alias(k) for k, v in spans.items())), "extended")
+    exact = {"xlow": F.col("start") - F.col("left_exact"), "xhigh": F.col("end") + F.col("right_exact")}
+    return scratch.save(met.select("tid", "start", "end", "other", *(v.alias(k) for k, v in (spans | exact).items())), "extended")
 
 
 def _again(texts: DataFrame, extended: DataFrame, scratch: Scratch) -> DataFrame:
     """Links (tid, low, high, other, olow, ohigh) of exact passages among members of a band that its first does not cover."""
-    good = F.least(F.col("high") - F.col("low"), F.col("ohigh") - F.col("olow")) >= SIZE
     first, last = F.greatest(F.lit(0), F.col("start") - (SIZE - SEED)), F.col("end") - SEED
     reach = lambda a, b: F.struct(a.cast("int").alias("a"), b.cast("int").alias("b"))
-    open_ones = F.when(good, F.array(reach(first, F.least(F.col("low") - 1, last)), reach(F.greatest(F.col("high") - SIZE + 1, first), last))).otherwise(F.array(reach(first, last)))
+    covered = F.col("xhigh") - F.col("xlow") >= SIZE
+    open_ones = F.when(covered, F.array(reach(first, F.least(F.col("xlow") - 1, last)), reach(F.greatest(F.col("xhigh") - SIZE + 1, first), last))).otherwise(F.array(reach(first, last)))
     left = extended.select("tid", F.explode(open_ones).alias("r")).where("r.a <= r.b").select("tid", "r").distinct()
     asked = texts.join(left.groupBy(F.col("tid").alias("of")).agg(F.collect_list("r").alias("asks")), F.col("tid") == F.col("of")).select("tid", "text", "asks")
 
