@@ -179,26 +179,38 @@ def _collisions(texts: DataFrame, scratch: Scratch) -> DataFrame:
     # two seeds along one diagonal at most REACH words apart leave two words between them unseen
     met = met.withColumn("new", F.coalesce((F.col("at") - F.lag("at").over(line) > REACH).cast("int"), F.lit(1)))
     met = met.withColumn("run", F.sum("new").over(line))
-    return scratch.save(met.groupBy("tid", "other", "shift", "run").agg(F.min("at").alias("start"), (F.max("at") + SEED).alias("end")).drop("run"), "collisions")
+    met = scratch.save(met.groupBy("tid", "other", "shift", "run").agg(F.min("at").alias("start"), (F.max("at") + SEED).alias("end")).drop("run"), "collisions")
+    _forget(scratch, keys, firsts)
+    return met
+
+
+def _forget(scratch: Scratch, *tables: DataFrame) -> None:
+    """Delete written tables that nothing reads any more, and let Spark delete what it shuffled for them."""
+    for t in tables:
+        scratch.drop(t)
+    scratch.release()
 
 
 def _past_gap(a: Column, b: Column, n: Column, differ: int) -> Column:
     """(na, nb): how far two sides go on alike if, behind the n words that they do, up to GAP words stand on one of them only."""
     sides = [(k, 0) for k in range(1, GAP + 1)] + [(0, k) for k in range(1, GAP + 1)]
-    tail = lambda words, skip: F.slice(words, n + skip + 1, F.lit(CONTEXT))
+    tail = lambda words, skip: F.slice(words, n + skip + 1, F.lit(SIZE))
+    at = lambda words, k: F.get(words, n + k)
     ways = []
     for i, j in sides:
-        more = _goes_on(tail(a, i), tail(b, j), differ)["best"]
+        alike = (at(a, i) == at(b, j)) & (at(a, i + 1) == at(b, j + 1))  # seldom so, and soon told
+        more = F.when(alike, _goes_on(tail(a, i), tail(b, j), differ)["best"])
         ways.append(F.struct(F.when(more >= SHINGLE, more).otherwise(-1).alias("more"), (n + i + more).alias("na"), (n + j + more).alias("nb")))
     best = F.array_max(F.array(*ways))
     none = F.struct(n.alias("na"), n.alias("nb"))
     return F.when(best["more"] > 0, F.struct(best["na"].alias("na"), best["nb"].alias("nb"))).otherwise(none)
 
 
-def _extended(texts: DataFrame, met: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
+def _extended(texts: DataFrame, collisions: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
     """The collisions (tid, start, end, other, shift) with (low, high, olow, ohigh), as far as they go on alike on both sides, and (xlow, xhigh), as far as no word beside the seeds is replaced."""
     ask = lambda at, after: (F.col(at) * 2 + after).cast("int")
     sides = {"own": ("tid", ask("start", 0), ask("end", 1)), "far": ("other", ask("start", 0) - 2 * F.col("shift"), ask("end", 1) - 2 * F.col("shift"))}
+    met = collisions
     asks = met.select(F.explode(F.array(*(F.struct(F.col(t).alias("of"), a.alias("ask")) for t, *both in sides.values() for a in both))).alias("x")).select("x.*").distinct()
     asked = texts.join(asks.groupBy("of").agg(F.collect_list("ask").alias("asks")), F.col("tid") == F.col("of")).select("tid", "text", "asks")
     around = scratch.save(_around(asked), "around")
@@ -218,7 +230,10 @@ def _extended(texts: DataFrame, met: DataFrame, similarity: float, scratch: Scra
     start, end = F.col("start") - F.col("shift"), F.col("end") - F.col("shift")
     spans = {"low": F.col("start") - reach("left", "na"), "high": F.col("end") + reach("right", "na"), "olow": start - reach("left", "nb"), "ohigh": end + reach("right", "nb")}
     exact = {"xlow": F.col("start") - F.col("left_exact"), "xhigh": F.col("end") + F.col("right_exact")}
-    return scratch.save(met.select("tid", "start", "end", "other", *(v.alias(k) for k, v in (spans | exact).items())), "extended")
+    out = scratch.save(met.select("tid", "start", "end", "other", *(v.alias(k) for k, v in (spans | exact).items())), "extended")
+    del met
+    _forget(scratch, collisions, around)
+    return out
 
 
 def _again(texts: DataFrame, extended: DataFrame, scratch: Scratch) -> DataFrame:
@@ -261,7 +276,9 @@ def _verified(texts: DataFrame, met: DataFrame, similarity: float, scratch: Scra
     """(tid, start, end, other, ostart, oend): passages of SIZE words and more that a text shares with another one, or with itself."""
     extended = _extended(texts, met, similarity, scratch)
     found = extended.where(f"least(high - low, ohigh - olow) >= {SIZE}").select("tid", "low", "high", "other", "olow", "ohigh").union(_again(texts, extended, scratch)).distinct()
-    return scratch.save(found.toDF("tid", "start", "end", "other", "ostart", "oend"), "verified")
+    found = scratch.save(found.toDF("tid", "start", "end", "other", "ostart", "oend"), "verified")
+    _forget(scratch, extended)
+    return found
 
 
 def _merged(found: DataFrame) -> DataFrame:
