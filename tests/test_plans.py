@@ -46,3 +46,9 @@ def test_overlay_rows_carry_no_outline(spark, sf_dir):
         text = found._jdf.queryExecution().executedPlan().toString()
         above = text[: text.index("explode(es#")]
         assert text.count("FileScan") == 1 and "pts#" not in above and "SinglePartition" not in above and "NestedLoop" not in above and "Exchange" in above
+
+
+@pytest.mark.parametrize("name", ["a11_threshold", "c12_runoff", "j12_inflow", "c13_hydro"])
+def test_no_values_are_gathered(spark, sf_dir, name):
+    found = plan(catalog_queries.queries()[name](spark, sf_dir))
+    assert "collect_list" not in found and "NestedLoop" not in found and "CartesianProduct" not in found

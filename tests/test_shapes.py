@@ -143,6 +143,34 @@ def test_quantile_of_many_values(spark):
     assert hydro.drop_low(df, 0.3).where("v > 0").agg(F.min("v"), F.count("*")).first() == df.where(F.col("v") >= edge).agg(F.min("v"), F.count("*")).first()
 
 
+def test_exact_quantiles(spark):
+    import random
+
+    from voltmesh.operators.quantile import with_quantile
+
+    random.seed(2)
+    mixed = [random.choice([-1, 1]) * random.random() * 10 ** random.randint(-300, 300) for _ in range(500)] + [0.0, -0.0, 1e-320, -1e-320, float("inf"), float("-inf")] * 3 + [7.25] * 200
+    for values in (mixed, [3.0], [2.0, 2.0, 2.0], [-1.5, -2.5, 4.0]):
+        df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double").repartition(3)
+        order = sorted(values)
+        for q in (0.0, 0.005, 0.3, 0.5, 0.997, 1.0):
+            place = q * (len(order) - 1)
+            a, b = order[math.floor(place)], order[math.ceil(place)]
+            got = with_quantile(df, q)[1]
+            assert got == (a if a == b else a + (b - a) * (place - math.floor(place)))
+    none = spark.createDataFrame([(None,)], "v double")
+    assert with_quantile(none, 0.5)[1] is None and [r.v for r in hydro.drop_low(none).collect()] == [0.0]
+
+
+def test_times_are_numbered_without_one_task(spark):
+    rows = spark.sql("select explode(sequence(timestamp'2024-01-01 05:00:00', timestamp'2024-01-09 03:00:00', interval 5 hours)) time").unionByName(spark.sql("select timestamp'2024-02-01' time"))
+    got = hydro.numbered_times(rows.unionByName(rows))
+    order = sorted(r.time for r in rows.collect())
+    assert sorted((r.time, r.k, r.n) for r in got.collect()) == [(t, k, len(order)) for k, t in enumerate(order)]
+    text = got._jdf.queryExecution().executedPlan().toString()
+    assert "Window [" in text and not any("Window" in a and "SinglePartition" in b for a, b in zip(text.splitlines(), text.splitlines()[2:], strict=False))
+
+
 def test_turbines_by_folder(spark, tmp_path):
     (tmp_path / "Own_2MW.yaml").write_text("name: own\nHUB_HEIGHT: 90\nV: [0, 5, 25]\nPOW: [0, 1, 2]\n")
     assert catalog.windturbine("Own_2MW", folder=tmp_path)["POW"] == [0.0, 1.0, 2.0, 0.0]

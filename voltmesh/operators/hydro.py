@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from ..functions.basic import num, zero
 from ..functions.line import line_limit
 from ..sources.cutout import Cutout
+from ..sources.shared import written
 from .aggregate import aggregate_matrix
 from .geometry import indicator_matrix, intersection_matrix, next_points, reproject, shape_area
+from .quantile import with_quantile
 
 
 def runoff(weather: DataFrame, weight_with_height: bool = True) -> Column:
@@ -23,28 +25,9 @@ def rolling_mean(df: DataFrame, window: int | bool = 168, by: str = "bus") -> Da
 
 
 def drop_low(df: DataFrame, quantile: float | bool = 0.005) -> DataFrame:
-    """v below its quantile (True: 0.005) over all rows becomes 0, as does NULL."""
-    q = 0.005 if quantile is True else float(quantile)
-    # exact, but with values gathered only from a band around the quantile (all of under 100,000): a sketch gives the band, counts place it
-    step = 1e-3
-    sketch = df.agg(F.percentile_approx("v", F.array(*(F.lit(min(1.0, max(0.0, x))) for x in (q - step, q + step))), F.lit(10_000)).alias("__ends"), F.count("v").alias("__n"))
-    band = df.select("v").where("v is not null").crossJoin(F.broadcast(sketch)).withColumns({"__low": F.col("__ends")[0], "__high": F.col("__ends")[1]})
-    inner = (F.col("__n") < 100_000) | F.col("v").between(F.col("__low"), F.col("__high"))
-    counts = band.groupBy(F.when(inner, F.col("v")).alias("value"), F.when(~inner, F.col("v") > F.col("__high")).alias("above")).agg(F.count("*").alias("m"), F.max("__n").alias("n"))
-    below = F.coalesce(F.sum(F.when(~F.col("above"), F.col("m"))), F.lit(0))
-    near = F.array_sort(F.collect_list(F.when(F.col("value").isNotNull(), F.struct("value", "m"))))
-    placed = counts.agg(below.alias("below"), near.alias("near"), F.max("n").alias("n"))
-
-    def at(rank: Column) -> Column:
-        """The value of this rank (from 0): the first of the band up to which more values are counted."""
-        start = F.struct(F.col("below").alias("seen"), F.lit(None).cast("double").alias("value"))
-        step = lambda s, x: F.struct((s["seen"] + x["m"]).alias("seen"), F.coalesce(s["value"], F.when(s["seen"] + x["m"] > rank, x["value"])).alias("value"))
-        return F.aggregate("near", start, step, lambda s: s["value"])
-
-    place = F.lit(q) * (F.col("n") - 1)
-    low, high = at(F.floor(place)), at(F.ceil(place))
-    edge = placed.select((low + (high - low) * (place - F.floor(place))).alias("__edge"))
-    return df.crossJoin(F.broadcast(edge)).withColumn("v", F.when(F.col("v") >= F.col("__edge"), F.col("v")).otherwise(num(0))).drop("__edge")
+    """v below its exact quantile (True: 0.005) over all rows becomes 0, as does NULL. The rows are written once, for the rounds that find the quantile and for the result."""
+    rows, edge = with_quantile(df, 0.005 if quantile is True else float(quantile))
+    return rows.withColumn("v", F.when(F.col("v") >= F.lit(edge), F.col("v")).otherwise(num(0)) if edge is not None else num(0))
 
 
 def full_years(df: DataFrame, rows: int = 8700) -> DataFrame:
@@ -143,19 +126,30 @@ def upstream_sql(basins: str = "basins", targets: str = "targets", depth: int =
         select distinct root, hid from up where if(depth < {depth}, true, raise_error('a river has {depth} steps or more: raise depth or use upstream()'))"""
 
 
+def numbered_times(rows: DataFrame) -> DataFrame:
+    """(time, k, n): the distinct times in order from 0, and how many there are. Times are numbered within their days, and days by
+    a running sum over one short list, so no task sorts the whole axis."""
+    times = rows.select("time").distinct().withColumn("day", F.to_date("time"))
+    inside = times.withColumn("__k", F.row_number().over(Window.partitionBy("day").orderBy("time")) - 1)
+    days = times.groupBy("day").agg(F.count("*").alias("m")).agg(F.array_sort(F.collect_list(F.struct("day", "m"))).alias("days"))
+    step = lambda s, x: F.struct(F.concat(s["out"], F.array(F.struct(x["day"].alias("day"), s["n"].alias("before")))).alias("out"), (s["n"] + x["m"]).alias("n"))
+    start = F.struct(F.array().cast("array<struct<day:date,before:bigint>>").alias("out"), F.lit(0).cast("long").alias("n"))
+    placed = days.select(F.aggregate("days", start, step).alias("s")).select(F.explode("s.out").alias("d"), "s.n").select("d.day", "d.before", "n")
+    return inside.join(placed, "day").select("time", (F.col("before") + F.col("__k")).alias("k"), "n")
+
+
 def shifted_inflow(members: DataFrame, runoff_rows: DataFrame, flowspeed: float = 1.0) -> DataFrame:
     """(plant, time, v): runoff of all upstream basins, each rolled by its travel time (whole hours, wrapping at the end).
 
-    members: plant, hid, distance (km up the river from the plant); runoff_rows: hid, time, v over one common time axis. The axis is
-    as long as the cutout has time steps (8,760 a year, 16 bytes each), whatever the number of cells, so it is numbered at once and broadcast.
+    members: plant, hid, distance (km up the river from the plant); runoff_rows: hid, time, v over one common time axis. Basins of a plant that are
+    equally far in hours are rolled as one. Nothing is broadcast unless Spark finds it small.
     """
-    axis = runoff_rows.select("time").distinct().withColumn("k", F.row_number().over(Window.orderBy("time")) - 1)
-    count = axis.agg(F.count("*").alias("n"))
+    axis = written(numbered_times(runoff_rows), "times")
     hours = F.floor(F.col("distance") / num(flowspeed * 3.6) + num(0.5)).cast("int")
-    rows = runoff_rows.join(F.broadcast(axis), "time").select("hid", "k", "v")
-    moved = rows.join(members.select("plant", "hid", hours.alias("hours")), "hid").crossJoin(F.broadcast(count))
-    sums = moved.groupBy("plant", F.pmod(F.col("k") + F.col("hours"), F.col("n")).alias("k")).agg(F.sum("v").alias("v"))
-    return sums.join(F.broadcast(axis), "k").select("plant", "time", "v")
+    groups = members.select("plant", "hid", hours.alias("hours"))
+    rows = runoff_rows.join(groups, "hid").groupBy("plant", "hours", "time").agg(F.sum("v").alias("v"))
+    moved = rows.join(axis, "time").groupBy("plant", F.pmod(F.col("k") + F.col("hours"), F.col("n")).alias("k")).agg(F.sum("v").alias("v"))
+    return moved.join(axis.select("time", "k"), "k").select("plant", "time", "v")
 
 
 def basin_weights(indicator: DataFrame) -> DataFrame:
