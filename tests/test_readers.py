@@ -52,3 +52,32 @@ def test_transforms(spark):
     assert c.transform == (0.25, 0.0, -4.125, 0.0, 0.25, 55.875)
     assert c.transform_r == (0.25, 0.0, -4.125, 0.0, -0.25, 61.125)
     assert c.coords["x"].count() == 23 and c.coords["y"].first()[0] == 56.0
+
+
+def test_archive_files_are_found_at_any_depth(spark, tmp_path):
+    from voltmesh.sources import datasets
+
+    for name in ("SISin202401010000.nc", "a/SISin202401020000.nc", "a/b/SISin202401040000.nc", "x/SIDin202401010000.nc", "SIDin202401040000.nc", "x/SIDin202401030000.nc", "x/notes.txt"):
+        file = tmp_path / name
+        file.parent.mkdir(parents=True, exist_ok=True)
+        file.write_bytes(b"x" * 7)
+    files = datasets.archive_files(spark, str(tmp_path), "*.nc")
+    assert {r.bytes for r in files.collect()} == {7} and files.count() == 6
+    plan = files._jdf.queryExecution().executedPlan().toString()
+    assert "content#" not in plan.split("ReadSchema")[-1]
+    first, last = F.lit("2024-01-01"), F.lit("2024-01-05")
+    found = datasets.satellite_files(files, first, last)
+    assert [str(r.day) for r in found.orderBy("day").collect()] == ["2024-01-01", "2024-01-04"]
+    assert [str(r.day) for r in datasets.uncovered_days(found, first, last).orderBy("day").collect()] == ["2024-01-02", "2024-01-03", "2024-01-05"]
+
+
+def test_resampling(spark):
+    from voltmesh.operators import raster
+
+    grid = spark.createDataFrame([(0, 0, 0, 0.0, 2.0, 0.0, 2.0), (1, 1, 0, 2.0, 4.0, 0.0, 2.0)], "cell_id long, ix int, iy int, x0 double, x1 double, y0 double, y1 double")
+    pixels = spark.createDataFrame([(0, 0, 1), (1, 0, 2), (0, 1, 2), (1, 1, 7), (2, 0, 5), (2, 1, None)], "px int, py int, code int")
+    value = lambda how: {r.cell_id: r.value for r in raster.regrid(pixels, grid, 1.0, how).collect()}
+    assert value("sum") == {0: 12.0, 1: 5.0} and value("min") == {0: 1, 1: 5} and value("max") == {0: 7, 1: 5} and value("mode") == {0: 2, 1: 5}
+    assert value("bilinear") == {0: 3.0, 1: 5.0}
+    with pytest.raises(ValueError, match="lanczos"):
+        raster.regrid(pixels, grid, 1.0, "lanczos")

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import conversions, overlays, sources
+from .plans import conversions, derived, overlays, sources
 
-_PARTS = (conversions, overlays, sources)
+_PARTS = (conversions, overlays, sources, derived)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -293,3 +293,35 @@ def padded_bounds(bounds: tuple[float, float, float, float], res: float) -> tupl
     """Pixel ranges (left, bottom, right, top) that cover the bounds; right and top reach on to the next pixel, also from its edge."""
     left, bottom, right, top = bounds
     return math.floor(left / res), math.floor(bottom / res), math.floor(right / res) + 1, math.floor(top / res) + 1
+
+
+def regrid_bilinear(pixels: DataFrame, grid: DataFrame, res: float, value: str = "code", grid_crs: int | str = 4326, crs: int | str | None = None) -> DataFrame:
+    """(cell_id, value) from the four pixels whose centres surround each target centre, weighted by nearness along both axes; pixels that are
+    missing or null leave their weight to the others, and a cell without any gets null. ``crs``: the raster's plane, where it is not the grid's."""
+    x, y = (F.col("x0") + F.col("x1")) / num(2), (F.col("y0") + F.col("y1")) / num(2)
+    x, y = moved(x, y, grid_crs, grid_crs if crs is None else crs)
+    placed = grid.select("cell_id", (x / num(res) - num(0.5)).alias("u"), (y / num(res) - num(0.5)).alias("v"))
+    share = lambda c, k: (c - F.floor(c)) if k else num(1) - (c - F.floor(c))
+    u, v = F.col("u"), F.col("v")
+    corner = lambda i, j: F.struct((F.floor(u).cast("int") + i).alias("px"), (F.floor(v).cast("int") + j).alias("py"), (share(u, i) * share(v, j)).alias("w"))
+    four = placed.select("cell_id", F.explode(F.array(*(corner(i, j) for i in (0, 1) for j in (0, 1)))).alias("n")).select("cell_id", "n.*")
+    met = four.where("w > 0").join(pixels.select("px", "py", F.col(value).alias("__v")), ["px", "py"], "left")
+    there = F.when(F.col("__v").isNotNull(), F.col("w"))
+    return met.groupBy("cell_id").agg(F.try_divide(F.sum(there * F.col("__v")), F.sum(there)).alias("value"))
+
+
+def regrid(pixels: DataFrame, grid: DataFrame, res: float, how: str = "average", value: str = "code", least: float = 1e-9) -> DataFrame:
+    """(cell_id, value) of a raster on another grid. how: "average" (by overlap), "nearest", "bilinear", or over the pixels that overlap a cell by more
+    than ``least``: "sum" (a pixel's value counts by the share of it in the cell), "min", "max", "mode" (by overlap; of equal ones the smallest)."""
+    if how == "average":
+        return regrid_average(pixels, grid, res, [], value)
+    if how in ("nearest", "bilinear"):
+        return (regrid_nearest if how == "nearest" else regrid_bilinear)(pixels, grid, res, value)
+    met = _overlaps(pixels.select("py", F.col("px").alias("x0"), F.col("px").alias("x1"), F.col(value).alias("__v")), grid, res).where(F.col("o") > least)
+    if how == "mode":
+        sums = met.where("__v is not null").groupBy("cell_id", "__v").agg(F.round(F.sum("o"), 12).alias("o"))
+        return sums.groupBy("cell_id").agg(F.max_by("__v", F.struct("o", -F.col("__v"))).alias("value"))
+    ways = {"sum": F.sum(F.col("o") * F.col("__v")) / num(res * res), "min": F.min("__v"), "max": F.max("__v")}
+    if how not in ways:
+        raise ValueError(f"no resampling {how!r}: average, nearest, bilinear, {', '.join(sorted(ways))} or mode")
+    return met.groupBy("cell_id").agg(ways[how].alias("value"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.basic import PI, div, num
@@ -129,6 +129,18 @@ def satellite_files(files: DataFrame, first: Column, last: Column) -> DataFrame:
     return kinds[0].join(kinds[1], "day").where(F.col("day").between(F.to_date(first), F.to_date(last)))
 
 
+def uncovered_days(found: DataFrame, first: Column, last: Column) -> DataFrame:
+    """Days from first to last for which ``satellite_files`` has not both files."""
+    days = found.sparkSession.range(1).select(F.explode(F.sequence(F.to_date(first), F.to_date(last))).alias("day"))
+    return days.join(found.select("day"), "day", "left_anti")
+
+
+def archive_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
+    """(path, modified, bytes) of all files under a folder whose names match, at any depth; contents are not read."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
+    return found.select("path", F.col("modificationTime").alias("modified"), F.col("length").alias("bytes"))
+
+
 def deaccumulate(df: DataFrame, value: str, by: list[str], order: str) -> DataFrame:
     """x_i - x_(i-1) within a forecast; the first value as it is."""
     w = Window.partitionBy(*by).orderBy(order)
