@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.basic import num
 from ..operators import geometry, raster
-from ..sources import catalog, datasets, readers
+from ..sources import archives, catalog, datasets, readers  # noqa: F401  (archives registers its modules)
 from ..sources.cutout import Cutout, grid_cells, time_steps
 from .overlays import _area_sql, _reproject_sql
 from .weather import r6, read, sql, weather
@@ -101,6 +101,37 @@ _TERRAIN = """fine as (select 4.917e0 + 0.011e0*(p_partkey % 100) as lon, 49.913
 ov as (select cell_id, h, greatest(0e0, least(lon + 0.0055e0, x + 0.125e0) - greatest(lon - 0.0055e0, x - 0.125e0))*greatest(0e0, least(lat + 0.0055e0, y + 0.125e0) - greatest(lat - 0.0055e0, y - 0.125e0)) as o from fine, cells)"""
 
 
+def s08_forecast_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weather rows as forecasts of six hours that keep running means and sums, read back into a cutout."""
+    w = weather(spark, sf_dir)
+    begin = F.timestamp_seconds(F.floor(F.unix_timestamp("time") / 21600) * 21600)
+    rows = w.select(begin.alias("initial_time"), ((F.unix_timestamp("time") % 21600) / 3600 + 1).cast("int").alias("forecast_hours"), (F.col("x") + num(360)).alias("lon"), F.col("y").alias("lat"), "influx_toa", "runoff", "temperature", "wnd100m", "wnd_azimuth", "height")
+    run = Window.partitionBy("lon", "lat", "initial_time").orderBy("forecast_hours").rowsBetween(Window.unboundedPreceding, 0)
+    fields = {
+        "DSWRF_P8_L1_GGA0": F.avg("influx_toa").over(run), "USWRF_P8_L1_GGA0": F.avg(F.col("influx_toa") / num(10)).over(run), "WATR_P8_L1_GGA0": F.sum("runoff").over(run), "TMP_P0_L103_GGA0": F.col("temperature"), "TMP_P0_2L106_GGA0": F.col("temperature"),
+        "UGRD_P0_L103_GGA0": F.col("wnd100m") * F.sin("wnd_azimuth"), "VGRD_P0_L103_GGA0": F.col("wnd100m") * F.cos("wnd_azimuth"), "SFCR_P8_L1_GGA0": num(0.1), "HGT_P0_L105_GGA0": F.col("height"),
+    }
+    base = _row_cutout(spark, sf_dir)
+    ready = readers.prepare(Cutout(None, base.cells, {"module": ["ncep"], "dx": 0.25, "dy": 0.25}), {"ncep": {"raw": rows.withColumns(fields)}})
+    if not ready.prepared:
+        raise AssertionError("variables are missing")
+    out = ready.weather.join(ready.cells.select("cell_id", "height"), "cell_id")
+    return out.select("time", "cell_id", *(F.round(c, 4).alias(c) for c in ("influx", "outflux", "temperature", "wnd10m", "runoff", "height")))
+
+
+def s09_regional_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weather rows as fields of a regional model: means of three hours about their middle, and of six hours."""
+    w = weather(spark, sf_dir).withColumnsRenamed({"x": "rlon", "y": "rlat"})
+    base = _row_cutout(spark, sf_dir)
+    flux = w.select((F.col("time") + F.expr("interval 90 minutes")).alias("time"), "rlon", "rlat", F.col("influx_toa").alias("rsds"))
+    runoff = w.where(F.hour("time") % 6 == 0).select("time", "rlon", "rlat", F.col("runoff").alias("mrro"))
+    known = [readers.get_data(base, "cordex", f, raw=raw) for f, raw in (("influx", flux), ("runoff", runoff), ("temperature", w.withColumnRenamed("temperature", "tas")))]
+    out = known[0]
+    for k in known[1:]:
+        out = out.join(k, ["time", "cell_id"], "full")
+    return out.select("time", "cell_id", r6("influx").alias("influx"), r6("runoff").alias("runoff"), r6("temperature").alias("temperature"))
+
+
 def s10_turbines_of_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each supplier builds one kind of turbine: how many, their capacity and the mean height of a hub."""
     names = sorted(catalog.WINDTURBINES)
@@ -116,17 +147,21 @@ def _built_sql() -> str:
     return f"select name, sum(s_suppkey % 5 + 1)::bigint as n, round(sum((s_suppkey % 5 + 1)*p), 6) as capacity, round(avg(h), 6) as hub_height, round(max(top), 6) as top from supplier join (values {rows}) t(k, name, p, h, top) on k = s_suppkey % {len(names)} group by name"
 
 
+def _variables() -> list[str]:
+    return sorted({v for m in datasets.MODULES.values() if not m.deprecated for vs in m.features.values() for v in vs})
+
+
 def k04_features_of_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as requests for a variable: by module and feature how many there are."""
     known = datasets.available_features(spark)
-    names = sorted({v for m in datasets.MODULES.values() for vs in m.features.values() for v in vs})
+    names = _variables()
     asked = read(spark, sf_dir, "orders").select(F.element_at(F.array(*map(F.lit, names)), (F.col("o_orderkey") % len(names) + 1).cast("int")).alias("variable"))
     return asked.join(known, "variable").groupBy("module", "feature").agg(F.count("*").alias("n"))
 
 
 def _requests_sql() -> str:
-    names = sorted({v for m in datasets.MODULES.values() for vs in m.features.values() for v in vs})
-    rows = ", ".join(f"('{m}', '{f}', {names.index(v)})" for m, d in datasets.MODULES.items() for f, vs in d.features.items() for v in vs)
+    names = _variables()
+    rows = ", ".join(f"('{m}', '{f}', {names.index(v)})" for m, d in datasets.MODULES.items() if not d.deprecated for f, vs in d.features.items() for v in vs)
     return f"select module, feature, count(*) as n from orders join (values {rows}) t(module, feature, k) on k = o_orderkey % {len(names)} group by all"
 
 
@@ -209,6 +244,17 @@ QUERIES: dict[str, tuple] = {
     "s06a_event_days": (s06a_event_days, f"with {_DAYS} select d as day, '/a/SISin' || strftime(d, '%Y%m%d') || '0000.nc' as sis, '/a/b/SIDin' || strftime(d, '%Y%m%d') || '0000.nc' as sid from cov"),
     "s06a_uncovered_days": (s06a_uncovered_days, f"with {_DAYS} select d::date as day from generate_series(date '2024-01-05', date '2024-01-31', interval 1 day) t(d) where d::date not in (select d from cov)"),
     "s07_terrain_of_parts": (s07_terrain_of_parts, sql("select cell_id, round(sum(o*h)/sum(o), 4) as height from ov where o > 1e-12 group by 1", _TERRAIN)),
+    "s08_forecast_archive": (
+        s08_forecast_archive,
+        sql("select time, cell_id, round(case when influx_toa > 0.1e0 then influx_toa else 0e0 end, 4) as influx, round(case when influx_toa/10e0 > 3e0 then influx_toa/10e0 else 0e0 end, 4) as outflux, round(temperature, 4) as temperature, round(wnd100m, 4) as wnd10m, round(runoff, 4) as runoff, round(height, 4) as height from w"),
+    ),
+    "s09_regional_archive": (
+        s09_regional_archive,
+        sql(
+            "select coalesce(a.time, b.time) as time, coalesce(a.cell_id, b.cell_id) as cell_id, round(influx_toa, 6) as influx, round(b.runoff, 6) as runoff, round(temperature, 6) as temperature from w a full join half b on a.time = b.time and a.cell_id = b.cell_id",
+            "half as (select time, cell_id, runoff from w where hour(time) % 6 = 0 union all select time - interval 3 hour, cell_id, runoff from w where hour(time) % 6 = 0)",
+        ),
+    ),
     "s10_turbines_of_suppliers": (s10_turbines_of_suppliers, _built_sql()),
     "k04_features_of_requests": (k04_features_of_requests, _requests_sql()),
     "p02_nearest_of_rows": (p02_nearest_of_rows, sql("select arg_min(cell_id, abs(x - 5.37e0) + abs(y - 50.4e0)) as cell_id from (select distinct cell_id, x, y from w)")),

@@ -16,6 +16,7 @@ class Module:
     crs: int
     features: dict[str, list[str]]
     static: set[str] = field(default_factory=set)
+    deprecated: bool = False
 
 
 # The variables of each feature.
@@ -37,7 +38,8 @@ MODULES = {
 
 
 def available_features(spark, module: str | None = None) -> DataFrame:
-    rows = [(m, f, v) for m, d in MODULES.items() if module in (None, m) for f, names in d.features.items() for v in names]
+    """(module, feature, variable) of one module, or of all that are not deprecated."""
+    rows = [(m, f, v) for m, d in MODULES.items() if (module == m or module is None and not d.deprecated) for f, names in d.features.items() for v in names]
     return spark.createDataFrame(rows, "module string, feature string, variable string")
 
 
