@@ -132,18 +132,46 @@ def _around(asked: DataFrame) -> DataFrame:
     return asked.mapInArrow(run, "tid long, ask int, words array<int>")
 
 
-def _goes_on(a: Column, b: Column, differ: int) -> Column:
-    """(best, exact): how many words two sides go on alike. best: the longest stretch that ends in the same word and of which at most one in ``differ`` is
-    replaced; exact: the words up to the first that is."""
-
-    def step(s: Column, same: Column) -> Column:
-        n, bad = s["n"] + 1, s["bad"] + F.when(same, 0).otherwise(1)
-        return F.struct(n.alias("n"), bad.alias("bad"), F.when(same & (bad * differ <= n), n).otherwise(s["best"]).alias("best"), F.when(bad == 0, n).otherwise(s["exact"]).alias("exact"))
-
-    begin = F.struct(*(F.lit(0).alias(c) for c in ("n", "bad", "best", "exact")))
-    same = F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False)))
-    none = F.struct(F.lit(0).alias("best"), F.lit(0).alias("exact"))
-    return F.when(F.get(a, 0).isNull() | F.get(b, 0).isNull(), none).otherwise(F.aggregate(same, begin, step, lambda s: F.struct(s["best"].alias("best"), s["exact"].alias("exact"))))
+class _Words:
+    """Lists of word hashes of a batch."""
+
+    def __init__(self, column: pa.Array):
+        column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+        at = column.offsets.to_numpy()
+        self.flat = np.append(column.values.to_numpy(zero_copy_only=False), 0)
+        self.at, self.size = at[:-1], np.diff(at)
+
+    def rows(self, rows: np.ndarray, skip: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """The words from ``skip`` on, a row each, and which of them there are."""
+        place = skip[:, None] + np.arange(width)
+        there = place < self.size[rows][:, None]
+        return self.flat[np.where(there, self.at[rows][:, None] + place, len(self.flat) - 1)], there
+
+
+def _goes_on(own: _Words, far: _Words, rows: np.ndarray, i: np.ndarray, j: np.ndarray, differ: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(best, exact): how many words both sides go on alike from places i and j. best: the longest stretch that ends in the same word and of which at
+    most one in ``differ`` is replaced; exact: the words up to the first that is."""
+    (a, ta), (b, tb) = own.rows(rows, i, width), far.rows(rows, j, width)
+    same = (a == b) & ta & tb
+    n = np.arange(1, width + 1)
+    good = same & (np.cumsum(~same, axis=1) * differ <= n)
+    return np.where(good, n, 0).max(axis=1, initial=0), np.cumprod(same, axis=1).sum(axis=1)
+
+
+def _reach(own: _Words, far: _Words, before: np.ndarray, differ: int) -> list[np.ndarray]:
+    """(best, exact, na, nb) of each row: as above, and how far the two sides reach if, where ``before`` and best do not make SIZE words, up to GAP words
+    stand on one of them only."""
+    every, none = np.arange(len(before)), np.zeros(len(before), np.int64)
+    best, exact = _goes_on(own, far, every, none, none, differ, CONTEXT)
+    na, nb, most = best.copy(), best.copy(), np.zeros(len(best), np.int64)
+    short = np.flatnonzero(before + best < SIZE) if differ < 1 << 20 else every[:0]
+    for i, j in [(k, 0) for k in range(1, GAP + 1)] + [(0, k) for k in range(1, GAP + 1)]:
+        more, alike = _goes_on(own, far, short, best[short] + i, best[short] + j, differ, SIZE)
+        more = np.where(alike >= 2, more, 0)  # words that go on alike at once
+        good = (more >= SHINGLE) & (more > most[short])
+        rows = short[good]
+        most[rows], na[rows], nb[rows] = more[good], best[rows] + i + more[good], best[rows] + j + more[good]
+    return [best, exact, na, nb]
 
 
 def _text_id(text: Column) -> tuple[Column, Column]:
@@ -191,21 +219,6 @@ def _forget(scratch: Scratch, *tables: DataFrame) -> None:
     scratch.release()
 
 
-def _past_gap(a: Column, b: Column, n: Column, differ: int) -> Column:
-    """(na, nb): how far two sides go on alike if, behind the n words that they do, up to GAP words stand on one of them only."""
-    sides = [(k, 0) for k in range(1, GAP + 1)] + [(0, k) for k in range(1, GAP + 1)]
-    tail = lambda words, skip: F.slice(words, n + skip + 1, F.lit(SIZE))
-    at = lambda words, k: F.get(words, n + k)
-    ways = []
-    for i, j in sides:
-        alike = (at(a, i) == at(b, j)) & (at(a, i + 1) == at(b, j + 1))  # seldom so, and soon told
-        more = F.when(alike, _goes_on(tail(a, i), tail(b, j), differ)["best"])
-        ways.append(F.struct(F.when(more >= SHINGLE, more).otherwise(-1).alias("more"), (n + i + more).alias("na"), (n + j + more).alias("nb")))
-    best = F.array_max(F.array(*ways))
-    none = F.struct(n.alias("na"), n.alias("nb"))
-    return F.when(best["more"] > 0, F.struct(best["na"].alias("na"), best["nb"].alias("nb"))).otherwise(none)
-
-
 def _extended(texts: DataFrame, collisions: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
     """The collisions (tid, start, end, other, shift) with (low, high, olow, ohigh), as far as they go on alike on both sides, and (xlow, xhigh), as far as no word beside the seeds is replaced."""
     ask = lambda at, after: (F.col(at) * 2 + after).cast("int")
@@ -215,25 +228,34 @@ def _extended(texts: DataFrame, collisions: DataFrame, similarity: float, scratc
     asked = texts.join(asks.groupBy("of").agg(F.collect_list("ask").alias("asks")), F.col("tid") == F.col("of")).select("tid", "text", "asks")
     around = scratch.save(_around(asked), "around")
     differ = round(1 / (1 - similarity)) if similarity < 1 else 1 << 20
+    sums = ["best", "exact", "na", "nb"]
     for name, k in (("left", 1), ("right", 2)):
         for side, (text, *both) in sides.items():
             known = around.select(F.col("tid").alias("of"), F.col("ask").alias("at_ask"), F.col("words").alias(side))
             met = met.join(known, (F.col(text) == F.col("of")) & (both[k - 1] == F.col("at_ask"))).drop("of", "at_ask")
-        met = met.withColumn("on", _goes_on(F.col("own"), F.col("far"), differ)).withColumns({name: F.col("on")["best"], f"{name}_exact": F.col("on")["exact"]}).drop("on")
-        # what is long enough by now needs no gap; only the words of the others are looked at again
-        total = F.col("end") - F.col("start") + F.col("left") + (F.col("right") if k == 2 else 0)
-        met = met.withColumn(f"{name}_words", F.when(total < SIZE, F.struct("own", "far"))).drop("own", "far")
-    plain = (F.col("end") - F.col("start") + F.col("left") + F.col("right") >= SIZE) | F.lit(similarity >= 1)
-    for name in ("left", "right"):
-        met = met.withColumn(f"{name}_past", F.when(~plain, _past_gap(F.col(f"{name}_words")["own"], F.col(f"{name}_words")["far"], F.col(name), differ)))
-    reach = lambda name, part: F.when(plain, F.col(name)).otherwise(F.coalesce(F.col(f"{name}_past")[part], F.col(name)))
+        kept = [f for f in met.schema.fields if f.name not in ("own", "far")]
+
+        def run(batches, name=name, kept=kept):
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                number = lambda c: batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64)  # noqa: B023, E731
+                before = number("end") - number("start") + (number("left_best") if name == "right" else 0)
+                got = _reach(_Words(batch.column("own")), _Words(batch.column("far")), before, differ)
+                own = batch.select([f.name for f in kept])
+                yield pa.RecordBatch.from_arrays([*own.columns, *(pa.array(x.astype(np.int32)) for x in got)], [*own.schema.names, *(f"{name}_{c}" for c in sums)])
+
+        fields = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in kept), *(f"{name}_{c} int" for c in sums)])
+        done = scratch.save(met.mapInArrow(run, fields), name)
+        _forget(scratch, *([before] if name == "right" else []))
+        met = before = done
+    plain = F.col("end") - F.col("start") + F.col("left_best") + F.col("right_best") >= SIZE
+    reach = lambda name, part: F.when(plain, F.col(f"{name}_best")).otherwise(F.col(f"{name}_{part}"))
     start, end = F.col("start") - F.col("shift"), F.col("end") - F.col("shift")
     spans = {"low": F.col("start") - reach("left", "na"), "high": F.col("end") + reach("right", "na"), "olow": start - reach("left", "nb"), "ohigh": end + reach("right", "nb")}
     exact = {"xlow": F.col("start") - F.col("left_exact"), "xhigh": F.col("end") + F.col("right_exact")}
-    out = scratch.save(met.select("tid", "start", "end", "other", *(v.alias(k) for k, v in (spans | exact).items())), "extended")
-    del met
     _forget(scratch, collisions, around)
-    return out
+    return met.select("tid", "start", "end", "other", *(v.alias(k) for k, v in (spans | exact).items()))
 
 
 def _again(texts: DataFrame, extended: DataFrame, scratch: Scratch) -> DataFrame:
