@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.basic import num
 from ..operators import geometry, raster
 from ..sources import archives, catalog, datasets, readers  # noqa: F401  (archives registers its modules)
+from ..sources.archive_source import register
 from ..sources.cutout import Cutout, grid_cells, time_steps
+from ..sources.shared import shared_folder
 from .overlays import _area_sql, _reproject_sql
 from .weather import r6, read, sql, weather
 
@@ -70,6 +74,17 @@ def s05i_area_of_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     return datasets.area(_sites(spark, sf_dir).select(snap("x"), snap("y")).distinct())
 
 
+def s05_archive_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as a landed archive by month, of which the data source reads half a year of a box."""
+    landed = read(spark, sf_dir, "lineitem").select(F.col("l_shipdate").cast("timestamp").alias("time"), (F.col("l_partkey") % 20).cast("double").alias("x"), (F.col("l_suppkey") % 10).cast("double").alias("y"), F.col("l_quantity").cast("double").alias("v"))
+    path = f"{shared_folder(spark)}/archive-{uuid.uuid4().hex}"
+    month = F.date_format("time", "yyyy-MM")
+    landed.withColumn("month", month).repartition(month).write.partitionBy("month").parquet(path)
+    register(spark)
+    found = spark.read.format("voltmesh_archive").option("path", path).load().where("time between '1995-03-15' and '1995-09-10' and x between 3 and 11 and y <= 6")
+    return found.groupBy("time").agg(F.count("*").alias("n"), r6(F.sum("v")).alias("v"))
+
+
 def _paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A file of one kind for each day with events, and of the other for most of them."""
     days = read(spark, sf_dir, "events").select(F.to_date("ts").alias("d")).distinct().select(F.date_format("d", "yyyyMMdd").alias("d"), F.dayofmonth("d").alias("k"))
@@ -241,6 +256,7 @@ QUERIES: dict[str, tuple] = {
     "s03_grid_of_sites": (s03_grid_of_sites, f"with {_GRID}"),
     "s04_axis_of_events": (s04_axis_of_events, _AXIS),
     "s05i_area_of_sites": (s05i_area_of_sites, f"with {_SITES} select max(round(floor(y/0.25e0 + 0.5e0)*0.25e0, 9)) as north, min(round(floor(x/0.25e0 + 0.5e0)*0.25e0, 9)) as west, min(round(floor(y/0.25e0 + 0.5e0)*0.25e0, 9)) as south, max(round(floor(x/0.25e0 + 0.5e0)*0.25e0, 9)) as east from sites"),
+    "s05_archive_source": (s05_archive_source, "select l_shipdate::timestamp as time, count(*) as n, round(sum(l_quantity::double), 6) as v from lineitem where l_shipdate between date '1995-03-15' and date '1995-09-10' and l_partkey % 20 between 3 and 11 and l_suppkey % 10 <= 6 group by 1"),
     "s06a_event_days": (s06a_event_days, f"with {_DAYS} select d as day, '/a/SISin' || strftime(d, '%Y%m%d') || '0000.nc' as sis, '/a/b/SIDin' || strftime(d, '%Y%m%d') || '0000.nc' as sid from cov"),
     "s06a_uncovered_days": (s06a_uncovered_days, f"with {_DAYS} select d::date as day from generate_series(date '2024-01-05', date '2024-01-31', interval 1 day) t(d) where d::date not in (select d from cov)"),
     "s07_terrain_of_parts": (s07_terrain_of_parts, sql("select cell_id, round(sum(o*h)/sum(o), 4) as height from ov where o > 1e-12 group by 1", _TERRAIN)),
