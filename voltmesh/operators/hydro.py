@@ -81,6 +81,11 @@ def upstream(basins: DataFrame, targets: DataFrame) -> DataFrame:
     return found
 
 
+def first_appearance(df: DataFrame, what: str, order: str) -> DataFrame:
+    """(what, first): each distinct value with the smallest ``order`` at which it stands, by which ``orderBy("first")`` lists values as they first appear; nulls have no row."""
+    return df.where(F.col(what).isNotNull()).groupBy(what).agg(F.min(order).alias("first"))
+
+
 def determine_basins(plants: DataFrame, basins: DataFrame) -> DataFrame:
     """(plant, basin, hid, distance): the basin of each plant, and it and all basins upstream with their distance up the river in km.
 

@@ -203,6 +203,11 @@ def j09_find_basin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hydro.find_basins(plants, _basin_boxes(spark, sf_dir))
 
 
+def o01_basins_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Basins in the order in which the suppliers, taken as plants, name them first."""
+    return hydro.first_appearance(j09_find_basin(spark, sf_dir), "hid", "plant")
+
+
 def _hydrobasins(spark: SparkSession, sf_dir: str, boxes) -> DataFrame:
     """Basins as published: ids from 1, a binary tree of rivers, distances by id."""
     k = F.col("n_nationkey") + 1
@@ -379,6 +384,8 @@ def g12_availability(spark: SparkSession, sf_dir: str) -> DataFrame:
 _OVER = """ov as (select cell_id, pix.px, pix.py, code, greatest(0, least((px + 1)*0.01e0, x + 0.125e0) - greatest(px*0.01e0, x - 0.125e0))*greatest(0, least((py + 1)*0.01e0, y + 0.125e0) - greatest(py*0.01e0, y - 0.125e0)) as o
  from pix join cells on px*0.01e0 < x + 0.125e0 and (px + 1)*0.01e0 > x - 0.125e0 and py*0.01e0 < y + 0.125e0 and (py + 1)*0.01e0 > y - 0.125e0)"""
 
+_FOUND = "select s_suppkey as plant, min(n_nationkey)::bigint as hid from supplier, nation where 0.0137e0*(s_suppkey % 251) + 0.003e0 > 0.7e0*(n_nationkey % 5) and 0.0137e0*(s_suppkey % 251) + 0.003e0 < 0.7e0*(n_nationkey % 5) + 0.9e0 and 0.0171e0*(s_suppkey % 211) + 0.003e0 > 0.7e0*(n_nationkey // 5) and 0.0171e0*(s_suppkey % 211) + 0.003e0 < 0.7e0*(n_nationkey // 5) + 0.9e0 group by 1"
+
 QUERIES: dict[str, tuple] = {
     "j04_indicator": (j04_indicator, sql("select shape_id, cell_id, round(share, 6) as share from share where share > 1e-7", _SHARE)),
     "j04_triangle_area": (
@@ -406,8 +413,9 @@ QUERIES: dict[str, tuple] = {
     ),
     "j09_find_basin": (
         j09_find_basin,
-        "select s_suppkey as plant, min(n_nationkey)::bigint as hid from supplier, nation where 0.0137e0*(s_suppkey % 251) + 0.003e0 > 0.7e0*(n_nationkey % 5) and 0.0137e0*(s_suppkey % 251) + 0.003e0 < 0.7e0*(n_nationkey % 5) + 0.9e0 and 0.0171e0*(s_suppkey % 211) + 0.003e0 > 0.7e0*(n_nationkey // 5) and 0.0171e0*(s_suppkey % 211) + 0.003e0 < 0.7e0*(n_nationkey // 5) + 0.9e0 group by 1",
+        _FOUND,
     ),
+    "o01_basins_in_order": (o01_basins_in_order, f"select hid, min(plant)::bigint as first from ({_FOUND}) group by 1"),
     "j10_upstream": (j10_upstream, f"with recursive {_UP} select root::bigint as root, count(*)::bigint as n, max(hid)::bigint as last from (select distinct root, hid from up) group by 1"),
     "j10_upstream_recursive": (j10_upstream_recursive, f"with recursive {_UP} select root::bigint as root, count(*)::bigint as n from (select distinct root, hid from up) group by 1"),
     "j11_determine_basins": (j11_determine_basins, _DETERMINED),
