@@ -37,6 +37,22 @@ def test_sharding(spark):
     assert sharding.shard_documents(docs.limit(0)).count() == 0
 
 
+def test_a_key_of_many_rows_is_cut(spark, monkeypatch):
+    """Half of the rows have one key, most of these are equal: no group of the numbering is as large as the key."""
+    monkeypatch.setattr(sharding, "BLOCK", 50)
+    docs = spark.range(8000).repartition(16).select(F.when(F.col("id") % 2 == 0, F.lit(7)).otherwise(F.col("id")).alias("doc_id"), F.when(F.col("id") % 10 != 3, F.lit("same")).otherwise(F.col("id").cast("string")).alias("text"))
+    out = sharding.shard_documents(docs, 3)
+    rows = out.collect()
+    assert len(rows) == 8000
+    slots = defaultdict(list)
+    for r in rows:
+        slots[r.shard].append(r.slot)
+        assert r.shard == brute.jump(r.doc_id, 3)
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "__part" in plan[plan.index("Window [row_number()") :].split("]")[1]
+
+
 def test_jump_hash_over_many_keys(spark):
     random.seed(1)
     keys = [random.randrange(-(1 << 63), 1 << 63) for _ in range(300)]

@@ -85,21 +85,29 @@ def number(df: DataFrame, order: list[str], shard: str = "shard", key: str = "do
 
     A shard is cut into blocks by bits of the key's first generator state; blocks are counted, their offsets summed over
     a shard's few counts, and rows are numbered within a block, so no task sorts a whole shard. Order: block, then the
-    ``order`` columns; rows equal in these get neighbouring slots in any order.
+    ``order`` columns; rows equal in these get neighbouring slots in any order. A block that is too large all the same, as one key holds most of it,
+    is cut by the partitions in which its rows are written first; within it their order counts before the others.
     """
     spark = df.sparkSession
+    scratch = Scratch(spark, "shard")
     rows, shards = df.agg(F.count("*"), F.count_distinct(shard)).first()
     blocks = 16
     while blocks * BLOCK * max(1, shards) < rows and blocks < 1 << 30:
         blocks *= 2
     hi, lo = halves(shard_key(df, key))
-    df = df.withColumn("__block", _step(hi, lo)[0].bitwiseAND(F.lit(blocks - 1)))
-    counts = df.groupBy(shard, "__block").agg(F.count("*").alias("n"))
-    before = F.sum("n").over(Window.partitionBy(shard).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = Scratch(spark, "shard").save(counts.select(F.col(shard).alias("__s"), F.col("__block").alias("__b"), F.coalesce(before, F.lit(0)).alias("__off")), "offsets")
-    placed = df.join(offsets, (F.col(shard) == F.col("__s")) & (F.col("__block") == F.col("__b")))
-    within = F.row_number().over(Window.partitionBy(shard, "__block").orderBy(*order))
-    return placed.withColumn("slot", F.col("__off") + within - 1).drop("__block", "__s", "__b", "__off")
+    df = df.withColumn("__block", _step(hi, lo)[0].bitwiseAND(F.lit(blocks - 1))).withColumn("__part", F.lit(0))
+    counts = scratch.save(df.groupBy(shard, "__block", "__part").agg(F.count("*").alias("n")), "counts")
+    large = counts.where(F.col("n") > 4 * BLOCK).select(F.col(shard).alias("__s"), F.col("__block").alias("__b"), F.lit(True).alias("__large"))
+    if not large.isEmpty():
+        found = df.join(large, (F.col(shard) == F.col("__s")) & (F.col("__block") == F.col("__b")), "left")
+        # equal rows cannot be told apart by any column, only by where they are written
+        df = scratch.save(found.withColumn("__part", F.when(F.col("__large"), F.spark_partition_id()).otherwise(0)).drop("__s", "__b", "__large"), "parts")
+        counts = df.groupBy(shard, "__block", "__part").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy(shard).orderBy("__block", "__part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = scratch.save(counts.select(F.col(shard).alias("__s"), F.col("__block").alias("__b"), F.col("__part").alias("__p"), F.coalesce(before, F.lit(0)).alias("__off")), "offsets")
+    placed = df.join(offsets, (F.col(shard) == F.col("__s")) & (F.col("__block") == F.col("__b")) & (F.col("__part") == F.col("__p")))
+    within = F.row_number().over(Window.partitionBy(shard, "__block", "__part").orderBy(*order))
+    return placed.withColumn("slot", F.col("__off") + within - 1).drop("__block", "__part", "__s", "__b", "__p", "__off")
 
 
 def shard_documents(docs: DataFrame, shards: int = 40, text: str = "text", key: str = "doc_id") -> DataFrame:
