@@ -76,7 +76,7 @@ def test_empty_table_text_of_groups_and_clashes(spark):
 
 def test_a_text_longer_than_a_slice(spark):
     words = ["anhely", "eran,", "naïve", "x1", "don't"]
-    docs = [(1, " ".join(words[k * k % 5] + str(k % 89) for k in range(token_alignment.SLICE // 6))), (2, "anhely eran")]
+    docs = [(1, " ".join(words[k * k % 5] + str(k % 89) for k in range(token_alignment.SLICE // 6))), (2, "anhely eran"), (3, "eran " + "xyz" * 200_000 + " anhely")]
     assert len(docs[0][1].encode()) > token_alignment.SLICE
     got = token_alignment.align(spark.createDataFrame(docs, "doc_id long, text string"), A, B)
     assert _rows(got) == Counter(brute.alignment(docs, A, B))

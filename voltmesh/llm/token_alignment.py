@@ -33,6 +33,8 @@ from .words import WordTable
 SLICE = 3 << 20
 #: Units (of at most UNIT bytes) that a worker remembers, and pairs of ids that go to every task: bounds on memory, not on what is counted.
 UNITS, UNIT, HOT = 1 << 17, 64, 1 << 20
+#: Units beyond so many bytes are encoded on their own, by libraries that take a word of any length.
+LONG = 1 << 14
 #: Distinct pairs that a task gathers before it gives them out.
 PAIRS = 1 << 21
 
@@ -165,7 +167,7 @@ class Aligner:
         last = room[at[1:] + 2]
         wide = (last >= 0x80) & (room[at[1:] + 1] != 0xC2) & ~np.isin(room[at[1:]], (0xE1, 0xE2, 0xE3, 0xEF))
         odd = np.concatenate([[0], np.cumsum(body == 0xE2)])  # U+2581 is among these
-        inner = (size > 2) & (room[at[:-1] + 3] == 0x20) & _OPENS[room[at[:-1] + 4]] & (_PRINTED[last] | wide) & (odd[at[1:]] == odd[at[:-1]])
+        inner = (size > 2) & (size <= LONG) & (room[at[:-1] + 3] == 0x20) & _OPENS[room[at[:-1] + 4]] & (_PRINTED[last] | wide) & (odd[at[1:]] == odd[at[:-1]])
         far = np.concatenate([[0], np.cumsum((body >= 0xCA) | (body == 0xC2))])
         return inner, far[at[1:]] == far[at[:-1]]
 
