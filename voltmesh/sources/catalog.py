@@ -12,120 +12,90 @@ from pyspark.sql import functions as F
 # in the compilation from which users know the names they are under CC-BY-4.0. Other turbines come from a folder of YAML files of the usual layout.
 WINDTURBINES: dict[str, dict] = {
     "Bonus_B1000_1000kW": {
-        "name": "Bonus B1000 1000 kW",
-        "manufacturer": "Bonus",
         "source": "http://cordis.europa.eu/documents/documentlibrary/47698371EN6.pdf",
         "hub_height": 48.0,
         "V": [3, 4, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15, 16, 17, 19, 25, 25],
         "POW": [0, 0, 0.024, 0.069, 0.133, 0.219, 0.333, 0.468, 0.598, 0.73, 0.85, 0.928, 0.973, 0.99, 0.997, 0.999, 1.0, 1.0, 0.0],
     },
     "Enercon_E101_3000kW": {
-        "name": "E101 3000 kW",
-        "manufacturer": "Enercon",
         "source": "http://www.enercon.de/p/downloads/EN_Productoverview_0710.pdf",
         "hub_height": 99.0,
         "V": [0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 28, 28],
         "POW": [0.0, 0.0, 0.003, 0.037, 0.118, 0.258, 0.479, 0.79, 1.2, 1.71, 2.34, 2.867, 3.034, 3.05, 3.05, 0.0],
     },
     "Enercon_E126_7500kW": {
-        "name": "E135 7500 kW",
-        "manufacturer": "Enercon",
         "source": "http://www.enercon.de/p/downloads/EN_Productoverview_0710.pdf",
         "hub_height": 135.0,
         "V": [0, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15, 16, 17, 28, 28],
         "POW": [0.0, 0.0, 0.055, 0.175, 0.41, 0.76, 1.25, 1.9, 2.7, 3.75, 4.85, 5.75, 6.5, 7.0, 7.35, 7.5, 7.58, 7.58, 0.0],
     },
     "Enercon_E82_3000kW": {
-        "name": "E82 3000 kW",
-        "manufacturer": "Enercon",
         "source": "http://www.enercon.de/p/downloads/EN_Productoverview_0710.pdf",
         "hub_height": 85.0,
         "V": [0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15, 16, 17, 28, 28],
         "POW": [0.0, 0.0, 0.003, 0.025, 0.082, 0.174, 0.321, 0.532, 0.815, 1.18, 1.58, 1.9, 2.2, 2.48, 2.7, 2.85, 2.95, 3.02, 3.02, 0.0],
     },
     "NREL_ReferenceTurbine_5MW_offshore": {
-        "name": "NREL offshore 5-MW baseline wind turbine",
-        "manufacturer": "NREL",
         "source": "http://www.nrel.gov/docs/fy09osti/38060.pdf",
         "hub_height": 90.0,
         "V": [0, 3, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 25, 25],
         "POW": [0.0, 0.0, 0.0405, 0.1777, 0.4039, 0.7376, 1.1872, 1.7711, 2.5186, 3.4484, 4.5625, 5.0, 5.0, 0.0],
     },
     "Siemens_SWT_107_3600kW": {
-        "name": "Siemens SWT 107 3600 kW",
-        "manufacturer": "Siemens",
         "source": "http://www.energy.siemens.com/hq/pool/hq/power-generation/renewables/wind-power/wind%20turbines/E50001-W310-A103-V6-4A00_WS_SWT_3_6_107_US.pdf",
         "hub_height": 90.0,
         "V": [0, 1, 2, 3, 4, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 25, 25],
         "POW": [0.0, 0.0, 0.0, 0.0, 0.0, 0.161, 0.351, 0.635, 1.026, 1.544, 2.204, 2.91, 3.399, 3.567, 3.596, 3.6, 3.6, 0.0],
     },
     "Siemens_SWT_2300kW": {
-        "name": "SWT-2.3-93",
-        "manufacturer": "Siemens",
         "source": "http://www.energy.siemens.com/mx/pool/hq/power-generation/wind-power/E50001-W310-A102-V6-4A00_WS_SWT-2.3-93_US.pdf",
         "hub_height": 80.0,
         "V": [0, 4, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 25, 25],
         "POW": [0.0, 0.0, 0.098, 0.21, 0.376, 0.608, 0.914, 1.312, 1.784, 2.164, 2.284, 2.299, 2.3, 2.3, 0.0],
     },
     "Suzlon_S82_1.5_MW": {
-        "name": "S82 1.5 MW",
-        "manufacturer": "Suzlon",
         "source": "http://www.suzlon.com/pdf/S82%20product%20brochure.pdf",
         "hub_height": 79.0,
         "V": [0, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 20, 20],
         "POW": [0.0, 0.0, 0.01, 0.095, 0.23, 0.46, 0.725, 0.98, 1.2, 1.38, 1.45, 1.49, 1.5, 1.5, 0.0],
     },
     "Vestas_V112_3MW": {
-        "name": "V112 3MW",
-        "manufacturer": "Vestas",
         "source": "http://nozebra.ipapercms.dk/Vestas/Communication/Productbrochure/V11230MW/V11230MWOffshoreUK/",
         "hub_height": 80.0,
         "V": [0, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 25, 25],
         "POW": [0.0, 0.0, 0.005, 0.15, 0.3, 0.525, 0.905, 1.375, 1.95, 2.58, 2.96, 3.05, 3.06, 3.06, 0.0],
     },
     "Vestas_V112_3MW_offshore": {
-        "name": "V112 3MW offshore",
-        "manufacturer": "Vestas",
         "source": "http://nozebra.ipapercms.dk/Vestas/Communication/Productbrochure/V11230MW/V11230MWOffshoreUK/",
         "hub_height": 80.0,
         "V": [0, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 25, 25],
         "POW": [0.0, 0.0, 0.005, 0.115, 0.3, 0.55, 0.945, 1.375, 1.96, 2.525, 2.95, 2.99, 3.0, 3.0, 0.0],
     },
     "Vestas_V164_7MW_offshore": {
-        "name": "V164 7MW offshore",
-        "manufacturer": "Vestas",
         "source": "http://nozebra.ipapercms.dk/Vestas/Communication/Productbrochure/V16470MW/V16470MW/",
         "hub_height": 100.0,
         "V": [0, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 25, 25],
         "POW": [0.0, 0.0, 0.005, 0.095, 0.46, 0.9, 1.6, 2.5, 3.725, 5.0, 6.0, 6.7, 6.98, 7.0, 7.0, 0.0],
     },
     "Vestas_V25_200kW": {
-        "name": "Vestas V25 200 kW",
-        "manufacturer": "Vestas",
         "source": "http://www.kulak.com.pl/Wiatraki/pdf/vestas%20v25.pdf",
         "hub_height": 29.0,
         "V": [3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 14, 25, 25],
         "POW": [0, 0.0036, 0.0123, 0.0244, 0.0399, 0.0634, 0.0902, 0.1189, 0.1457, 0.1712, 0.1951, 0.2001, 0.2, 0.2, 0],
     },
     "Vestas_V47_660kW": {
-        "name": "Vestas V47 660 kW",
-        "manufacturer": "Vestas",
         "source": "http://www.iufmrese.cict.fr/concours/2002/CG_2002STI_lycee/Pour_en_savoir_plus/Vestas_V47.pdf",
         "hub_height": 45.0,
         "V": [3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15, 16, 17, 18, 25, 25],
         "POW": [0, 0.0029, 0.0438, 0.0967, 0.166, 0.252, 0.35, 0.45, 0.538, 0.6, 0.635, 0.651, 0.657, 0.659, 0.66, 0.66, 0.66, 0],
     },
     "Vestas_V80_2MW_gridstreamer": {
-        "name": "V80 2MW gridstreamer",
-        "manufacturer": "Vestas",
         "source": "http://nozebra.ipapercms.dk/Vestas/Communication/Productbrochure/2MWGridStreamer/2MWGridStreamerUK/",
         "hub_height": 80.0,
         "V": [0, 2, 3, 4, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15, 25, 25],
         "POW": [0.0, 0.0, 0.0, 0.0, 0.025, 0.075, 0.25, 0.425, 0.65, 0.925, 1.2, 1.5, 1.825, 1.95, 1.975, 2.0, 2.0, 0.0],
     },
     "Vestas_V90_3MW": {
-        "name": "V90_3MW",
-        "manufacturer": "Vestas",
         "source": "http://nozebra.ipapercms.dk/Vestas/Communication/Productbrochure/V9030MW/V9030MWUK/",
         "hub_height": 80.0,
         "V": [0, 2, 4, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15, 25, 25],
