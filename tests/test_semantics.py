@@ -147,6 +147,20 @@ def test_upstream_has_no_depth_limit(spark):
     assert "depth" not in hydro.upstream.__code__.co_varnames
 
 
+def test_recursive_upstream_passes_sparks_own_limits(spark):
+    spark.range(1, 200).selectExpr("id as hid", "if(id < 9, id - 1, 0L) as next_down").createOrReplaceTempView("wide_river")
+    spark.range(0, 1).selectExpr("id as hid").createOrReplaceTempView("wide_mouth")
+    limits = {"spark.sql.cteRecursionRowLimit": "50", "spark.sql.cteRecursionLevelLimit": "4"}
+    was = {k: spark.conf.get(k) for k in limits}
+    try:
+        for k, v in limits.items():
+            spark.conf.set(k, v)
+        assert spark.sql(hydro.upstream_sql("wide_river", "wide_mouth", 9)).count() == 200
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+
+
 def test_buffered_geometry_reaches_into_the_shape(spark):
     box = lambda x0, y0, x1, y1: [{"x": x, "y": y} for x, y in [(x0, y0), (x1, y0), (x1, y1), (x0, y1)]]
     kind = "shape_id string, pts array<struct<x:double,y:double>>"

@@ -122,13 +122,14 @@ def hydro(cutout: Cutout, plants: DataFrame, basins: DataFrame, flowspeed: float
 
 
 def upstream_sql(basins: str = "basins", targets: str = "targets", depth: int = 100) -> str:
-    """The same as one recursive query with a path that stops at cycles; it raises an error where a river has ``depth`` steps or more."""
-    return f"""with recursive up(root, hid, path, depth) as (
+    """The same as one recursive query with a path that stops at cycles; it raises an error where a river has ``depth`` steps or more. Spark's own limits, of levels
+    and of a million rows in all, are lifted within the statement."""
+    return f"""with recursive up(root, hid, path, depth) max recursion level {depth + 1} as (
         select hid, hid, array(hid), 0 from {targets}
         union all
         select u.root, b.hid, concat(u.path, array(b.hid)), u.depth + 1 from up u join {basins} b
         on b.next_down = u.hid and not array_contains(u.path, b.hid) where u.depth < {depth})
-        select distinct root, hid from up where if(depth < {depth}, true, raise_error('a river has {depth} steps or more: raise depth or use upstream()'))"""
+        select distinct root, hid from (select * from up limit all) where if(depth < {depth}, true, raise_error('a river has {depth} steps or more: raise depth or use upstream()'))"""
 
 
 def numbered_times(rows: DataFrame) -> DataFrame:
