@@ -12,20 +12,31 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.shared import shared_folder
 
+#: Spark removes the shuffle files of a query when it ends.
+_TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 class Scratch:
     """Written tables that cut lineage: a lost executor costs a read, not the jobs before it."""
 
-    def __init__(self, spark: SparkSession, name: str):
+    def __init__(self, spark: SparkSession, name: str, tidy: bool = False):
+        """tidy: what was shuffled for a table goes once the table is written, and not when the driver's JVM happens to collect its garbage."""
         self.spark, self.root = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-        self.made = 0
+        self.made, self.tidy = 0, tidy
 
     def path(self, name: str) -> str:
         self.made += 1
         return f"{self.root}/{self.made:03d}-{name}"
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(path := self.path(name))
+        path, was = self.path(name), self.spark.conf.get(_TIDY, None)
+        if self.tidy:
+            self.spark.conf.set(_TIDY, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            if self.tidy:
+                self.spark.conf.unset(_TIDY) if was is None else self.spark.conf.set(_TIDY, was)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def release(self) -> None:

@@ -231,7 +231,7 @@ def _extended(texts: DataFrame, collisions: DataFrame, similarity: float, scratc
     sums = ["best", "exact", "na", "nb"]
     for name, k in (("left", 1), ("right", 2)):
         for side, (text, *both) in sides.items():
-            known = around.select(F.col("tid").alias("of"), F.col("ask").alias("at_ask"), F.col("words").alias(side))
+            known = around.where(F.col("ask") % 2 == k - 1).select(F.col("tid").alias("of"), F.col("ask").alias("at_ask"), F.col("words").alias(side))
             met = met.join(known, (F.col(text) == F.col("of")) & (both[k - 1] == F.col("at_ask"))).drop("of", "at_ask")
         kept = [f for f in met.schema.fields if f.name not in ("own", "far")]
 
@@ -325,7 +325,7 @@ def repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", similarity
     """
     if key in {"row_key", "class_id", "firsts", "repeated", "removed"}:
         raise ValueError(f"rename the key column first: {key}")
-    scratch = Scratch(docs.sparkSession, "substrings")
+    scratch = Scratch(docs.sparkSession, "substrings", tidy=True)
     h1, h2 = _text_id(F.col(text))
     slim = docs.select(F.col(key).alias("doc"), F.col(text).alias("text"), h1.alias("h1"), h2.alias("h2")).where(F.octet_length("text") >= 2 * SIZE - 1)
     rows = scratch.save(slim.select("doc", "h1", "h2").distinct(), "rows")
