@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -92,6 +93,24 @@ def test_substring_dedup(spark):
     assert substring_dedup.repeats(brute.documents(spark).limit(0)).count() == 0
 
 
+def test_substring_dedup_keeps_no_shuffle_of_a_written_table(spark, monkeypatch):
+    disk, save, left = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager(), Scratch.save, {}
+    shuffles = lambda: {f for f in disk.getAllFiles().mkString("\n").splitlines() if "shuffle_" in f}
+
+    def saved(self, df, name):
+        had, out, end = shuffles(), save(self, df, name), time.time() + 2
+        while shuffles() - had and time.time() < end:
+            time.sleep(0.1)
+        left[name] = len(shuffles() - had)
+        return out
+
+    monkeypatch.setattr(Scratch, "save", saved)
+    monkeypatch.setattr(Scratch, "release", lambda self: None)
+    substring_dedup.repeats(brute.documents(spark))
+    assert {"text", "left", "found"} <= set(left) and not any(left.values())
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) is None
+
+
 def test_every_long_passage_is_found(spark):
     random.seed(7)
     vocabulary = [f"w{k}" for k in range(3000)]
