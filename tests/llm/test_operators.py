@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -15,6 +16,7 @@ from tokenizers import Tokenizer
 from voltmesh.llm import bpe, decontaminate, line_dedup, nearlinks, quality, sharding, simhash, substring_dedup, token_counts, urls, warc
 from voltmesh.llm.components import components
 from voltmesh.llm.scratch import Scratch
+from voltmesh.llm.words import places
 
 from . import brute
 from .brute import TEXTS
@@ -71,6 +73,24 @@ def test_bpe_digests(spark, hot):
     assert got == Counter((r.doc_id, *brute.encoded(t, r.text), r.value) for r in docs.collect())
 
 
+@pytest.mark.parametrize("hot", [5, 1 << 19])
+def test_bpe_tasks_take_one_python_worker(spark, hot):
+    """Coding and assembly never share a task, however small the tables: it would hold two workers, which stay with the executor."""
+    out = bpe.digests(brute.documents(spark), BPE, hot=hot)
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    _, assembly, *below = plan.split("MapInArrow ")
+    assert below and "Exchange " in assembly and "Broadcast" not in plan
+
+
+def test_places_of_words(spark):
+    known = [f"w{k}" for k in range(0, 3000, 3)]
+    for words in ([f"w{k}" for k in range(2999, -1, -1)], known, ["", "x"], []):
+        want = [known.index(w) if w in known else -1 for w in words]
+        assert places(pa.array(words, pa.large_string()), pa.array(known, pa.large_string())).tolist() == want
+    assert places(pa.array(["w"], pa.large_string()), pa.array([], pa.large_string())).tolist() == [-1]
+
+
 def test_bpe_encode_and_decode(spark):
     t = Tokenizer.from_file(BPE)
     docs = brute.documents(spark, extra=False)

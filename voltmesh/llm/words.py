@@ -47,6 +47,16 @@ def _table(shared, name: str) -> pa.Table:
     return _loaded[name]
 
 
+def places(words: pa.Array, known: pa.Array) -> np.ndarray:
+    """The place in ``known`` of each of ``words``, -1 where there is none; both hold distinct words of one type. The many known words are looked
+    up among the few of a batch, since Arrow builds the table of the side it looks in anew each time."""
+    hit = pc.index_in(known, value_set=words).fill_null(-1).to_numpy(zero_copy_only=False)
+    at = np.flatnonzero(hit >= 0)
+    out = np.full(len(words), -1, np.int32)
+    out[hit[at]] = at
+    return out
+
+
 def word_counts(docs: DataFrame, text: str, split: Callable[[], Split]) -> DataFrame:
     """(word, n): how often each word stands in the texts."""
 
@@ -124,13 +134,13 @@ class WordTable:
             for batch in slices(batches, text, SLICE):
                 for rows, words, counts in cut(batch.column(text)):
                     seen = words.dictionary_encode()
-                    place = pc.index_in(seen.dictionary, value_set=words_of).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int32)
+                    place = places(seen.dictionary, words_of)
                     codes = place[seen.indices.to_numpy(zero_copy_only=False)] if len(words) else np.zeros(0, np.int32)
                     miss = codes < 0
                     ends = np.concatenate([[0], np.cumsum(counts)])
                     left = np.concatenate([[0], np.cumsum(miss)])[ends]
                     rest = pa.ListArray.from_arrays(pa.array(left, pa.int32()), words.filter(pa.array(miss)).cast(pa.string()))
-                    own = batch.take(pa.array(rows)).drop_columns([text])
+                    own = batch.drop_columns([text]).take(pa.array(rows))
                     yield pa.RecordBatch.from_arrays([*own.columns, *emit(codes, ends, values), rest], [*own.schema.names, *out_names, "rest"])
 
         out = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != text] + ([schema] if schema else [])
