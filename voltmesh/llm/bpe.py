@@ -177,8 +177,8 @@ def _encode(docs: DataFrame, path: str, text: str, hot: int, finish, schema: str
 
     coded = words.coded(source, emit, "codes binary")
     rest = words.far(source, "__key").repartition("__key").groupBy("__key").agg(F.sort_array(F.collect_set(F.struct("pos", "value"))).alias("far"))
-    # by a shuffle also where the rest is small: a broadcast would put coding and assembly into one task, which then takes two Python workers
-    joined = coded.drop("rest").join(rest.withColumnRenamed("__key", "__far").hint("merge"), F.col("__key") == F.col("__far"), "left")
+    # dealt by key also where the rest is small or empty: without a shuffle between them coding and assembly are one task, which takes two Python workers
+    joined = coded.drop("rest").repartition("__key").join(rest.withColumnRenamed("__key", "__far"), F.col("__key") == F.col("__far"), "left")
     joined = joined.withColumn("far", F.transform("far", lambda x: x["value"])).drop("__key", "__far")
     kept = [f for f in docs.schema.fields if f.name != text]
     shared, name = words.shared, words.name
